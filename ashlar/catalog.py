@@ -1,0 +1,4 @@
+"""Every query over the driver's tables, with its SQL."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
