@@ -21,8 +21,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ashlar.llm.common import BROADCAST_KEYS, FILE, ROW, SPACE, located, materialise, shared_path, table, without_rows
 
-_STORE = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk; small stores don't reserve room ahead, and a batch uploads what it changed.
+_STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def normalised(text: Column | str = "text") -> Column:
@@ -48,8 +52,9 @@ def stream_groups(rows: DataFrame, out: str, checkpoint: str, files_per_batch: i
     reader = spark.readStream.schema(rows.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    before = spark.conf.get(_STORE, None)
-    spark.conf.set(_STORE, _ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in _STATE}
+    for key, value in _STATE.items():
+        spark.conf.set(key, value)
     try:
         for folder in sorted(folders):
             state = reader.parquet(folder).groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n"))
@@ -57,10 +62,8 @@ def stream_groups(rows: DataFrame, out: str, checkpoint: str, files_per_batch: i
             run = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
             run.trigger(availableNow=True).start().awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(_STORE)
-        else:
-            spark.conf.set(_STORE, before)
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     shape = rows.groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n")).schema
     if not folders:
         return spark.createDataFrame([], shape)
