@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mixing", "chat", "exact_dedup", "packing", "simhash")
+_MODULES = ("mixing", "chat", "exact_dedup", "packing", "simhash", "toxicity")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in _MODULES:
