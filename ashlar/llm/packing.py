@@ -41,23 +41,24 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
-        self.pieces, self.guarded = re.compile(r"[^\x20\x09-\x0D]+").findall, re.compile(r"<\||[\u0300-\u036f]").search
-
-    def __call__(self, text: str) -> np.ndarray:
-        if not self.guarded(text):
-            text = text.encode().lower().decode()
-        pieces, cache = self.pieces(text), self.cache
-        new = {w for w in pieces if w not in cache}
+        self.marks = re.compile(rb"\xcc|\xcd[\x80-\xaf]").search
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        """text is UTF-8; bytes part at ASCII white space only."""
+        if b"<|" not in text and (text.isascii() or not self.marks(text)):
+            text = text.lower()
+        pieces, cache = text.split(), self.cache
+        new = set(pieces).difference(cache)
         if new:
             if len(cache) + 2 * len(new) > CACHE_WORDS:
                 cache.clear()
                 new = set(pieces)
-            ended = {w for w in new if w[-1] in ".," and w[:-1].isalpha()}
-            plain = [w for w in (new - ended) | {w[:-1] for w in ended} | {w[-1] for w in ended} if w not in cache]
-            for word, found in zip(plain, self.tokenizer.encode_batch_fast(plain, add_special_tokens=False)):
+            ended = [w for w in new if w[-1] in b".," and w[:-1].decode().isalpha()]
+            plain = list(new.difference(ended).union(w[:-1] for w in ended).union(w[-1:] for w in ended).difference(cache))
+            for word, found in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)):
                 cache[word] = array("I", found.ids).tobytes()
             for word in ended:
-                cache[word] = cache[word[:-1]] + cache[word[-1]]
+                cache[word] = cache[word[:-1]] + cache[word[-1:]]
         return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32)
 
 
@@ -180,7 +181,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
 
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = np.append(encode(text.as_py() or ""), np.uint32(end))
+                ids = np.append(encode(text.as_py() or b""), np.uint32(end))
                 held.append((doc_id, ids))
                 tokens += len(ids)
                 if tokens >= group_tokens:
@@ -188,7 +189,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
                     held, tokens = [], 0
         yield from flush()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, SCHEMA)
 
 
 
