@@ -112,7 +112,7 @@ class _Parser:
             edge = RELATIONS[self.take(*RELATIONS).upper()]
             query.relations.append(Relation(edge, self.take("string"), negated))
             return
-        name = self.take("word").rpartition(".")[2]
+        name = self.take("word")
         op = self.take("=", "!=", "<>", "<", ">", "<=", ">=", "LIKE", "IN").upper()
         if op == "IN":
             self.take("(")
