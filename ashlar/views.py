@@ -27,7 +27,7 @@ VIEWS = {
     "v_files": f"SELECT *, {_LEVEL.format('score')} AS level FROM v_scored",
     "v_issues": "SELECT o_orderkey AS id, concat('file:', o_custkey) AS path, concat(o_orderstatus, o_orderkey % 7) AS rule_id, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'error' WHEN o_orderpriority LIKE '3%' THEN 'warning' ELSE 'info' END AS severity, o_orderkey AS ord FROM {orders}",
     "v_commits": "SELECT concat('u', user_id) AS path, event_type AS author, ts FROM {events}",
-    "v_points": "SELECT event_type AS project, CAST(ts AS DATE) AS day, count(*) AS issues, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS high, sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS errors FROM {events} GROUP BY event_type, CAST(ts AS DATE)",
+    "v_points": "SELECT event_type AS project, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS issues, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS high, sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS errors FROM {events} GROUP BY event_type, CAST(ts AS DATE)",
     "v_raw_old": "SELECT concat('u', user_id) AS path, floor(max(value)) AS top FROM {events} WHERE ts < TIMESTAMP '2024-01-04 00:00:00' GROUP BY user_id",
     "v_raw_new": "SELECT concat('u', user_id) AS path, floor(max(value)) AS top FROM {events} WHERE ts >= TIMESTAMP '2024-01-27 00:00:00' GROUP BY user_id",
     "v_old_files": f"SELECT path, CAST(top % 100 AS INT) / 100.0e0 AS score, {_LEVEL.format('CAST(top % 100 AS INT) / 100.0e0')} AS level FROM v_raw_old",
