@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -14,7 +15,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if not context._jsc.sc().getCheckpointDir().isDefined():
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local") or "cluster" in context.master:
+            if not re.match(r"local(\[|$)", context.master):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
         context.setCheckpointDir(folder)

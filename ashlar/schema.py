@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,8 +47,6 @@ def half_up(value: Column, digits: int = 2) -> Column:
 
 def exact_round(value: Column, digits: int = 2) -> Column:
     """Rounded by the exact binary value, ties to even, through a pandas function: only where such cases matter."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def rounded(values: pd.Series) -> pd.Series:
         return values.map(lambda x: x if pd.isna(x) else round(float(x), digits))

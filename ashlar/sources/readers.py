@@ -97,17 +97,17 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
 
 # Version logs
 
-def git_log(lines: DataFrame) -> DataFrame:
-    """lines(commit, value) of a log whose commits each give 'commit<TAB>epoch<TAB>author' and then paths, one row for each
-    (commit, path): path, author, ts. commit numbers the entries."""
-    head = lines.where(F.contains("value", F.lit("\t"))).select("commit", F.timestamp_seconds(F.split("value", "\t")[1].cast("long")).alias("ts"), F.split("value", "\t")[2].alias("author"))
-    return lines.where((~F.contains("value", F.lit("\t"))) & (F.trim("value") != "")).join(head, "commit").select(F.col("value").alias("path"), "author", "ts")
+def git_log(entries: DataFrame) -> DataFrame:
+    """entries(value), a commit each: 'commit<TAB>epoch<TAB>author' and then its paths, a line each; to (path, author, ts)."""
+    lines = F.split("value", "\n")
+    head = F.split(lines[0], "\t")
+    rows = entries.where(F.contains("value", F.lit("\t"))).select(F.timestamp_seconds(head[1].cast("long")).alias("ts"), head[2].alias("author"), F.explode(F.slice(lines, F.lit(2), F.size(lines))).alias("path"))
+    return rows.where(F.trim("path") != "").select("path", "author", "ts")
 
 
 def read_git_log(spark: SparkSession, path: str) -> DataFrame:
     """A log written with an empty line between commits."""
-    entries = spark.read.text(path, lineSep="\n\n").select(F.monotonically_increasing_id().alias("commit"), F.explode(F.split("value", "\n")).alias("value"))
-    return git_log(entries)
+    return git_log(spark.read.text(path, lineSep="\n\n"))
 
 
 def recent(commits: DataFrame, now: str, days: int) -> DataFrame:
