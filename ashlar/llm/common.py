@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -16,6 +17,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 FILE, ROW = "__lode_file", "__lode_row"
 #: Most keys that a filter of rows sends to every executor (16 bytes each); beyond it rows are joined by a shuffle.
 BROADCAST_KEYS = 300_000
+_own: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,10 +31,9 @@ def shared_path(spark: SparkSession, label: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _own.setdefault("root", f"file://{tempfile.mkdtemp(prefix='ashlar-')}")
     return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
