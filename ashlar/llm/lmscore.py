@@ -35,8 +35,18 @@ def grams(ids: np.ndarray, order: int) -> np.ndarray:
     return code
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Unsigned ids of 16 bits, or of 32 where one needs them, behind a byte that says which."""
+    small = ids.max(initial=0) < 1 << 16
+    return (b"\2" if small else b"\4") + ids.astype(np.uint16 if small else np.uint32).tobytes()
+
+
+def unpacked(value: bytes) -> np.ndarray:
+    return np.frombuffer(value, np.uint16 if value[:1] == b"\2" else np.uint32, offset=1)
+
+
 def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
-    """docs(FILE, ROW, doc_id, text) to (FILE, ROW, doc_id, block, ids); ids are unsigned, of 32 bits."""
+    """docs(FILE, ROW, doc_id, text) to (FILE, ROW, doc_id, block, ids); ids are packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -50,7 +60,7 @@ def tokens(docs: DataFrame, tokenizer: str) -> DataFrame:
                     block, held = block + 1, 0
                 held += len(found)
                 blocks.append(block)
-                ids.append(found.tobytes())
+                ids.append(packed(found))
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blocks, pa.int64()), pa.array(ids, pa.binary())], names=[FILE, ROW, "doc_id", "block", "ids"])
 
     texts = docs.select(FILE, ROW, F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text"))
@@ -75,7 +85,7 @@ def exploded(tokenised: DataFrame, order: int = ORDER) -> DataFrame:
             for block, ids in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if block not in held:
                     yield from flush()
-                held.setdefault(block, []).append(np.frombuffer(ids.as_py(), np.uint32))
+                held.setdefault(block, []).append(unpacked(ids.as_py()))
         yield from flush()
 
     return tokenised.select("block", "ids").mapInArrow(run, "block long, gram long, n long")
@@ -113,7 +123,7 @@ def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER) -> DataFrame:
         known, count = answers.column("gram").to_numpy(), answers.column("count").to_numpy()
         known, first = np.unique(known, return_index=True)
         count = count[first]
-        ids = [np.frombuffer(x.as_py(), np.uint32) for x in own.column("ids")]
+        ids = [unpacked(x.as_py()) for x in own.column("ids")]
         sums = [score(x, known, count) for x in ids]
         sizes = [len(x) for x in ids]
         return pa.table({"doc_id": own.column("doc_id"), "n_tokens": pa.array(sizes, pa.int64()), "logprob": pa.array(sums, pa.float64()), "mean_logprob": pa.array([s / n if n else None for s, n in zip(sums, sizes)], pa.float64())})

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import table
 
-WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 600_000
+WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 350_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
