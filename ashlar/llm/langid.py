@@ -4,13 +4,15 @@ A text's words are runs of letters, lowered and padded; its grams of one to thre
 ones in code-point order. A language's profile ranks the grams of all its learning texts. The out-of-place distance of a
 text to a profile adds up, over the text's MOST first grams, how far the ranks are apart, MOST for a gram that the
 profile lacks. The least distance wins, equal ones by the language's name.
+
+Grams are numbers: three code points of 21 bits, each plus one, 1 for padding and 0 for none, so that a text's grams are
+counted by sorting an array.
 """
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -19,113 +21,120 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import table
 
-MOST, CACHE_WORDS, FLUSH = 400, 200_000, 300_000
-_WORDS = re.compile(r"[^\W\d_]+").findall
-
-
-def words(text: str | None) -> list[str]:
-    return [w for w in _WORDS((text or "").lower()) if w.isalpha() or any(map(str.isalpha, w))]
-
-
-def grams(word: str) -> list[str]:
-    padded = f"_{word}_"
-    return list(word) + [padded[i : i + 2] for i in range(len(padded) - 1)] + [padded[i : i + 3] for i in range(len(padded) - 2)]
-
-
-def gram_counts(docs: DataFrame) -> DataFrame:
+MOST, CHUNK, FLUSH = 400, 1_000_000, 2_000_000
+BITS, PAD = 21, 1
+
+
+@lru_cache(maxsize=1)
+def _letters() -> np.ndarray:
+    """Of each code point the number that stands for it, if it's a letter, else 0."""
+    return np.array([i + 1 if chr(i).isalpha() else 0 for i in range(0x110000)], np.int64)
+
+
+def counted(codes: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order, and how often each occurs, or the sums of n."""
+    if n is not None:
+        order = np.argsort(codes, kind="stable")
+        codes, n = codes[order], n[order]
+    else:
+        codes = np.sort(codes)
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]])) if len(codes) else np.zeros(0, np.int64)
+    return codes[starts], np.diff(np.append(starts, len(codes))) if n is None else np.add.reduceat(n, starts) if len(starts) else n
+
+
+def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """A text's grams in order with their counts."""
+    found = _letters()[np.frombuffer((text or "").lower().encode("utf-32-le", "replace"), np.uint32)]
+    found = np.concatenate([[0], found, [0]])
+    keep = np.ones(len(found), bool)
+    keep[1:] = (found[1:] > 0) | (found[:-1] > 0)  # one pad between words
+    found = found[keep]
+    found[found == 0] = PAD
+    if len(found) < 3:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    parts = []
+    for at in range(0, len(found), CHUNK):
+        own = found[at : at + CHUNK + 2]
+        first = own << 2 * BITS
+        one = first[:CHUNK][own[:CHUNK] != PAD]
+        two = (first[:-1] | own[1:] << BITS)[:CHUNK]
+        three = (first[:-2] | own[1:-1] << BITS | own[2:])[own[1:-1] != PAD][:CHUNK]
+        parts.append(counted(np.concatenate([one, two, three])))
+    return parts[0] if len(parts) == 1 else counted(*map(np.concatenate, zip(*parts)))
+
+
+def counts_by_language(docs: DataFrame) -> DataFrame:
     """docs(lang, text) to (lang, gram, n) over all of them; each task adds up its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Counter] = {}
-
-        def flush() -> pa.RecordBatch:
-            rows = []
-            for lang, counted in held.items():
-                total: Counter = Counter()
-                for word, n in counted.items():
-                    for gram in grams(word):
-                        total[gram] += n
-                rows += [(lang, gram, n) for gram, n in total.items()]
+        held: dict[str, list] = {}
+        size = 0
+
+        def merge() -> int:
+            for lang, parts in held.items():
+                held[lang] = [counted(*map(np.concatenate, zip(*parts)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            merge()
+            for lang, ((gram, n),) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
             held.clear()
-            lang, gram, n = zip(*rows) if rows else ((), (), ())
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(gram, pa.string()), pa.array(n, pa.int64())], names=["lang", "gram", "n"])
 
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                held.setdefault(lang, Counter()).update(words(text.as_py()))
-                if sum(map(len, held.values())) > FLUSH:
-                    yield flush()
-        yield flush()
-
-    return docs.select("lang", "text").mapInArrow(run, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-
-
-def fit(docs: DataFrame, most: int = MOST) -> dict[str, dict[str, int]]:
-    """Profiles from docs(doc_id, lang, text): all rows with a text and a language that are not held out (CRC-32 of the
-    identifier divisible by 5, or no identifier). At most most grams for each language come to the driver."""
+                found = gram_counts(text.as_py())
+                held.setdefault(lang, []).append(found)
+                size += len(found[0])
+                if size > FLUSH:
+                    size = merge()
+                    if size > FLUSH // 2:
+                        yield from rows()
+                        size = 0
+        yield from rows()
+
+    return docs.select("lang", "text").mapInArrow(run, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, most: int = MOST) -> dict[str, list[int]]:
+    """Profiles, grams by rank, from docs(doc_id, lang, text): all rows with a text and a language that are not held out
+    (CRC-32 of the identifier divisible by 5, or no identifier). At most most grams for each language come to the driver."""
     teach = docs.where("lang IS NOT NULL AND text IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("n").desc(), "gram"))
-    rows = gram_counts(teach).withColumn("rank", rank).where(F.col("rank") <= most).collect()
-    profiles: dict[str, dict[str, int]] = {}
-    for lang, gram, _, place in rows:
-        profiles.setdefault(lang, {})[gram] = place
+    rows = counts_by_language(teach).withColumn("rank", rank).where(F.col("rank") <= most).select("lang", "rank", "gram").collect()
+    profiles: dict[str, list[int]] = {}
+    for lang, _, gram in sorted(rows):
+        profiles.setdefault(lang, []).append(gram)
     return profiles
 
 
 class Identifier:
-    """Distances to all profiles at once: each gram has a row of ranks, 0 where a profile lacks it."""
+    """Distances to all profiles at once: each known gram has a row of ranks, 0 where a profile lacks it."""
 
-    def __init__(self, profiles: dict[str, dict[str, int]], most: int = MOST):
+    def __init__(self, profiles: dict[str, list[int]], most: int = MOST):
         self.langs, self.most = sorted(profiles), most
-        self.ids: dict[str, int] = {}
-        self.ranks = np.zeros((0, len(self.langs)), np.int64)
-        known = sorted({gram for profile in profiles.values() for gram in profile})
-        self.known = {gram: [profiles[lang].get(gram, 0) for lang in self.langs] for gram in known}
-        self.start()
-
-    def start(self) -> None:
-        """Numbers for grams in code-point order, as far as they're known; words' grams by number."""
-        self.names = sorted(self.known)
-        self.ids = {gram: i for i, gram in enumerate(self.names)}
-        self.ranks = np.array([self.known[g] for g in self.names], np.int64).reshape(len(self.names), len(self.langs))
-        self.words: dict[str, np.ndarray] = {}
-
-    def numbers(self, word: str) -> np.ndarray:
-        found = self.words.get(word)
-        if found is None:
-            own = []
-            for gram in grams(word):
-                if gram not in self.ids:
-                    self.ids[gram] = len(self.names)
-                    self.names.append(gram)
-                own.append(self.ids[gram])
-            found = self.words[word] = np.array(own, np.int32)
-        return found
+        self.known = np.array(sorted({gram for profile in profiles.values() for gram in profile}), np.int64)
+        self.ranks = np.zeros((len(self.known) + 1, len(self.langs)), np.int64)  # the last row is for others
+        for i, lang in enumerate(self.langs):
+            self.ranks[np.searchsorted(self.known, profiles[lang]), i] = np.arange(1, len(profiles[lang]) + 1)
 
     def __call__(self, text: str | None) -> tuple[str, float]:
-        counted = Counter(words(text))
-        if not counted or not self.langs:
+        grams, n = gram_counts(text)
+        if not len(grams) or not self.langs:
             return "und", 0.0
-        if len(self.words) + len(counted) > CACHE_WORDS:
-            self.start()
-        own = [self.numbers(word) for word in counted]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        totals = np.bincount(np.concatenate(own), np.repeat(np.fromiter(counted.values(), np.int64, len(own)), sizes)).astype(np.int64)
-        first = np.flatnonzero(totals)
-        if len(first) > self.most:
-            least = np.partition(totals[first], len(first) - self.most)[len(first) - self.most]
-            first = first[totals[first] >= least]
-        ordered = sorted(zip((-totals[first]).tolist(), (self.names[i] for i in first.tolist()), first.tolist()))[: self.most]
-        places = np.array([i for *_, i in ordered])
-        ranks = np.zeros((len(places), len(self.langs)), np.int64)
-        inside = places < len(self.ranks)
-        ranks[inside] = self.ranks[places[inside]]
-        apart = np.where(ranks > 0, np.minimum(np.abs(ranks - np.arange(1, len(places) + 1)[:, None]), self.most), self.most).sum(axis=0)
+        if len(grams) > self.most:
+            least = np.partition(n, len(n) - self.most)[len(n) - self.most]
+            grams, n = grams[n >= least], n[n >= least]
+        top = grams[np.argsort(-n, kind="stable")][: self.most]
+        place = np.searchsorted(self.known, top)
+        place[(place == len(self.known)) | (self.known[np.minimum(place, len(self.known) - 1)] != top)] = len(self.known)
+        ranks = self.ranks[place]
+        apart = np.where(ranks > 0, np.minimum(np.abs(ranks - np.arange(1, len(top) + 1)[:, None]), self.most), self.most).sum(axis=0)
         best = int(np.argmin(apart))
-        return self.langs[best], float(1 - apart[best] / (self.most * len(places)))
+        return self.langs[best], float(1 - apart[best] / (self.most * len(top)))
 
 
-def identify(docs: DataFrame, profiles: dict[str, dict[str, int]], most: int = MOST) -> DataFrame:
+def identify(docs: DataFrame, profiles: dict[str, list[int]], most: int = MOST) -> DataFrame:
     """docs(doc_id, text) to doc_id, held_out, lang_pred, score (1 where all ranks agree, 0 where no gram is known).
 
     Texts that are null or hold no letter are und, with score 0; so is everything if nothing was learned. Repeated rows
