@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import FILE, ROW, located, materialise, table, without_rows
 
-EXAMPLES, BUCKETS, STEPS, RATE, RIDGE, SCALE, CACHE_WORDS = 4000, 1 << 16, 150, 0.1, 1e-4, 20.0, 500_000
+EXAMPLES, BUCKETS, STEPS, RATE, RIDGE, SCALE, CACHE_WORDS = 4000, 1 << 16, 150, 0.1, 1e-4, 20.0, 250_000
 _PARTS = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.DOTALL).match
 
 
@@ -85,16 +85,17 @@ class Model:
             z = np.bincount(row, w[bucket] * value, minlength=len(rows))
             edges = np.concatenate([np.full((len(rows), 1), -np.inf), theta - z[:, None], np.full((len(rows), 1), np.inf)], axis=1)
             upper, lower = edges[np.arange(len(y)), y + 1], edges[np.arange(len(y)), y]
-            cdf = lambda x: 1 / (1 + np.exp(-np.clip(x, -35, 35)))
-            p = np.maximum(cdf(upper) - cdf(lower), 1e-12)
-            at_upper, at_lower = cdf(upper) * (1 - cdf(upper)) / p, cdf(lower) * (1 - cdf(lower)) / p
-            slope = -(at_upper - at_lower)  # of the log likelihood by z
+            # Ratios of logistic functions by their logarithms, which don't saturate.
+            log = lambda x: -np.logaddexp(0, -x)
+            gap = -np.expm1(lower - upper)
+            at_upper, at_lower = np.exp(log(-upper) - log(-lower)) / gap, np.exp(log(lower) - log(upper)) / gap
+            slope = np.exp(log(upper)) + np.exp(log(lower)) - 1  # of the log likelihood by z
             grad_w = np.bincount(bucket, slope[row] * value, minlength=BUCKETS) / len(y) - RIDGE * w
             by_theta = np.array([(at_upper[y == k].sum() - at_lower[y == k + 1].sum()) / len(y) for k in range(len(theta))])
             grad_t = np.concatenate([[by_theta.sum()], [by_theta[k:].sum() * math.exp(free[k]) for k in range(1, len(free))]])
             speed_w += grad_w**2
             speed_t += grad_t**2
-            w += RATE * 4 * grad_w / (np.sqrt(speed_w) + 1e-8)
+            w += RATE * grad_w / (np.sqrt(speed_w) + 1e-8)
             free += RATE * grad_t / (np.sqrt(speed_t) + 1e-8)
         self.weights = w
         self.thresholds = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
