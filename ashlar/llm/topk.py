@@ -95,7 +95,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave: int = WAVE)
 
     Ties go to the smaller vec_id. A query isn't its own candidate: rows with its vec_id are left out. Vectors that are
     null or hold a null or non-finite component take no part, nor do rows without vec_id; only vectors of one length are
-    compared. Rows that repeat count once. An empty table gives an empty result; other columns are not looked at.
+    compared. Rows that repeat count once, and queries of one vec_id share their results. An empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
@@ -114,7 +114,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave: int = WAVE)
         if not block.num_rows:
             break
         last = int(block.column(0)[-1].as_py())
-    found = spark.read.schema(_RESULT).parquet(out)
+    found = spark.read.schema(_RESULT).parquet(out).distinct()
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
