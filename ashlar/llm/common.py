@@ -48,8 +48,11 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
 def located(docs: DataFrame) -> DataFrame:
     """docs with a key for each row: a hash of its file's path, and its place in the file.
 
-    Rows of a Parquet scan have such a key already; other input is first written to the shared folder.
+    Rows of a Parquet scan have such a key already; other input is first written to the shared folder. Rows with a key keep
+    it, so a caller that needs it twice asks once.
     """
+    if FILE in docs.columns:
+        return docs
     try:
         keyed = docs.select("*", F.xxhash64("_metadata.file_path").alias(FILE), F.col("_metadata.row_index").alias(ROW))
         keyed.schema  # noqa: B018

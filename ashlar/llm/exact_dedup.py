@@ -109,8 +109,9 @@ def _strays(texts: DataFrame, groups: DataFrame) -> DataFrame:
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
     """docs without the rows whose text an earlier row has; the columns stay as they are."""
-    gone = materialise(groups_of(docs, digest).where("NOT kept").select(FILE, ROW), "copies")
-    return without_rows(located(docs), gone).select(*docs.columns)
+    rows = located(docs)
+    gone = materialise(groups_of(rows, digest).where("NOT kept").select(FILE, ROW), "copies")
+    return without_rows(rows, gone).select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir):

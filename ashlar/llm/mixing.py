@@ -88,7 +88,7 @@ def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
 def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; the columns stay as they are."""
     rows = located(docs)
-    taken = copies(docs, seed, **shares).where("copies > 0").select(FILE, ROW, F.col("copies").alias("__lode_copies"))
+    taken = copies(rows, seed, **shares).where("copies > 0").select(FILE, ROW, F.col("copies").alias("__lode_copies"))
     often = rows.join(taken, [FILE, ROW])
     return often.withColumn("__lode_copies", F.explode(F.sequence(F.lit(1), F.col("__lode_copies")))).select(*docs.columns)
 

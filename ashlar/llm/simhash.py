@@ -210,8 +210,9 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, in_memory: int = IN_MEM
 
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     """docs with one document of each group of near copies; the columns stay as they are."""
-    gone = materialise(near_groups(docs, shingle).where("NOT first").select(FILE, ROW), "copies")
-    return without_rows(located(docs), gone).select(*docs.columns)
+    rows = located(docs)
+    gone = materialise(near_groups(rows, shingle).where("NOT first").select(FILE, ROW), "copies")
+    return without_rows(rows, gone).select(*docs.columns)
 
 
 def op7_simhash(spark, sf_dir):
