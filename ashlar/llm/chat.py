@@ -12,7 +12,7 @@ backslashes already there stay; taking one away again gives the text back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.llm.common import table
@@ -58,25 +58,24 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     is inside the loss mask, its placeholders too. An empty table gives an empty result; other columns are not looked at.
     """
     spoken = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
-    # Escaping is done turn by turn, before turns meet: only counting attachments needs the whole conversation.
-    gathered = spoken.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts"))).alias("turns"))
     others = lambda parts: F.filter(parts, lambda p: ~_is_text(p))
+    # How many attachments came before a turn is a running sum, so long conversations take time in proportion.
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
+    spoken = spoken.withColumn("before", F.coalesce(F.sum(F.size(others(F.col("parts")))).over(before), F.lit(0)))
+    gathered = spoken.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts", "before"))).alias("turns"))
     every = F.flatten(F.transform("turns", lambda t: t["parts"]))
     known = F.create_map(*[F.lit(x) for pair in EXPANDS.items() for x in pair])
     attachments = F.transform(others(every), lambda p, i: F.struct(i.cast("long").alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.element_at(known, p["type"]).cast("long"), F.lit(1).cast("long")).alias("tokens")))
-    framed = gathered.withColumn("attachments", attachments).withColumn("has_parts", F.size("attachments") > 0)
+    framed = gathered.withColumn("attachments", attachments)
 
-    def body(turn: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice("turns", 1, i), F.lit(0), lambda n, t: n + F.size(others(t["parts"])))
-        place = lambda j: before + F.size(others(F.slice(turn["parts"], 1, j)))
-        rich = F.array_join(F.transform(turn["parts"], lambda p, j: _visit(p, place(j))), "")
-        plain = F.array_join(F.transform(turn["parts"], lambda p: escaped(p["text"])), "")
-        return F.when(F.col("has_parts"), rich).otherwise(plain)
+    def body(turn: Column) -> Column:
+        place = lambda j: turn["before"] + F.size(others(F.slice(turn["parts"], F.lit(1), j)))
+        return F.array_join(F.transform(turn["parts"], lambda p, j: _visit(p, place(j))), "")
 
     segment = lambda text, loss: F.struct(text.alias("text"), F.lit(loss).alias("loss"))
-    of_turn = lambda t, i: F.array(
+    of_turn = lambda t: F.array(
         segment(F.concat(F.lit(TURN), escaped(t["role"]), F.lit(SAYS)), False),
-        F.struct(body(t, i).alias("text"), (t["role"] == "assistant").alias("loss")),
+        F.struct(body(t).alias("text"), (t["role"] == "assistant").alias("loss")),
         segment(F.lit(DONE), False),
     )
     segments = framed.select("conv_id", F.flatten(F.transform("turns", of_turn)).alias("segments"), "attachments")
