@@ -128,7 +128,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, wanted: in
     grades = {r[0]: int(r[1]) for r in chosen.collect()}  # at most examples rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id")), "doc_id")
     rows: dict[int, str] = {}
-    for doc_id, text in texts.toLocalIterator():
+    for doc_id, text in texts.collect():  # of the chosen identifiers only
         rows[doc_id] = min(rows.get(doc_id, text), text)
     return Model([(rows[doc_id], grades[doc_id]) for doc_id in sorted(rows)], wanted)
 

@@ -2,9 +2,10 @@
 
 Learning looks at a bounded sample of labelled documents (EXAMPLES, those with the least hashes) in the driver. Its words
 are runs of letters, lowered, and beginnings of words, which catch a stem in all its forms. Those whose presence goes
-with the label (chi-square at least CHI, in FEWEST examples or more) are the terms; at most TERMS of them. An example's vector weighs them by (1 + log tf) * idf, beside REST for
-the root of the number of other words, and is normalised: one term by chance in a long text weighs little. Examples
-without any term are only counted: they say how likely the label is for a document in which no term occurs.
+with the label (chi-square at least CHI, in FEWEST examples or more) are the terms; at most TERMS of them. An example's
+vector weighs them by (1 + log tf) * idf, beside REST for the root of the number of other words, and is normalised: one
+term by chance in a long text weighs little. Examples without any term are only counted: they say how likely the label
+is for a document in which no term occurs.
 
 The index keeps, for blocks of BLOCK examples, the largest weight of each term in the block. A document's bound for every
 block is one small product; blocks are searched exactly in falling order of bounds until the next bound is below the
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from ashlar.llm.common import FILE, ROW, located, materialise, table, without_rows
 
 EXAMPLES, TERMS, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 2000, 4, 40.0, 64, 15, 0.25
-BEGINNINGS, REST, POWER, CACHE_WORDS = (3, 4, 5, 6, 7), 0.6, 4, 400_000
+BEGINNINGS, REST, POWER, CACHE_WORDS = (3, 4, 5, 6, 7), 0.6, 4, 200_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -173,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
     ids = {r[0]: int(r[1] > 0) for r in chosen.collect()}  # at most examples rows
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id")), "doc_id")
     rows = {}
-    for doc_id, text in texts.toLocalIterator():
+    for doc_id, text in texts.collect():  # of the chosen identifiers only
         rows[doc_id] = min(rows.get(doc_id, text), text)
     return Model([(doc_id, rows[doc_id], ids[doc_id]) for doc_id in sorted(rows)])
 
