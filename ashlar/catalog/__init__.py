@@ -4,7 +4,7 @@ from importlib import import_module
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _name in ("graphs", "analytics", "contents"):
+for _name in ("graphs", "analytics", "contents", "stores"):
     _module = import_module(f"ashlar.catalog.{_name}")
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -10,7 +10,7 @@ import ast
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.schema import split_lines
@@ -331,3 +331,25 @@ def compressed(files: DataFrame) -> DataFrame:
         return pd.Series([compress(c or "", k) for c, k in zip(content, kind)])
 
     return files.select("path", "strategy", apply("content", "strategy").alias("text"))
+
+
+def digest(facts: DataFrame, most_parameters: int = 5) -> DataFrame:
+    """A compact row for each function: parameters beyond the first ones become '...'."""
+    parameters = F.when(F.size("parameters") > most_parameters, F.concat(F.slice("parameters", 1, most_parameters), F.array(F.lit("...")))).otherwise(F.col("parameters"))
+    return exploded(facts, "functions").select("path", "name", F.col("line_start").alias("line"), F.col("complexity").alias("cx"), parameters.alias("args"), "decorators", F.col("return_type").alias("ret"), "is_async")
+
+
+def analysis(files: DataFrame) -> dict[str, DataFrame]:
+    """One extraction, then complexity, imports and patterns by file."""
+    facts = extract(files)
+    functions, classes = exploded(facts, "functions"), exploded(facts, "classes")
+    imports = facts.select(F.col("path").alias("file"), F.explode("imports").alias("i")).select("file", "i.path", "i.alias", "i.line")
+    return {"complexity": semantic_metrics(functions), "imports": imports, "patterns": patterns(functions.select("path", "name", "line_start", "line_end"), classes)}
+
+
+def merged_intervals(spans: DataFrame) -> DataFrame:
+    """spans(path, start, end) with those that overlap as one: a span begins an island if it starts at or after all ends before."""
+    order = Window.partitionBy("path").orderBy("start", "end")
+    fresh = F.coalesce((F.col("start") >= F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    island = F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    return spans.withColumn("fresh", fresh).withColumn("island", island).groupBy("path", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("island")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame
 
@@ -20,3 +21,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark, label: str) -> str:
+    """A new path in the folder that driver and executors share."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"file://{tempfile.mkdtemp(prefix='ashlar-')}"
+    return f"{folder.rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -18,8 +18,10 @@ def save_graph(graph: Graph, path: str, generation: int = 0) -> None:
     graph.edges.write.mode("overwrite").partitionBy("type").parquet(f"{path}/g={generation}/edges")
 
 
-def load_graph(spark: SparkSession, path: str, generation: int = 0) -> Graph:
-    return Graph(spark.read.parquet(f"{path}/g={generation}/nodes"), spark.read.parquet(f"{path}/g={generation}/edges"))
+def load_graph(spark: SparkSession, path: str, generation: int = 0, schemas: tuple | None = None) -> Graph:
+    """schemas, of nodes and edges, are needed where a part may be empty."""
+    read = lambda part, i: (spark.read.schema(schemas[i]) if schemas else spark.read).parquet(f"{path}/g={generation}/{part}")
+    return Graph(read("nodes", 0), read("edges", 1))
 
 
 def upsert(spark: SparkSession, path: str, generation: int, more: Graph) -> Graph:
