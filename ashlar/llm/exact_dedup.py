@@ -21,11 +21,12 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from ashlar.llm.common import BROADCAST_KEYS, FILE, ROW, SPACE, located, materialise, shared_path, table, without_rows
 
-#: State on disk; small stores don't reserve room ahead, and a batch uploads what it changed.
+#: State on disk; small stores don't reserve room ahead, and a batch uploads what it changed, a file for each store.
 _STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.checkpoint.fileChecksum.enabled": "false",
 }
 
 
@@ -42,24 +43,27 @@ def _smallest() -> Column:
     return F.min(F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", FILE, ROW)).alias("keep")
 
 
-def stream_groups(rows: DataFrame, out: str, checkpoint: str, files_per_batch: int | None = None) -> DataFrame:
+def stream_groups(rows: DataFrame, out: str, checkpoint: str, files_per_batch: int | None = None, partitions: int | None = None) -> DataFrame:
     """Runs the stateful query over the Parquet files of rows(digest, doc_id, key) that checkpoint has not seen yet.
 
-    Returns the groups (digest, keep, n) after all batches written below out, earlier calls included.
+    Returns the groups (digest, keep, n) after all batches written below out, earlier calls included. The state has so
+    many partitions from a checkpoint's first run on; a quarter of those of a shuffle unless told, as a group takes a
+    hundred bytes or so where a text takes thousands.
     """
     spark = rows.sparkSession
+    state = _STATE | {"spark.sql.shuffle.partitions": str(partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))}
     folders = {f.rpartition("/")[0] for f in rows.inputFiles()}
     reader = spark.readStream.schema(rows.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    before = {key: spark.conf.get(key, None) for key in _STATE}
-    for key, value in _STATE.items():
+    before = {key: spark.conf.get(key, None) for key in state}
+    for key, value in state.items():
         spark.conf.set(key, value)
     try:
         for folder in sorted(folders):
-            state = reader.parquet(folder).groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n"))
+            seen = reader.parquet(folder).groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n"))
             write = lambda groups, batch: groups.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-            run = state.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+            run = seen.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
             run.trigger(availableNow=True).start().awaitTermination()
     finally:
         for key, value in before.items():
@@ -100,11 +104,13 @@ def _strays(texts: DataFrame, groups: DataFrame) -> DataFrame:
     """Hits whose bytes differ from those of the row that stays. Normally none."""
     shared = groups.where("n > 1").select("digest", "keep")
     small = shared.count() <= BROADCAST_KEYS // 4
-    hits = texts.join(F.broadcast(shared) if small else shared, "digest")
     first = (F.col("keep")[FILE] == F.col(FILE)) & (F.col("keep")[ROW] == F.col(ROW))
-    stay = materialise(hits.where(first).select("digest", F.col("whole").alias("kept_whole")), "kept")
-    differ = hits.where(~first).select(FILE, ROW, "doc_id", "digest", "whole").join(stay, "digest").where("whole <> kept_whole")
-    return materialise(differ.drop("kept_whole"), "strays")
+    stay = texts.join(F.broadcast(shared) if small else shared, "digest").where(first).select("digest", "keep", F.col("whole").alias("kept_whole"))
+    # Either way one join on the digest of two shuffled sides, which Spark can split where a text is very frequent.
+    hits = texts.join(F.broadcast(shared.select("digest")), "digest", "left_semi") if small else texts
+    stay = stay if small else materialise(stay, "kept")
+    differ = hits.join(stay, "digest").where(~first & (F.col("whole") != F.col("kept_whole")))
+    return materialise(differ.select(FILE, ROW, "doc_id", "digest", "whole"), "strays")
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
