@@ -18,6 +18,7 @@ FILE, ROW = "__lode_file", "__lode_row"
 #: Most keys that a filter of rows sends to every executor (16 bytes each); beyond it rows are joined by a shuffle.
 BROADCAST_KEYS = 300_000
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,7 +35,17 @@ def shared_path(spark: SparkSession, label: str) -> str:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = _own.setdefault("root", f"file://{tempfile.mkdtemp(prefix='ashlar-')}")
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def clean(spark: SparkSession) -> None:
+    """Deletes the tables and states that this process has written to the shared folder. For when results are written:
+    DataFrames that still read them fail afterwards."""
+    paths, jvm = spark.sparkContext._jvm.org.apache.hadoop.fs, spark.sparkContext._jsc.hadoopConfiguration()
+    while _made:
+        path = paths.Path(_made.pop())
+        path.getFileSystem(jvm).delete(path, True)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:

@@ -359,10 +359,12 @@ def test_components(spark, pairs):
 
 # Exact deduplication
 
+@pytest.mark.parametrize("keys", [300_000, 0])
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda text: (F.length(text) % 3).cast("string")])
-def test_exact_groups(spark, digest):
+def test_exact_groups(spark, monkeypatch, digest, keys):
     import re
 
+    monkeypatch.setattr(exact_dedup, "BROADCAST_KEYS", keys)
     docs = hard(spark)
     rows = [(r.doc_id, re.sub(r"[\x20\x09-\x0D]+", " ", r.text or "")) for r in docs.collect()]
     found = exact_dedup.groups_of(docs, digest).collect()
