@@ -107,7 +107,8 @@ def match_coverage(files: DataFrame, coverage: DataFrame, strict: bool = False)
     leaf = lambda c: F.substring_index(c, "/", -1)
     entries = coverage.select(F.col("path").alias("entry"), "rate", "ord", leaf("path").alias("leaf"))
     equal = files.join(entries.select(F.col("entry").alias("path"), "rate"), "path").groupBy("path").agg(F.max("rate").alias("exact"))
-    keyed = files.select("path", leaf("path").alias("leaf")).join(entries, "leaf").where(F.endswith("path", F.col("entry")) | F.endswith("entry", F.col("path")))
+    rest = files.select("path", leaf("path").alias("leaf")).join(equal, "path", "left_anti")
+    keyed = rest.join(entries, "leaf").where(F.endswith("path", F.col("entry")) | F.endswith("entry", F.col("path")))
     close = keyed.groupBy("path").agg(F.min_by("rate", "ord").alias("close"))
     rate = F.coalesce("exact", "close", F.lit((1.0 if coverage.isEmpty() else 0.0)) if strict else F.lit(None).cast("double"))
     return files.select("path").join(equal, "path", "left").join(close, "path", "left").select("path", rate.alias("rate"))

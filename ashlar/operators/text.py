@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 
 def context_lines(content: Column, line: Column, size: int, from_line: bool = False) -> Column:
-    """Lines around line (from 1): from line - 1 - size / 2 up to line + size / 2, or from line - size / 2 on."""
+    """Lines around line, counted from 1: size / 2 before it up to size / 2 behind it; from_line leaves out the first one."""
     lines, half = F.split(content, "\n"), size // 2
-    start = F.greatest(line - half, F.lit(1)) if from_line else F.greatest(line - half, F.lit(1))
+    start = F.greatest(line - half + int(from_line), F.lit(1))
     end = F.least(F.size(lines), line + half)
     return F.array_join(F.slice(lines, start, F.greatest(end - start + 1, F.lit(0))), "\n")
 

@@ -12,4 +12,5 @@ def spark():
 
     session = local_session(8, "6g", 4)
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    session.stop()
