@@ -18,7 +18,7 @@ VIEWS = {
     "v_pairs": "SELECT l1.l_partkey AS s, l2.l_partkey AS t, l1.l_linenumber AS line FROM {lineitem} l1 JOIN {lineitem} l2 ON l1.l_orderkey = l2.l_orderkey AND l2.l_linenumber = l1.l_linenumber + 1",
     "v_calls": "SELECT DISTINCT concat('function:', s) AS source, concat('function:', t) AS target, 'calls' AS type FROM v_pairs",
     "v_calls_sparse": "SELECT DISTINCT concat('function:', s) AS source, concat('function:', t) AS target, 'calls' AS type FROM v_pairs WHERE line = 6 AND s < t",
-    "v_calls_dag": "SELECT DISTINCT s AS source, t AS target FROM v_pairs WHERE line = 6 AND s < t",
+    "v_calls_dag": "SELECT DISTINCT s AS source, t AS target FROM v_pairs WHERE s < t",
     "v_imports": "SELECT concat('file:', c_custkey) AS source, concat('class:', c_nationkey) AS target, 'imports' AS type FROM {customer}",
     "v_inherits": "SELECT concat('class:', n_nationkey) AS source, concat('module:', n_regionkey) AS target, 'inherits' AS type FROM {nation}",
     "v_contains": "SELECT concat('file:', p_partkey % 100 + 1) AS source, concat('function:', p_partkey) AS target, 'contains' AS type FROM {part}",
