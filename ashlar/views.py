@@ -34,7 +34,7 @@ VIEWS = {
     "v_new_files": f"SELECT path, CAST(top % 100 AS INT) / 100.0e0 AS score, {_LEVEL.format('CAST(top % 100 AS INT) / 100.0e0')} AS level FROM v_raw_new",
     "v_old_issues": "SELECT DISTINCT concat('u', user_id) AS path, concat(event_type, user_id % 4) AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM {events} WHERE ts < TIMESTAMP '2024-01-04 00:00:00'",
     "v_new_issues": "SELECT DISTINCT concat('u', user_id) AS path, concat(event_type, user_id % 4) AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM {events} WHERE ts >= TIMESTAMP '2024-01-27 00:00:00'",
-    "v_deps": "SELECT s AS src, t AS dst FROM v_pairs WHERE line >= 5",
+    "v_deps": "SELECT s AS src, t AS dst FROM v_pairs",
     "v_base": "SELECT p_partkey AS path, least(p_size / 50.0e0, 1.0e0) AS score FROM {part}",
     "v_metrics": "SELECT concat('file:', p_partkey) AS path, CAST(floor(p_retailprice) AS INT) AS lines_of_code, p_size % 25 AS max_complexity, (p_size % 25) / 2.0e0 AS avg_complexity, p_size AS fan_out, (p_size % 11) * 1.0e0 AS churn, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size % 10) / 10.0e0 END AS coverage, p_size % 8 AS authors FROM {part}",
     "v_coverage": "SELECT concat('doc/', doc_id) AS path, CAST(quality AS DOUBLE) AS rate FROM {labels}",

@@ -64,3 +64,29 @@ def test_skipped(spark, after):
         seen |= new
         todo += new
     assert sorted(r.id for r in catalog.QUERIES["g31_skipped"](spark, DATA).collect()) == sorted(seen - failed)
+
+
+def test_deps_are_all_calls(spark):
+    pairs = calls()
+    assert sorted((r.src, r.dst) for r in view(spark, DATA, "v_deps").collect()) == sorted(pairs)
+    parts = {s for s, _ in pairs} | {t for _, t in pairs}
+    fan = {r.path: (r.fan_out, r.fan_in) for r in catalog.QUERIES["g29_fan"](spark, DATA).collect()}
+    assert fan == {p: (sum(s == p for s, _ in set(pairs)), sum(t == p for _, t in set(pairs))) for p in parts}
+    old, new = ({p for p in pairs if p[end] % 2 == 0} for end in (0, 1))
+    expected = [("added", *p) for p in new - old] + [("removed", *p) for p in old - new]
+    assert sorted(tuple(r) for r in catalog.QUERIES["d04_dependency_diff"](spark, DATA).select("op", "src", "dst").collect()) == sorted(expected)
+
+
+def test_propagation_over_all_dependencies(spark):
+    own = {r["p_partkey"]: min(r["p_size"] / 50, 1.0) for r in pq.read_table(f"{DATA}/part.parquet", columns=["p_partkey", "p_size"]).to_pylist()}
+    score = dict(own)
+    for _ in range(5):
+        gain = defaultdict(float)
+        for s, t in calls():
+            gain[s] += 0.2 * score[t]
+        score = {p: own[p] + gain[p] if abs(own[p] + gain[p] - score[p]) > 0.01 else score[p] for p in own}
+    found = {r.path: r.score for r in catalog.QUERIES["r07_propagation"](spark, DATA).collect()}
+    assert found == pytest.approx(score, abs=1e-4)
+    levels = {p: next(level for least, level in ((0.9, "critical"), (0.7, "high"), (0.4, "medium"), (-1, "low")) if min(1.0, x) >= least) for p, x in score.items()}
+    relabelled = {r.path: (r.level, r.risen) for r in catalog.QUERIES["r08_relabel"](spark, DATA).collect()}
+    assert relabelled == {p: (levels[p], min(1.0, round(x, 4)) > own[p] + 0.05) for p, x in score.items()}
