@@ -28,12 +28,12 @@ VIEWS = {
     "v_issues": "SELECT o_orderkey AS id, concat('file:', o_custkey) AS path, concat(o_orderstatus, o_orderkey % 7) AS rule_id, CASE WHEN o_orderpriority LIKE '1%' OR o_orderpriority LIKE '2%' THEN 'error' WHEN o_orderpriority LIKE '3%' THEN 'warning' ELSE 'info' END AS severity, o_orderkey AS ord FROM {orders}",
     "v_commits": "SELECT concat('u', user_id) AS path, event_type AS author, ts FROM {events}",
     "v_points": "SELECT event_type AS project, CAST(CAST(ts AS DATE) AS STRING) AS day, count(*) AS issues, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS high, sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END) AS errors FROM {events} GROUP BY event_type, CAST(ts AS DATE)",
-    "v_raw_old": "SELECT concat('u', user_id) AS path, floor(max(value)) AS top FROM {events} WHERE ts < TIMESTAMP '2024-01-04 00:00:00' GROUP BY user_id",
-    "v_raw_new": "SELECT concat('u', user_id) AS path, floor(max(value)) AS top FROM {events} WHERE ts >= TIMESTAMP '2024-01-27 00:00:00' GROUP BY user_id",
+    "v_raw_old": "SELECT concat('u', user_id) AS path, floor(max(value)) AS top FROM {events} WHERE ts < TIMESTAMP '2024-01-16 00:00:00' GROUP BY user_id",
+    "v_raw_new": "SELECT concat('u', user_id) AS path, floor(max(value)) AS top FROM {events} WHERE ts >= TIMESTAMP '2024-01-16 00:00:00' GROUP BY user_id",
     "v_old_files": f"SELECT path, CAST(top % 100 AS INT) / 100.0e0 AS score, {_LEVEL.format('CAST(top % 100 AS INT) / 100.0e0')} AS level FROM v_raw_old",
     "v_new_files": f"SELECT path, CAST(top % 100 AS INT) / 100.0e0 AS score, {_LEVEL.format('CAST(top % 100 AS INT) / 100.0e0')} AS level FROM v_raw_new",
-    "v_old_issues": "SELECT DISTINCT concat('u', user_id) AS path, concat(event_type, user_id % 4) AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM {events} WHERE ts < TIMESTAMP '2024-01-04 00:00:00'",
-    "v_new_issues": "SELECT DISTINCT concat('u', user_id) AS path, concat(event_type, user_id % 4) AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM {events} WHERE ts >= TIMESTAMP '2024-01-27 00:00:00'",
+    "v_old_issues": "SELECT DISTINCT concat('u', user_id) AS path, concat(event_type, user_id % 4) AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM {events} WHERE ts < TIMESTAMP '2024-01-16 00:00:00'",
+    "v_new_issues": "SELECT DISTINCT concat('u', user_id) AS path, concat(event_type, user_id % 4) AS id, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS severity FROM {events} WHERE ts >= TIMESTAMP '2024-01-16 00:00:00'",
     "v_deps": "SELECT s AS src, t AS dst FROM v_pairs",
     "v_base": "SELECT p_partkey AS path, least(p_size / 50.0e0, 1.0e0) AS score FROM {part}",
     "v_metrics": "SELECT concat('file:', p_partkey) AS path, CAST(floor(p_retailprice) AS INT) AS lines_of_code, p_size % 25 AS max_complexity, (p_size % 25) / 2.0e0 AS avg_complexity, p_size AS fan_out, (p_size % 11) * 1.0e0 AS churn, CASE WHEN p_size % 5 = 0 THEN NULL ELSE (p_size % 10) / 10.0e0 END AS coverage, p_size % 8 AS authors FROM {part}",

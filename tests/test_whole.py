@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from ashlar import catalog
 from ashlar.views import view
@@ -90,3 +91,28 @@ def test_propagation_over_all_dependencies(spark):
     levels = {p: next(level for least, level in ((0.9, "critical"), (0.7, "high"), (0.4, "medium"), (-1, "low")) if min(1.0, x) >= least) for p, x in score.items()}
     relabelled = {r.path: (r.level, r.risen) for r in catalog.QUERIES["r08_relabel"](spark, DATA).collect()}
     assert relabelled == {p: (levels[p], min(1.0, round(x, 4)) > own[p] + 0.05) for p, x in score.items()}
+
+
+def test_every_event_is_in_one_snapshot(spark):
+    rows = pq.read_table(f"{DATA}/events.parquet").to_pylist()
+    old, new = ([r for r in rows if (r["ts"].replace(tzinfo=None).isoformat() < "2024-01-16") == first] for first in (True, False))
+    for name, part in (("old", old), ("new", new)):
+        top = defaultdict(float)
+        for r in part:
+            top[f"u{r['user_id']}"] = max(top[f"u{r['user_id']}"], r["value"])
+        assert {r.path: r.top for r in view(spark, DATA, f"v_raw_{name}").collect()} == {u: int(x) for u, x in top.items()}
+        issues = {(f"u{r['user_id']}", f"{r['event_type']}{r['user_id'] % 4}") for r in part}
+        assert {(r.path, r.id) for r in view(spark, DATA, f"v_{name}_issues").collect()} == issues
+
+
+def test_snapshots_of_a_small_table(spark, tmp_path):
+    """Users only before, only after and on both sides of the split; no event between 4 and 26 January is left out."""
+    events = [(1, "2024-01-10", 1, "error", 95.0), (2, "2024-01-15 23:59:59", 2, "click", 10.0), (3, "2024-01-16", 2, "click", 10.0), (4, "2024-01-20", 3, "error", 75.0), (5, "2024-01-12", 4, "view", 20.0), (6, "2024-01-25", 4, "error", 80.0)]
+    rows = spark.createDataFrame(events, "event_id long, ts string, user_id long, event_type string, value double").withColumn("ts", F.to_timestamp("ts"))
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    files = {r.path: (r.status, r.score_delta, r.added, r.resolved) for r in catalog.QUERIES["d02_file_diff"](spark, d).collect()}
+    assert files == {"u1": ("removed", -0.95, 0, 1), "u2": ("unchanged", 0.0, 0, 0), "u3": ("added", 0.75, 1, 0), "u4": ("modified", 0.6, 1, 1)}
+    assert {(r.path, r.status) for r in catalog.QUERIES["d03_structural_diff"](spark, d).collect()} == {("u1", "removed"), ("u3", "added"), ("u4", "modified")}
+    assert catalog.QUERIES["d01_project_diff"](spark, d).first().asDict() == {"high_delta": 2, "issues_delta": 0, "errors_delta": 1}
+    assert {(r.kind, r.delta) for r in catalog.QUERIES["d08_regressions"](spark, d).collect()} == {("error_issues", 1), ("high_risk_files", 2)}
