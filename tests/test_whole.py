@@ -116,3 +116,30 @@ def test_snapshots_of_a_small_table(spark, tmp_path):
     assert {(r.path, r.status) for r in catalog.QUERIES["d03_structural_diff"](spark, d).collect()} == {("u1", "removed"), ("u3", "added"), ("u4", "modified")}
     assert catalog.QUERIES["d01_project_diff"](spark, d).first().asDict() == {"high_delta": 2, "issues_delta": 0, "errors_delta": 1}
     assert {(r.kind, r.delta) for r in catalog.QUERIES["d08_regressions"](spark, d).collect()} == {("error_issues", 1), ("high_risk_files", 2)}
+
+
+def test_line_count_of_every_text(spark, tmp_path):
+    texts = [None, "", "\n", "a", "a\nb\n", "a\r\nb\r\nc", "a\rb", "a\x0bb\x0cc", "a\x1cb\x1dc\x1ed\n", "a\x85b", "a b c"]
+    rows = [(i, text, "en", "s", len(text or "")) for i, text in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.path: r.lines for r in catalog.QUERIES["line_count"](spark, str(tmp_path)).collect()}
+    assert found == {f"doc/{i}": len((text or "").splitlines()) for i, text in enumerate(texts)}
+
+
+def test_scores_on_a_threshold(spark, tmp_path):
+    expected, rows = {}, []
+    for size in range(1, 51):
+        c = min((0.5 * min(size % 25, 20) / 2 + 0.3 * min(size % 25 / 2, 10) + 0.2 * min(size, 20) / 2) / 10, 1)
+        coverage = 1.0 if size % 5 == 0 else (1 - size % 10 / 10) * 10 / 10
+        rest = 0.3 * c + 0.25 * min(size % 11 / 10, 1) + 0.25 * coverage + 0.1 * min(size % 8 / 5, 1)
+        for limit in (0.4, 0.7):
+            loc = round((limit - rest) * 10_000)
+            if c <= 0.7 and 0 <= loc <= 1000 and abs(rest + 0.1 * loc / 1000 - limit) < 1e-9:
+                expected[f"file:{len(rows)}"] = limit
+                rows.append((len(rows), "n", "b", "t", size, float(loc)))
+    assert set(expected.values()) == {0.4, 0.7}
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{tmp_path}/part.parquet")
+    scored = {r.path: r for r in catalog.QUERIES["r04_weighted_risk"](spark, str(tmp_path)).collect()}
+    assert {path: r.score for path, r in scored.items()} == expected
+    factors = {r.path: r.factors for r in catalog.QUERIES["r05_factors"](spark, str(tmp_path)).collect()}
+    assert {path: "low_risk" in x for path, x in factors.items()} == {path: r.level == "low" for path, r in scored.items()}
