@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +71,18 @@ def write_history(root: str, project: str, snapshot: str, created_at: str, files
 # Documents of a bounded size
 
 def report_json(report: DataFrame, rows: DataFrame, most: int = 1000) -> str:
-    """A project's summary, and its worst files."""
-    worst = rows.orderBy(F.col("score").desc(), "path").limit(most)
-    return json.dumps({"project_summary": report.first().asDict(recursive=True), "files": [json.loads(r) for r in worst.toJSON().take(most)]}, default=str, indent=2)
+    """A project's summary and its files, the worst first, where there are at most so many."""
+    files = rows.orderBy(F.col("score").desc(), "path").limit(most + 1).toJSON().take(most + 1)
+    if len(files) > most:
+        raise ValueError("too many files for one document: write_report instead")
+    return json.dumps({"project_summary": report.first().asDict(recursive=True), "files": [json.loads(r) for r in files]}, default=str, indent=2)
+
+
+def write_report(report: DataFrame, rows: DataFrame, path: str) -> None:
+    """A project's summary and all its files as JSON lines, below what=project_summary and what=files."""
+    line = F.to_json(F.struct("*")).alias("value")
+    lines = report.select(F.lit("project_summary").alias("what"), line).unionByName(rows.select(F.lit("files").alias("what"), line))
+    lines.write.mode("overwrite").partitionBy("what").text(path)
 
 
 def report_markdown(report: DataFrame, rows: DataFrame, most: int = 20) -> str:
@@ -101,12 +112,30 @@ def junit_xml(issues: DataFrame, name: str = "scan", most: int = 10_000) -> str:
     return f'<testsuite name={quoteattr(name)} tests="{counts["tests"]}" failures="{counts["failures"]}">{cases}</testsuite>'
 
 
-def yaml_document(rows: DataFrame, most: int = 1000) -> str:
-    """Rows as YAML without nulls."""
+def _yaml(rows: list[dict]) -> str:
     import yaml
 
     without = lambda x: {k: without(v) for k, v in x.items() if v is not None} if isinstance(x, dict) else [without(v) for v in x] if isinstance(x, list) else x
-    return yaml.safe_dump([without(r.asDict(recursive=True)) for r in rows.take(most)], sort_keys=False)
+    return yaml.safe_dump([without(r) for r in rows], sort_keys=False)
+
+
+def yaml_document(rows: DataFrame, most: int = 1000) -> str:
+    """Rows as YAML without nulls, where there are at most so many."""
+    found = rows.take(most + 1)
+    if len(found) > most:
+        raise ValueError("too many rows for one document: write yaml_items instead")
+    return _yaml([r.asDict(recursive=True) for r in found])
+
+
+def yaml_items(rows: DataFrame) -> DataFrame:
+    """Each row as an item of a YAML list without nulls, to be written as text by the executors."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = [_yaml([r]).rstrip("\n") for r in batch.to_pylist(maps_as_pydicts="strict")]
+            yield pa.RecordBatch.from_arrays([pa.array(items, pa.string())], names=["value"])
+
+    return rows.mapInArrow(run, "value string")
 
 
 def write_json(df: DataFrame, path: str, schema: str | None = None) -> None:

@@ -1,12 +1,15 @@
 """Domain tables hold all rows of the driver's tables: queries against plain Python that reads the tables itself."""
 
+import json
 from collections import defaultdict
 
 import pyarrow.parquet as pq
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from ashlar import catalog
+from ashlar.sources import writers
 from ashlar.views import view
 from tests.oracle import DATA
 
@@ -143,3 +146,22 @@ def test_scores_on_a_threshold(spark, tmp_path):
     assert {path: r.score for path, r in scored.items()} == expected
     factors = {r.path: r.factors for r in catalog.QUERIES["r05_factors"](spark, str(tmp_path)).collect()}
     assert {path: "low_risk" in x for path, x in factors.items()} == {path: r.level == "low" for path, r in scored.items()}
+
+
+def test_documents_of_more_rows_than_their_bound(spark, tmp_path):
+    rows = spark.range(1200).select(F.concat(F.lit("f: "), "id").alias("path"), (F.col("id") / 1200).alias("score"), F.when(F.col("id") % 2 == 0, F.array(F.col("id"))).alias("lines"), F.create_map(F.lit("a"), F.col("id")).alias("tags"))
+    report = rows.agg(F.count(F.lit(1)).alias("total_files"))
+    with pytest.raises(ValueError, match="yaml_items"):
+        writers.yaml_document(rows)
+    with pytest.raises(ValueError, match="write_report"):
+        writers.report_json(report, rows)
+    few = rows.where("id < 1000")
+    assert len(yaml.safe_load(writers.yaml_document(few))) == len(json.loads(writers.report_json(report, few))["files"]) == 1000
+    expected = {f"f: {i}": {"path": f"f: {i}", "score": i / 1200, **({"lines": [i]} if i % 2 == 0 else {}), "tags": {"a": i}} for i in range(1200)}
+    writers.yaml_items(rows).write.text(f"{tmp_path}/yaml")
+    found = yaml.safe_load("\n".join(r.value for r in spark.read.text(f"{tmp_path}/yaml", wholetext=True).collect()))
+    assert {r["path"]: r for r in found} == expected and len(found) == 1200
+    writers.write_report(report, rows, f"{tmp_path}/report")
+    files = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/report/what=files").collect()]
+    assert {r["path"]: r for r in files} == expected and len(files) == 1200
+    assert [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/report/what=project_summary").collect()] == [{"total_files": 1200}]
