@@ -2,7 +2,9 @@
 
 Learning looks at a bounded sample of labelled documents (EXAMPLES, those with the least hashes) in the driver. Its words
 are runs of letters, lowered, and beginnings of words, which catch a stem in all its forms. Those whose presence goes
-with the label (chi-square at least CHI, in FEWEST examples or more) are the terms; at most TERMS of them. An example's
+with the label are the terms, at most TERMS of them: in FEWEST examples or more, and either chi-square is at least CHI, or
+as many toxic ones come by chance with a probability of at most CHANCE. Chi-square can't exceed the number of examples and
+is small for rare words, so CHI alone would miss them. An example's
 vector weighs them by (1 + log tf) * idf, beside REST for the root of the number of other words, and is normalised: one
 term by chance in a long text weighs little. Examples without any term are only counted: they say how likely the label
 is for a document in which no term occurs.
@@ -28,8 +30,9 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import FILE, ROW, located, materialise, table, without_rows
 
-EXAMPLES, TERMS, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 2000, 4, 40.0, 64, 15, 0.25
+EXAMPLES, TERMS, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 4000, 4, 40.0, 64, 15, 0.25
 BEGINNINGS, REST, POWER, CACHE_WORDS = (3, 4, 5, 6, 7), 0.6, 4, 200_000
+CHANCE = 3e-4
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -42,6 +45,17 @@ def forms(word: str) -> list[str]:
     return [word, *(f"{word[:k]}*" for k in BEGINNINGS if len(word) >= k)]
 
 
+def by_chance(hits: int, df: int, positive: int, n: int) -> float:
+    """The probability that of df examples out of n, positive of them labelled, hits or more are labelled (hypergeometric)."""
+    ways = lambda a, b: math.lgamma(a + 1) - math.lgamma(b + 1) - math.lgamma(a - b + 1)
+    total = 0.0
+    for x in range(max(hits, df - (n - positive)), min(df, positive) + 1):
+        total += math.exp(ways(positive, x) + ways(n - positive, df - x) - ways(n, df))
+        if total > CHANCE:
+            break
+    return total
+
+
 class Index:
     """Examples as sparse rows in blocks, with the block maxima of each term."""
 
@@ -101,7 +115,7 @@ class Model:
             if df >= FEWEST and 0 < positive < n:
                 a, b, c, d = with_label[form], df - with_label[form], positive - with_label[form], n - positive - df + with_label[form]
                 value = n * (a * d - b * c) ** 2 / max(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-                if value >= CHI:
+                if value >= CHI or a * d > b * c and by_chance(int(a), df, int(positive), n) <= CHANCE:
                     chi[form] = value
         chosen = sorted(chi, key=lambda w: (-chi[w], w))[:TERMS]
         self.terms, self.cache = {w: i for i, w in enumerate(chosen)}, {}
