@@ -1,14 +1,14 @@
 """Exact deduplication by a streaming query with keyed state on disk. DataFrame operations only.
 
-A first pass writes a narrow table: digest of the normalised text, identifier, locator (file key and place in the file).
+A first pass over the texts writes a narrow table: digest, identifier, locator (file key and place in the file).
 A streaming aggregation reads it; its state, in RocksDB and without expiry, keeps for each digest the row that stays
 (smallest identifier, its locator) and the number of rows seen. Each batch writes the groups it changed, the last batch
 that names a group has its final values. So new files only cost their own rows.
 
-A hit is a row whose digest was seen for another row. Its full normalised text is compared with that of the row that
-stays; rows whose bytes differ are grouped anew by digest and text, so that even colliding digests give right groups.
-Partial aggregation sends one row for each digest and task, and the join that compares texts can be split by Spark where
-one text has very many copies.
+A hit is a row whose digest another row has too. Only hits' texts are read again, by bitmaps of their places, and compared
+byte for byte: within a digest the least and the greatest text must be one. Partial aggregation sends one text for each
+digest and task, however many copies it has. Rows of a digest with different texts are grouped anew by digest and text, so
+that even colliding digests give right groups.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ashlar.llm.common import BROADCAST_KEYS, FILE, ROW, SPACE, located, materialise, shared_path, table, without_rows
+from ashlar.llm.common import BROADCAST_KEYS, FILE, ROW, SPACE, located, materialise, only_rows, shared_path, table, without_rows
 
 #: State on disk; small stores don't reserve room ahead, and a batch uploads what it changed, a file for each store.
 _STATE = {
@@ -53,21 +53,18 @@ def stream_groups(rows: DataFrame, out: str, checkpoint: str, files_per_batch: i
     spark = rows.sparkSession
     state = _STATE | {"spark.sql.shuffle.partitions": str(partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))}
     folders = {f.rpartition("/")[0] for f in rows.inputFiles()}
-    reader = spark.readStream.schema(rows.schema)
+    own = spark.newSession()  # the state's settings hold for this query alone
+    for key, value in (dict(spark.conf.getAll) | state).items():
+        if own.conf.isModifiable(key):
+            own.conf.set(key, value)
+    reader = own.readStream.schema(rows.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    before = {key: spark.conf.get(key, None) for key in state}
-    for key, value in state.items():
-        spark.conf.set(key, value)
-    try:
-        for folder in sorted(folders):
-            seen = reader.parquet(folder).groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n"))
-            write = lambda groups, batch: groups.write.mode("overwrite").parquet(f"{out}/batch={batch}")
-            run = seen.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
-            run.trigger(availableNow=True).start().awaitTermination()
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    for folder in sorted(folders):
+        seen = reader.parquet(folder).groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n"))
+        write = lambda groups, batch: groups.write.mode("overwrite").parquet(f"{out}/batch={batch}")
+        run = seen.writeStream.outputMode("update").option("checkpointLocation", checkpoint).foreachBatch(write)
+        run.trigger(availableNow=True).start().awaitTermination()
     shape = rows.groupBy("digest").agg(_smallest(), F.count(F.lit(1)).alias("n")).schema
     if not folders:
         return spark.createDataFrame([], shape)
@@ -83,41 +80,37 @@ def groups_of(docs: DataFrame, digest: Callable[[Column], Column] = sha256, file
     apart by their place, so one stays. Null texts are empty, a null doc_id comes last. An empty table gives an empty
     result; other columns are not looked at.
     """
-    spark = docs.sparkSession
-    texts = located(docs).select(FILE, ROW, F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("whole"))
-    texts = texts.withColumn("digest", digest(F.col("whole")))
-    rows = materialise(texts.drop("whole"), "digests")
+    spark, docs = docs.sparkSession, located(docs)
+    rows = materialise(_texts(docs, digest).drop("whole"), "digests")
     groups = materialise(stream_groups(rows, shared_path(spark, "groups"), shared_path(spark, "state"), files_per_batch), "latest")
-    strays = _strays(texts, groups)
+    hits = rows.join(groups.where("n > 1").select("digest"), "digest", "left_semi")
+    same = only_rows(docs, hits, keys=BROADCAST_KEYS)
+    bounds = _texts(same, digest).groupBy("digest").agg(F.min("whole").alias("first"), F.max("whole").alias("last"))
+    colliding = materialise(bounds.where("first <> last").select("digest"), "colliding")
     found = rows.join(groups, "digest")
-    if not strays.isEmpty():
-        anew = strays.groupBy("digest", "whole").agg(_smallest(), F.count(F.lit(1)).alias("n"))
-        anew = strays.join(anew, ["digest", "whole"]).select(FILE, ROW, F.col("keep").alias("own_keep"), F.col("n").alias("own_n"))
-        lost = strays.groupBy("digest").agg(F.count(F.lit(1)).alias("lost"))
-        found = found.join(anew, [FILE, ROW], "left").join(lost, "digest", "left")
-        found = found.withColumn("n", F.coalesce("own_n", F.col("n") - F.coalesce("lost", F.lit(0)))).withColumn("keep", F.coalesce("own_keep", "keep"))
+    if not colliding.isEmpty():
+        mixed = materialise(_texts(only_rows(docs, rows.join(colliding, "digest", "left_semi"), keys=BROADCAST_KEYS), digest), "mixed")
+        anew = mixed.groupBy("digest", "whole").agg(_smallest(), F.count(F.lit(1)).alias("n"))
+        anew = mixed.join(anew, ["digest", "whole"]).select(FILE, ROW, F.col("keep").alias("own_keep"), F.col("n").alias("own_n"))
+        found = found.join(anew, [FILE, ROW], "left").withColumn("n", F.coalesce("own_n", "n")).withColumn("keep", F.coalesce("own_keep", "keep"))
     stays = (F.col("keep")[FILE] == F.col(FILE)) & (F.col("keep")[ROW] == F.col(ROW))
     return found.select(FILE, ROW, "doc_id", "digest", F.col("keep.doc_id").alias("keep_id"), F.col("n").alias("group_size"), stays.alias("kept"))
 
 
-def _strays(texts: DataFrame, groups: DataFrame) -> DataFrame:
-    """Hits whose bytes differ from those of the row that stays. Normally none."""
-    shared = groups.where("n > 1").select("digest", "keep")
-    small = shared.count() <= BROADCAST_KEYS // 4
-    first = (F.col("keep")[FILE] == F.col(FILE)) & (F.col("keep")[ROW] == F.col(ROW))
-    stay = texts.join(F.broadcast(shared) if small else shared, "digest").where(first).select("digest", "keep", F.col("whole").alias("kept_whole"))
-    # Either way one join on the digest of two shuffled sides, which Spark can split where a text is very frequent.
-    hits = texts.join(F.broadcast(shared.select("digest")), "digest", "left_semi") if small else texts
-    stay = stay if small else materialise(stay, "kept")
-    differ = hits.join(stay, "digest").where(~first & (F.col("whole") != F.col("kept_whole")))
-    return materialise(differ.select(FILE, ROW, "doc_id", "digest", "whole"), "strays")
+def _texts(docs: DataFrame, digest: Callable[[Column], Column]) -> DataFrame:
+    whole = docs.select(FILE, ROW, F.col("doc_id").cast("long").alias("doc_id"), normalised().alias("whole"))
+    return whole.withColumn("digest", digest(F.col("whole")))
 
 
 def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """docs without the rows whose text an earlier row has; the columns stay as they are."""
+    """docs with one row of each group of equal texts, that with the smallest doc_id; the columns stay as they are.
+
+    Null texts are empty texts and equal to them; rows that repeat even the doc_id leave one; null doc_ids come last. An
+    empty table gives an empty one.
+    """
     rows = located(docs)
     gone = materialise(groups_of(rows, digest).where("NOT kept").select(FILE, ROW), "copies")
-    return without_rows(rows, gone).select(*docs.columns)
+    return without_rows(rows, gone, keys=BROADCAST_KEYS).select(*docs.columns)
 
 
 def op8_exact_dedup(spark, sf_dir):

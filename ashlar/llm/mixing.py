@@ -5,16 +5,20 @@ size class, then of a hash; along that order the expected copies add up, and a d
 number that the sum, moved by the source's random offset, crosses. The order makes each class of sizes give its share,
 so that the words taken come near the target and not only the documents.
 
-The running sum never gathers a source in one task: counts by (source, class, hash byte) are small and summed first, and
-only the rows of one such cell are ranked together, a 256th of the copies of one text at most.
+The running sum never gathers a source in one task. Rows are sorted by ranges of their whole order into cells, which Spark
+cuts by samples of the rows themselves: no key, however often it repeats, makes a cell large. Counts by (source, cell) are
+small and summed first, and only the rows of one cell are ranked together. Rows with the same order (repeated or null
+doc_ids) go by a hash of their text, then by their place.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import FILE, ROW, WORD, located, materialise, table
+from ashlar.llm.common import FILE, NUMBER, ROW, WORD, located, materialise, numbered, table
 
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2.0
 
@@ -31,7 +35,7 @@ def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE, most: floa
     Sources in order of their code points, null last, weigh as weights says, again and again. They share share times all
     sizes by weight; a source's target stops at most times its size and the rest is shared anew. In order of size per
     weight, the sources that stop are the first ones: the level of the others follows from running sums. One row per
-    source, so one task suffices.
+    source, in one task: meant for millions of sources at most.
     """
     everything, by_name = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
     fill = Window.orderBy("ratio", "place").rowsBetween(Window.unboundedPreceding, -1)
@@ -56,29 +60,31 @@ def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
     Nulls: a null text has size 0, a null source is a source of its own, a null doc_id is ordered first. Rows that repeat
     are sampled one by one. Sizes 0 take nothing. An empty table gives an empty result. Other columns are not looked at.
     """
-    rows = materialise(
+    sized = (
         located(docs)
-        .select(FILE, ROW, F.col("doc_id").cast("long").alias("doc_id"), "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"))
-        .withColumn("skey", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source"))),
-        "sizes",
-    )
-    ranked = rows.withColumn("class", size_class(F.col("size"))).withColumn("draw", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    ranked = ranked.withColumn("cell", F.substring("draw", 1, 2))
+        .select(
+            FILE, ROW, F.col("doc_id").cast("long").alias("doc_id"), "source", F.xxhash64("text").alias("own"),
+            F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"),
+        )
+        .withColumn("skey", F.when(F.col("source").isNull(), "").otherwise(F.concat(F.lit("="), "source")))
+        .withColumn("class", size_class(F.col("size")))
+        .withColumn("draw", F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
+    )
+    order = ("skey", "class", "draw", "doc_id", "own", FILE, ROW)
+    rows = materialise(materialise(sized, "sizes").repartitionByRange(*order).withColumn("cell", F.spark_partition_id()), "cells")
     rates = targets(rows.groupBy("skey", "source").agg(F.sum("size").alias("source_size")), **shares)
-    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    cells = ranked.groupBy("skey", "class", "cell").agg(F.count(F.lit(1)).alias("n"))
-    classes = cells.groupBy("skey", "class").agg(F.sum("n").alias("n")).select("skey", "class", F.coalesce(F.sum("n").over(before("skey", "class")), F.lit(0)).alias("class_from"))
+    before = Window.partitionBy("skey").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)  # one row a cell
     starts = (
-        cells.withColumn("cell_from", F.coalesce(F.sum("n").over(before("skey", "class", "cell")), F.lit(0)))
-        .join(classes, ["skey", "class"])
+        rows.groupBy("skey", "cell").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("from", F.coalesce(F.sum("n").over(before), F.lit(0)))
         .join(rates, "skey")
-        .select("skey", "class", "cell", (F.col("class_from") + F.col("cell_from")).alias("from"), "source_size", "target", "rate")
-    )
-    place = F.col("from") + F.row_number().over(Window.partitionBy("skey", "class", "cell").orderBy("draw", "doc_id", FILE, ROW))
+        .select("skey", "cell", "from", "source_size", "target", "rate")
+    )
+    place = F.col("from") + F.row_number().over(Window.partitionBy("skey", "cell").orderBy(*order[1:]))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(seed), "skey")), 1, 6), 16, 10).cast("double") / 16777216.0
     crossed = lambda k: F.floor(F.col("rate") * k + offset)
     return (
-        ranked.join(starts, ["skey", "class", "cell"])
+        rows.join(starts, ["skey", "cell"])
         .withColumn("place", place)
         .withColumn("copies", (crossed(F.col("place")) - crossed(F.col("place") - 1)).cast("long"))
         .select(FILE, ROW, "doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
@@ -86,11 +92,17 @@ def copies(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = "mix", **shares) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it; the columns stay as they are."""
+    """The rows of docs, each as often as the mix takes it; the columns stay as they are.
+
+    Nulls, repeated rows and empty tables are as in copies. The numbers of copies go to the rows as bits; texts aren't
+    shuffled.
+    """
     rows = located(docs)
-    taken = copies(rows, seed, **shares).where("copies > 0").select(FILE, ROW, F.col("copies").alias("__lode_copies"))
-    often = rows.join(taken, [FILE, ROW])
-    return often.withColumn("__lode_copies", F.explode(F.sequence(F.lit(1), F.col("__lode_copies")))).select(*docs.columns)
+    taken = copies(rows, seed, **shares).where("copies > 0").select(FILE, ROW, F.col("copies").alias(NUMBER))
+    # A row is taken at most ceil(most) times.
+    planes = math.ceil(shares.get("most", MOST)).bit_length()
+    repeat = lambda found: found.where(F.col(NUMBER) > 0).withColumn(NUMBER, F.explode(F.sequence(F.lit(1), F.col(NUMBER))))
+    return numbered(rows, taken, repeat, planes).select(*docs.columns)
 
 
 def op2_mixing(spark, sf_dir):
