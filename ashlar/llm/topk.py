@@ -1,93 +1,169 @@
 """Exact top-k search by inner product over multi-resolution segment statistics.
 
-A vector is cut into 1, 4, 16, ... segments; each keeps the segment's mean and deviation, times the root of its length.
-The distance of two vectors is at least that of such statistics, so their inner product is at most the product of the
-statistics; more segments give a tighter bound. A task holds a bounded block of queries and reads its vectors in batches:
-a pair goes from coarse to fine only while its bound reaches the query's k-th best score so far, and only survivors are
-multiplied exactly, in integers. Queries go to the tasks in waves of at most WAVE rows; each wave writes what each task
-found, k rows for each query and task at most, to the shared folder, and those are ranked at the end.
+Vectors are first turned by an orthogonal transform, fitted to a bounded sample, that moves their energy to the front; it
+changes no inner product, and only bounds are taken from turned vectors. A level cuts the coordinates into segments, coarse
+to fine: 1, 4 and 16 segments, then ever more single coordinates in front of 16 segments. A segment keeps its mean and deviation,
+times the root of its length. The distance of two vectors is at least that of such statistics, so their inner product is
+at most the product of the statistics; single coordinates have no deviation and are exact.
+
+A task holds a bounded block of queries and reads its vectors in batches. A pair goes from coarse to fine only while its
+bound reaches the query's k-th best score so far; survivors are multiplied exactly, in integers, in falling order of their
+bounds. The k-th best score in the sample is where every task starts. Queries go to the tasks in waves of at most WAVE
+rows, each of which reads the vectors once; a wave writes what each task found, k rows for each query and task at most, to
+the shared folder, and those are ranked at the end.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import shared_path, table
+from ashlar.llm.common import FILE, ROW, located, materialise, shared_path, table
 
-WAVE, BATCH, PAIRS, LIMIT = 4096, 2048, 200_000, 2**26
-_RESULT = "query_id long, vec_id long, score long"
+WAVE, BATCH, QUERIES_AT_ONCE, FIRST, SAMPLE, NARROW = 4096, 2048, 512, 32, 2048, 2.0**31
+_RESULT = "query_id long, vec_id long, score long, vector long"
+_LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
 
 
-def integers(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
-    """floor(256 * x) of each usable vector: (places, vectors). Null vectors and those with a null or non-finite component
-    are left out; scaled components beyond 2**26 stop there, so that sums fit 64 bits."""
-    places, vectors = [], []
+class Vectors:
+    """Vectors of one length as floor(256 * x): exact integers, and floats for bounds.
+
+    Rows with a component of 2**31 or more are wide: their integers are kept beside, of any size, and have no bounds.
+    """
+
+    def __init__(self, ids: np.ndarray, raw: np.ndarray):
+        scaled = np.floor(256.0 * np.where(np.abs(raw) < 2.0**900, raw, 0))
+        wide = (np.abs(scaled) >= NARROW).any(axis=1) | (np.abs(raw) >= 2.0**900).any(axis=1)
+        self.ids, self.whole = ids, np.where(wide[:, None], 0, scaled).astype(np.int64)
+        self.wide = {int(i): [math.floor(256 * x) if abs(x) < 2.0**900 else 256 * int(x) for x in raw[i].tolist()] for i in np.flatnonzero(wide)}
+        self.most = np.abs(self.whole).max(axis=1, initial=0).astype(np.float64)
+        self.keys = np.array([xxhash.xxh3_64_intdigest(repr(self.wide[i]).encode() if i in self.wide else row.tobytes()) for i, row in enumerate(self.whole)], np.uint64).view(np.int64)
+
+    def __len__(self) -> int:
+        return len(self.ids)
+
+    def integers(self, i: int) -> list[int]:
+        return self.wide.get(i) or self.whole[i].tolist()
+
+
+def usable(batch: pa.RecordBatch) -> dict[int, Vectors]:
+    """A batch of (vec_id, embedding) by the vectors' length. Null vectors and those with a null or non-finite component are
+    left out."""
+    ids, column = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
     offsets = column.offsets.to_numpy()
-    valid = np.asarray(column.is_valid())
     values = column.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
-    for place in np.flatnonzero(valid):
-        own = values[offsets[place] : offsets[place + 1]]
-        if np.isfinite(own).all():
-            places.append(place)
-            vectors.append(np.clip(np.floor(256.0 * own), -LIMIT, LIMIT).astype(np.int64))
-    return np.array(places, np.int64), vectors
-
-
-def levels(vectors: np.ndarray) -> list[np.ndarray]:
-    """Statistics whose products bound inner products from above, coarse to fine."""
-    out, n, segments = [], vectors.shape[1], 1
-    while n and segments < n:
-        parts = np.array_split(vectors.astype(np.float64), segments, axis=1)
-        roots = [np.sqrt(p.shape[1]) for p in parts]
-        out.append(np.concatenate([np.stack([p.mean(axis=1) * r for p, r in zip(parts, roots)], 1), np.stack([p.std(axis=1) * r for p, r in zip(parts, roots)], 1)], axis=1))
-        segments *= 4
+    lengths, valid = np.diff(offsets), np.asarray(column.is_valid())
+    out = {}
+    for n in np.unique(lengths[valid]).tolist():
+        rows = np.flatnonzero(valid & (lengths == n))
+        raw = values[offsets[rows][:, None] + np.arange(n)] if n else np.zeros((len(rows), 0))
+        finite = np.isfinite(raw).all(axis=1)
+        if finite.any():
+            out[n] = Vectors(ids[rows][finite].astype(np.int64), raw[finite])
     return out
 
 
+def cuts(n: int) -> list[list[int]]:
+    """For each level, coarse to fine, where its segments start, and n."""
+    out = []
+    for single, segments in ((0, 1), (0, 4), (0, 16), (n // 2, 16), (5 * n // 8, 16), (3 * n // 4, 16), (7 * n // 8, 16)):
+        starts = sorted({*range(single), *np.linspace(single, n, min(segments, n - single) + 1).astype(int).tolist()} - {n})
+        if starts and (not out or len(starts) + 1 > len(out[-1])):
+            out.append([*starts, n])
+    return out
+
+
+def statistics(turned: np.ndarray) -> list[np.ndarray]:
+    """Of each level the rows whose products bound inner products from above."""
+    out = []
+    for starts in cuts(turned.shape[1]):
+        sizes = np.diff(starts)
+        mean = np.add.reduceat(turned, starts[:-1], axis=1) / sizes
+        spread = turned - np.repeat(mean, sizes, axis=1)
+        several = sizes > 1
+        deviation = np.sqrt(np.add.reduceat(spread**2, starts[:-1], axis=1)[:, several])
+        out.append(np.concatenate([mean * np.sqrt(sizes), deviation], axis=1))
+    return out
+
+
+def turn(sample: Vectors) -> np.ndarray:
+    """An orthogonal matrix whose columns go from the sample's most to its least energetic direction."""
+    rows = sample.whole.astype(np.float64)
+    return np.ascontiguousarray(np.linalg.eigh(rows.T @ rows)[1][:, ::-1])
+
+
 class Search:
-    """The best k of what has been offered, for each of a block of queries of one length."""
-
-    def __init__(self, ids: np.ndarray, queries: np.ndarray, k: int):
-        self.ids, self.queries, self.k, self.levels = ids, queries, k, levels(queries)
-        self.best = [(np.zeros(0, np.int64), np.zeros(0, np.int64)) for _ in ids]  # (vec_ids, scores), best first
-        self.worst = np.full(len(ids), -np.inf)
-        self.norms = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-
-    def offer(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        slack = 1e-9 * self.norms.max(initial=0) * np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1)).max(initial=0) + 1e-6
-        q = x = None
-        for own, other in zip(self.levels, levels(vectors)):
-            if q is None:
-                q, x = np.nonzero(own @ other.T >= (self.worst - slack)[:, None])
+    """The best k of what has been offered, for each of a block of queries of one length.
+
+    looked counts pairs: all, those left after each level, those multiplied.
+    """
+
+    def __init__(self, queries: Vectors, k: int, by: np.ndarray, least: np.ndarray | None = None):
+        self.queries, self.k, self.by = queries, k, by
+        turned = queries.whole.astype(np.float64) @ by
+        self.levels, self.norms = statistics(turned), np.sqrt((turned**2).sum(axis=1))
+        nothing = np.zeros(0, np.int64)
+        self.best: list[tuple[np.ndarray, list[int], np.ndarray]] = [(nothing, [], nothing) for _ in range(len(queries))]  # ids, scores, keys
+        self.worst = np.full(len(queries), -np.inf) if least is None else least.copy()
+        self.worst[list(queries.wide)] = -np.inf
+        self.looked = np.zeros(len(self.levels) + 2, np.int64)
+
+    def offer(self, vectors: Vectors) -> None:
+        turned = vectors.whole.astype(np.float64) @ self.by
+        levels, norms = statistics(turned), np.sqrt((turned**2).sum(axis=1))
+        wide = np.array(sorted(vectors.wide), np.int64)
+        for at in range(0, len(self.queries), QUERIES_AT_ONCE):
+            some = slice(at, at + QUERIES_AT_ONCE)
+            alive = self.queries.ids[some, None] != vectors.ids[None, :]
+            self.looked[0] += alive.sum()
+            slack = 1e-9 * self.norms[some].max(initial=0) * norms.max(initial=0) + 1e-6
+            free = np.isneginf(self.worst[some])
+            bound = np.full(alive.shape, np.inf)
+            for level, (own, other) in enumerate(zip(self.levels, levels)):
+                bound = own[some] @ other.T
+                bound[free] = np.inf
+                bound[:, wide] = np.inf
+                alive &= bound >= (self.worst[some] - slack)[:, None]
+                self.looked[level + 1] += alive.sum()
+            q, x = np.nonzero(alive)
+            order = np.lexsort((-bound[q, x], q))
+            q, x = q[order], x[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            self._multiply(q[place < FIRST] + at, x[place < FIRST], vectors)
+            again = (place >= FIRST) & (bound[q, x] >= self.worst[q + at] - slack)
+            self._multiply(q[again] + at, x[again], vectors)
+
+    def _multiply(self, q: np.ndarray, x: np.ndarray, vectors: Vectors) -> None:
+        self.looked[-1] += len(q)
+        n = vectors.whole.shape[1]
+        for start, end in _runs(q):
+            mine, some = int(q[start]), x[start:end]
+            ids, scores, keys = self.best[mine]
+            small = mine not in self.queries.wide and n * self.queries.most[mine] * vectors.most[some].max(initial=0) < 2.0**62
+            if small and not (vectors.wide and any(int(i) in vectors.wide for i in some)):
+                found = (vectors.whole[some] @ self.queries.whole[mine]).tolist()
             else:
-                keep = [np.einsum("ij,ij->i", own[q[a : a + PAIRS]], other[x[a : a + PAIRS]]) >= (self.worst - slack)[q[a : a + PAIRS]] for a in range(0, len(q), PAIRS)]
-                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
-                q, x = q[keep], x[keep]
-        if q is None:
-            q, x = (a.ravel() for a in np.indices((len(self.ids), len(ids))))
-        other = self.ids[q] != ids[x]
-        q, x = q[other], x[other]
-        scores = [np.einsum("ij,ij->i", self.queries[q[a : a + PAIRS]], vectors[x[a : a + PAIRS]]) for a in range(0, len(q), PAIRS)]
-        scores = np.concatenate(scores) if scores else np.zeros(0, np.int64)
-        for place, start, end in zip(*_runs(q)):
-            found = np.concatenate([self.best[place][0], ids[x[start:end]]]), np.concatenate([self.best[place][1], scores[start:end]])
-            order = np.lexsort((found[0], -found[1]))
-            sorted_ids, sorted_scores = found[0][order], found[1][order]
-            again = np.zeros(len(order), bool)  # a repeated row counts once
-            again[1:] = (sorted_ids[1:] == sorted_ids[:-1]) & (sorted_scores[1:] == sorted_scores[:-1])
-            self.best[place] = sorted_ids[~again][: self.k], sorted_scores[~again][: self.k]
-            if len(self.best[place][0]) == self.k:
-                self.worst[place] = self.best[place][1][-1]
-
-
-def _runs(sorted_values: np.ndarray):
+                own = self.queries.integers(mine)
+                found = [sum(a * b for a, b in zip(own, vectors.integers(int(i)))) for i in some]
+            rows = zip([*scores, *found], np.concatenate([ids, vectors.ids[some]]).tolist(), np.concatenate([keys, vectors.keys[some]]).tolist())
+            top = sorted({(-s, i, key) for s, i, key in rows})[: self.k]  # a repeated row counts once
+            self.best[mine] = np.array([i for _, i, _ in top], np.int64), [-s for s, _, _ in top], np.array([key for *_, key in top], np.int64)
+            if len(top) == self.k and mine not in self.queries.wide:
+                self.worst[mine] = max(self.worst[mine], float(-top[-1][0]))
+
+    def rows(self) -> list[tuple[int, int, int, int]]:
+        return [(int(q), i, max(_LEAST, min(_GREATEST, s)), key) for q, (ids, scores, keys) in zip(self.queries.ids, self.best) for i, s, key in zip(ids.tolist(), scores, keys.tolist())]
+
+
+def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
     starts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
-    return sorted_values[starts].tolist(), starts.tolist(), np.append(starts[1:], len(sorted_values)).tolist()
+    return zip(starts.tolist(), np.append(starts[1:], len(sorted_values)).tolist())
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave: int = WAVE) -> DataFrame:
@@ -95,54 +171,68 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave: int = WAVE)
 
     Ties go to the smaller vec_id. A query isn't its own candidate: rows with its vec_id are left out. Vectors that are
     null or hold a null or non-finite component take no part, nor do rows without vec_id; only vectors of one length are
-    compared. Rows that repeat count once, and queries of one vec_id share their results. An empty table gives an empty result; other columns are not looked at.
+    compared. Rows that repeat count once; different vectors of one vec_id are searched and found one by one, and queries
+    of one vec_id share their k results. Scores are exact; one beyond 64 bits stops at the least or the greatest long. An
+    empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
-    vectors, queries = pick(vectors), pick(queries).dropDuplicates()
+    vectors = pick(vectors)
+    asked = located(materialise(pick(queries).dropDuplicates(), "queries"))
+    sample = {n: (v, turn(v)) for n, v in usable(_one_batch(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))).items()}
     out, last = shared_path(spark, "nearest"), None
-    while True:
-        rest = queries if last is None else queries.where(F.col("vec_id") > last)
-        block = rest.orderBy("vec_id").limit(wave).toArrow().combine_chunks()
+    while True:  # pages by the place of a row, which is its own
+        rest = asked if last is None else asked.where((F.col(FILE) > last[0]) | (F.col(FILE) == last[0]) & (F.col(ROW) > last[1]))
+        block = _one_batch(rest.orderBy(FILE, ROW).limit(wave).select("vec_id", "embedding", FILE, ROW))
         if last is not None and not block.num_rows:
             break
-        if block.num_rows == wave:  # a vec_id's rows stay together: the last one comes again with the next wave
-            ids = block.column(0).to_numpy()
-            if ids[0] != ids[-1]:
-                block = block.filter(pa.array(ids != ids[-1]))
-        _wave(vectors, block, k).write.mode("append").parquet(out)
+        _wave(vectors, usable(block), sample, k).write.mode("append").parquet(out)
         if not block.num_rows:
             break
-        last = int(block.column(0)[-1].as_py())
+        last = block.column(2)[-1].as_py(), block.column(3)[-1].as_py()
     found = spark.read.schema(_RESULT).parquet(out).distinct()
-    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id", "vector")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def _wave(vectors: DataFrame, block: pa.Table, k: int) -> DataFrame:
-    chunk = block.combine_chunks()
-    places, found = integers(chunk.column(1).chunk(0)) if chunk.num_rows else (np.zeros(0, np.int64), [])
-    ids = chunk.column(0).to_numpy()[places] if chunk.num_rows else np.zeros(0, np.int64)
-    by_length: dict[int, list[int]] = {}
-    for at, vector in enumerate(found):
-        by_length.setdefault(len(vector), []).append(at)
-    shared = vectors.sparkSession.sparkContext.broadcast({n: (ids[at], np.array([found[i] for i in at], np.int64).reshape(len(at), n)) for n, at in by_length.items()})
+def _one_batch(df: DataFrame) -> pa.RecordBatch:
+    """A bounded DataFrame as one batch in the driver."""
+    return _joined(df.toArrow().combine_chunks().to_batches(), df.schema.names)
+
+
+def _joined(batches: list[pa.RecordBatch], names: list[str]) -> pa.RecordBatch:
+    if not batches:
+        return pa.RecordBatch.from_arrays([pa.array([], pa.list_(pa.float64()) if name == "embedding" else pa.int64()) for name in names], names=names)
+    return pa.RecordBatch.from_arrays([pa.concat_arrays([b.column(i) for b in batches]) for i in range(len(names))], names=names)
+
+
+def start(queries: dict[int, Vectors], sample: dict[int, tuple[Vectors, np.ndarray]], k: int) -> dict[int, Search]:
+    """Searches whose bars are the k-th best scores in the sample."""
+    searches = {}
+    for n, own in queries.items():
+        known, by = sample.get(n, (None, np.eye(n)))
+        first = Search(own, k, by)
+        if known is not None:
+            first.offer(known)
+        searches[n] = Search(own, k, by, first.worst)
+    return searches
+
+
+def _wave(vectors: DataFrame, queries: dict[int, Vectors], sample: dict[int, tuple[Vectors, np.ndarray]], k: int) -> DataFrame:
+    shared = vectors.sparkSession.sparkContext.broadcast(start(queries, sample, k))  # wave queries at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        searches = {n: Search(*block, k) for n, block in shared.value.items()}
+        own = {n: Search(s.queries, k, s.by, s.worst) for n, s in shared.value.items()}
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH):
-                part = batch.slice(at, BATCH)
-                part = pa.RecordBatch.from_arrays([pa.concat_arrays([c]) for c in part.columns], names=part.schema.names)
-                places, own = integers(part.column(1))
-                ids, sizes = part.column(0).to_numpy()[places], np.array([len(v) for v in own], np.int64)
-                for n in set(sizes.tolist()) & searches.keys():
-                    some = np.flatnonzero(sizes == n)
-                    searches[n].offer(ids[some], np.array([own[i] for i in some], np.int64).reshape(len(some), n))
-        for search in searches.values():
-            rows = [(int(q), int(v), int(s)) for q, (vs, ss) in zip(search.ids, search.best) for v, s in zip(vs, ss)]
+                part = _joined([batch.slice(at, BATCH)], batch.schema.names)
+                for n, found in usable(part).items():
+                    if n in own:
+                        own[n].offer(found)
+        for search in own.values():
+            rows = search.rows()
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names=["query_id", "vec_id", "score", "vector"])
 
     return vectors.mapInArrow(run, _RESULT)
 
