@@ -1,13 +1,16 @@
 """Chat formatting with typed content parts. DataFrame operations only.
 
-A visitor walks each turn's parts in order: text is escaped, an image, audio or document part becomes a placeholder that
-names its place among the conversation's attachments. The result is a list of segments, each inside or outside the loss
-mask, whose texts joined are the formatted conversation; attachments keep reference, kind and the number of tokens that
-their placeholder expands to.
+A visitor walks each turn's parts in order: runs of adjacent text parts are joined, then escaped, so that no control string
+forms across a border of parts; an image, audio or document part becomes a placeholder that names its place among the
+conversation's attachments. The result is a list of segments, each inside or outside the loss mask, whose texts joined
+are the formatted conversation; attachments keep reference, kind and the number of tokens that their placeholder expands
+to.
 
 Template: <|turn|>role<|says|>text<|done|> for each turn. Where a text or role holds a control string (these, and the
 usual bracket and angle ones of other templates), a backslash goes after its first character, behind which any
-backslashes already there stay; taking one away again gives the text back.
+backslashes already there stay; taking one away again gives the text back. So a "<|" without a backslash is the
+template's own, and placeholders can be told from texts that look like one. A kind of other characters than letters,
+digits, _ and - stands in a placeholder as hex. and its UTF-8 bytes.
 """
 
 from __future__ import annotations
@@ -38,10 +41,23 @@ def as_parts(text: Column) -> Column:
     return F.array(F.struct(F.lit("text").alias("type"), text.alias("text"), F.lit(None).cast("string").alias("ref"), F.lit(None).cast("long").alias("tokens")))
 
 
-def _visit(part: Column, before: Column) -> Column:
-    """The part's string: its escaped text, or <|kind:n|> with n attachments of the conversation before it."""
-    own = F.concat(F.lit("<|"), escaped(part["type"]), F.lit(":"), before.cast("string"), F.lit("|>"))
-    return F.when(_is_text(part), escaped(part["text"])).otherwise(own)
+def _placeholder(kind: Column, place: Column) -> Column:
+    """<|kind:n|> with n attachments of the conversation before it."""
+    safe = F.when(kind.rlike(r"\A[A-Za-z0-9_-]+\z"), kind).otherwise(F.concat(F.lit("hex."), F.hex(F.encode(kind, "UTF-8"))))
+    return F.concat(F.lit("<|"), safe, F.lit(":"), place.cast("string"), F.lit("|>"))
+
+
+def _visit(turn: Column) -> Column:
+    """The strings of a turn's parts: each run of texts before, between and after the attachments, and their placeholders."""
+    parts, at = turn["parts"], turn["at"]
+    said = F.transform(parts, lambda p: F.coalesce(p["text"], F.lit("")))
+
+    def run(j: Column) -> Column:
+        start = F.coalesce(F.get(at, j - 1) + 1, F.lit(0))
+        text = escaped(F.array_join(F.slice(said, start + 1, F.coalesce(F.get(at, j), F.size(parts)) - start), ""))
+        return F.when(j < F.size(at), F.concat(text, _placeholder(F.get(parts, F.get(at, j))["type"], turn["before"] + j))).otherwise(text)
+
+    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), run), "")
 
 
 def _is_text(part: Column) -> Column:
@@ -58,24 +74,22 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     is inside the loss mask, its placeholders too. An empty table gives an empty result; other columns are not looked at.
     """
     spoken = turns.select("conv_id", F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("parts", F.array().cast(f"array<{PART}>")).alias("parts"))
+    nowhere = F.lit(None).cast("int")
+    at = F.filter(F.transform("parts", lambda p, j: F.when(_is_text(p), nowhere).otherwise(j)), lambda j: j.isNotNull())
     others = lambda parts: F.filter(parts, lambda p: ~_is_text(p))
     # How many attachments came before a turn is a running sum, so long conversations take time in proportion.
     before = Window.partitionBy("conv_id").orderBy("turn", "role", "parts").rowsBetween(Window.unboundedPreceding, -1)
-    spoken = spoken.withColumn("before", F.coalesce(F.sum(F.size(others(F.col("parts")))).over(before), F.lit(0)))
-    gathered = spoken.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts", "before"))).alias("turns"))
+    spoken = spoken.withColumn("before", F.coalesce(F.sum(F.size(others(F.col("parts")))).over(before), F.lit(0))).withColumn("at", at)
+    gathered = spoken.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "parts", "before", "at"))).alias("turns"))
     every = F.flatten(F.transform("turns", lambda t: t["parts"]))
     known = F.create_map(*[F.lit(x) for pair in EXPANDS.items() for x in pair])
     attachments = F.transform(others(every), lambda p, i: F.struct(i.cast("long").alias("place"), p["type"].alias("type"), p["ref"].alias("ref"), F.coalesce(p["tokens"], F.element_at(known, p["type"]).cast("long"), F.lit(1).cast("long")).alias("tokens")))
     framed = gathered.withColumn("attachments", attachments)
 
-    def body(turn: Column) -> Column:
-        place = lambda j: turn["before"] + F.size(others(F.slice(turn["parts"], F.lit(1), j)))
-        return F.array_join(F.transform(turn["parts"], lambda p, j: _visit(p, place(j))), "")
-
     segment = lambda text, loss: F.struct(text.alias("text"), F.lit(loss).alias("loss"))
     of_turn = lambda t: F.array(
         segment(F.concat(F.lit(TURN), escaped(t["role"]), F.lit(SAYS)), False),
-        F.struct(body(t).alias("text"), (t["role"] == "assistant").alias("loss")),
+        F.struct(_visit(t).alias("text"), (t["role"] == "assistant").alias("loss")),
         segment(F.lit(DONE), False),
     )
     segments = framed.select("conv_id", F.flatten(F.transform("turns", of_turn)).alias("segments"), "attachments")
@@ -89,14 +103,30 @@ def format_conversations(turns: DataFrame) -> DataFrame:
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """conv_id, turns array<struct<role, text>> parsed out of formatted, and loss: what the mask covers, unescaped."""
+    """conv_id, formatted, turns array<struct<role, text, parts>> parsed out of it, and loss: what the mask covers, unescaped.
+
+    parts are array<struct<type, text, place>>: texts, as they were but adjacent ones joined and empty ones left out, and
+    attachments by kind and place in the conversation's list. text is all of a turn with placeholders as strings, so only
+    parts tell a placeholder from a text that looks like one.
+    """
     found = F.split("formatted", r"<\|turn\|>")
     pieces = F.slice(found, F.lit(2), F.size(found) - 1)
+    mark = r"<\|([A-Za-z0-9_.-]+):([0-9]+)\|>"
+
+    def typed(body: Column) -> Column:
+        texts = F.split(body, mark)
+        kinds, places = (F.regexp_extract_all(body, F.lit(mark), F.lit(group)) for group in (1, 2))
+        text = lambda x: F.struct(F.lit("text").alias("type"), unescaped(x).alias("text"), F.lit(None).cast("long").alias("place"))
+        plain = lambda kind: F.when(kind.startswith("hex."), F.decode(F.unhex(F.substring(kind, 5, 1 << 30)), "UTF-8")).otherwise(kind)
+        other = lambda j: F.struct(plain(F.get(kinds, j)).alias("type"), F.lit(None).cast("string").alias("text"), F.get(places, j).cast("long").alias("place"))
+        pairs = F.transform(texts, lambda x, j: F.when(j < F.size(kinds), F.array(text(x), other(j))).otherwise(F.array(text(x))))
+        return F.filter(F.flatten(pairs), lambda p: (p["type"] != "text") | (p["text"] != ""))
 
     def parse(piece: Column) -> Column:
         said = F.split(piece, r"<\|says\|>")
         text = F.element_at(said, 2)
-        return F.struct(unescaped(F.element_at(said, 1)).alias("role"), unescaped(F.substring(text, F.lit(1), F.length(text) - len(DONE))).alias("text"))
+        body = F.substring(text, F.lit(1), F.length(text) - len(DONE))
+        return F.struct(unescaped(F.element_at(said, 1)).alias("role"), unescaped(body).alias("text"), typed(body).alias("parts"))
 
     masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
     return formatted.select("conv_id", "formatted", F.transform(pieces, parse).alias("turns"), masked.alias("loss"))

@@ -1,7 +1,9 @@
 """Connected components of a graph of links, by alternating large and small stars.
 
-Each round replaces links by links to smaller neighbours and is written to the shared folder. Only the least neighbour of
-each node is aggregated, so a node with very many links is never gathered; the number of links doesn't grow.
+Each round replaces links by links to smaller neighbours and is written to the shared folder. The least neighbour of each
+node is aggregated, so a node with very many links is never gathered; the number of links doesn't grow. Where links are
+joined to the least neighbour of a node, nodes with more than their HUBSth of all links get it by broadcast (there are
+HUBS times two of them at most), so that a hub's links stay spread over all tasks.
 """
 
 from __future__ import annotations
@@ -11,16 +13,25 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import materialise
 
+HUBS, LEAST_HUB = 50_000, 64
 
-def _star(links: DataFrame) -> DataFrame:
-    """Large star, then small star, of links(low, high) with low < high."""
+
+def _with_least(links: DataFrame, key: str, least: DataFrame, n: int) -> DataFrame:
+    """links with the column least of the row for their key in least(key, least, n)."""
+    hub = F.col("n") > max(LEAST_HUB, n // HUBS)
+    spread = links.join(F.broadcast(least.where(hub).select(key, "least")), key, "left")
+    rest = spread.where("least IS NULL").drop("least").join(least.where(~hub).select(key, "least"), key)
+    return spread.where("least IS NOT NULL").select("low", "high", "least").unionByName(rest.select("low", "high", "least"))
+
+
+def _star(links: DataFrame, n: int) -> DataFrame:
+    """Large star, then small star, of n links(low, high) with low < high."""
     both = links.unionByName(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
-    least = both.groupBy("low").agg(F.least(F.min("high"), F.first("low")).alias("least"))
-    large = both.where("high > low").join(least, "low").select(F.col("least").alias("low"), "high").where("low < high")
-    large = large.distinct()
-    least = large.groupBy("high").agg(F.min("low").alias("least"))
-    joined = large.join(least, "high")
-    small = joined.where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high"))
+    least = both.groupBy("low").agg(F.least(F.min("high"), F.first("low")).alias("least"), F.count(F.lit(1)).alias("n"))
+    large = _with_least(links, "low", least, n).select(F.col("least").alias("low"), "high").where("low < high").distinct()
+    large = materialise(large, "large")
+    least = large.groupBy("high").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n"))
+    small = _with_least(large, "high", least, n).where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high"))
     return small.unionByName(least.select(F.col("least").alias("low"), "high")).distinct()
 
 
@@ -31,4 +42,4 @@ def components(links: DataFrame) -> DataFrame:
         mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
         if mark == seen or not mark[0]:
             return links.select(F.col("high").alias("node"), F.col("low").alias("root"))
-        seen, links = mark, materialise(_star(links), "links")
+        seen, links = mark, materialise(_star(links, mark[0]), "links")

@@ -95,8 +95,11 @@ def lm_scores(docs: DataFrame, tokenizer: str, order: int = ORDER) -> DataFrame:
     """A row for each row of docs(doc_id, text): doc_id, n_tokens, logprob (natural, over all tokens), mean_logprob.
 
     Null and empty texts have no tokens, logprob 0 and a null mean. Repeated rows are scored one by one, each by the
-    others; an empty table gives an empty result; other columns are not looked at. order is 1 to 3.
+    others; a null doc_id stays null; a very long text is held by its task, as its row is. An empty table gives an empty
+    result; other columns are not looked at. order is 1, 2 or 3: more ids don't fit a code of 63 bits.
     """
+    if order not in (1, 2, 3):
+        raise ValueError(f"order is 1, 2 or 3, not {order}")
     tokenised = materialise(tokens(located(docs), tokenizer), "tokens")
     parts = materialise(exploded(tokenised, order), "grams")
     counts = materialise(parts.groupBy("gram").agg(F.sum("n").alias("count")), "counts")

@@ -9,6 +9,7 @@ its ids in order, into sequences whose lengths are powers of two, which need no
 
 from __future__ import annotations
 
+import json
 import os
 import re
 from array import array
@@ -24,16 +25,34 @@ from ashlar.llm.common import table
 
 WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 600_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
+#: Normaliser and splitting of a tokenizer whose ids can be put together from pieces; fixed values, part of its file format.
+BY_PIECES = {
+    "truncation": None,
+    "padding": None,
+    "post_processor": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
 _ARROW = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset")] + [("ids", pa.binary())])
 
 
 class Encoder:
     """Ids of whole texts by a tokenizer file, added special tokens left out.
 
-    The tokenizer drops white space and never joins what it parts, so a text's ids are those of its pieces between ASCII
-    white space, one after the other; pieces that were met before come from a cache of bounded size. It also ignores
-    case, and parts letters from a full stop or comma behind them: where that can't change a special token's string or
+    A tokenizer that ignores case, drops white space and never joins what it parts (BY_PIECES) gives a text the ids of its
+    pieces between ASCII white space, one after the other; pieces that were met before come from a cache of bounded size.
+    It also parts letters from a full stop or comma behind them: where that can't change a special token's string or
     how marks combine, A-Z are lowered first, and such a piece's ids are put together, so that fewer pieces are new.
+    Any other tokenizer gets each text whole.
     """
 
     def __init__(self, path: str):
@@ -41,10 +60,15 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
+        made = json.loads(self.tokenizer.to_str())
+        specials = [t for t in made["added_tokens"] if not t["content"].startswith("<|") or t["single_word"] or t["lstrip"] or t["rstrip"]]
+        self.by_pieces = not specials and {key: made[key] for key in BY_PIECES} == BY_PIECES
         self.marks = re.compile(rb"\xcc|\xcd[\x80-\xaf]").search
 
     def __call__(self, text: bytes) -> np.ndarray:
         """text is UTF-8; bytes part at ASCII white space only."""
+        if not self.by_pieces:
+            return np.array(self.tokenizer.encode(text.decode(), add_special_tokens=False).ids, np.uint32)
         if b"<|" not in text and (text.isascii() or not self.marks(text)):
             text = text.lower()
         pieces, cache = text.split(), self.cache

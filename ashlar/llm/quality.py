@@ -6,7 +6,8 @@ how many words repeat the one before, how many are distinct, and its length. The
 its words' values, so scoring is one look-up a word. Expected grade and the probability of at least the wanted grade
 follow from the same value.
 
-Learning looks at a bounded sample of rated documents (EXAMPLES, those with the least hashes) in the driver.
+Learning looks at a bounded sample of rated documents (EXAMPLES, those with the least hashes, of CHARS characters at
+most) in the driver.
 """
 
 from __future__ import annotations
@@ -23,15 +24,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import FILE, ROW, located, materialise, table, without_rows
+from ashlar.llm.common import FILE, ROW, examples, located, table
 
-EXAMPLES, BUCKETS, STEPS, RATE, RIDGE, SCALE, CACHE_WORDS = 4000, 1 << 16, 150, 0.1, 1e-4, 20.0, 250_000
-_PARTS = re.compile(r"^([\W_]*)(.*?)([\W_]*)$", re.DOTALL).match
+EXAMPLES, CHARS, BUCKETS, STEPS, RATE, RIDGE, SCALE, CACHE_WORDS = 4000, 64_000_000, 1 << 16, 150, 0.1, 1e-4, 20.0, 250_000
+_INNER = re.compile(r"[^\W_]").search
+
+
+def parts(word: str) -> tuple[str, str, str]:
+    """The marks before, what lies between the first and the last letter or digit, the marks behind; in linear time."""
+    first = _INNER(word)
+    if first is None:
+        return word, "", ""
+    end = len(word) - _INNER(word[::-1]).start()
+    return word[: first.start()], word[first.start() : end], word[end:]
 
 
 def features(word: str) -> list[int]:
     """Buckets of a word's features."""
-    before, core, after = _PARTS(word).groups()
+    before, core, after = parts(word)
     shape = "upper" if len(core) > 1 and core.isupper() else "title" if core[:1].isupper() else "digit" if any(map(str.isdigit, core)) else "lower" if core else "none"
     named = (f"w={core.lower()}", f"s={shape}", f"b={before[:4]}", f"a={after[:4]}", f"n={min(len(core), 24)}")
     return [_bucket(name) for name in named]
@@ -47,6 +57,31 @@ def whole(words: list[str]) -> dict[int, float]:
     return {_bucket("repeats"): float(repeats), _bucket("distinct"): float(len(set(words))), _bucket(f"length={len(words).bit_length()}"): float(len(words))}
 
 
+def thresholds_of(free: np.ndarray) -> np.ndarray:
+    """Ordered thresholds: the first is free, the others add the exponential of a parameter."""
+    return np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+
+
+def ascent(w: np.ndarray, free: np.ndarray, row: np.ndarray, bucket: np.ndarray, value: np.ndarray, y: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """The mean log likelihood less half the ridge, and its gradients by weights and by free parameters.
+
+    Example row has the value in the bucket; y are the examples' classes.
+    """
+    theta, n = thresholds_of(free), len(y)
+    z = np.bincount(row, w[bucket] * value, minlength=n)
+    edges = np.concatenate([np.full((n, 1), -np.inf), theta - z[:, None], np.full((n, 1), np.inf)], axis=1)
+    upper, lower = edges[np.arange(n), y + 1], edges[np.arange(n), y]
+    # Ratios of logistic functions by their logarithms, which don't saturate.
+    log = lambda x: -np.logaddexp(0, -x)
+    gap = -np.expm1(lower - upper)
+    at_upper, at_lower = np.exp(log(-upper) - log(-lower)) / gap, np.exp(log(lower) - log(upper)) / gap
+    slope = np.exp(log(upper)) + np.exp(log(lower)) - 1  # of the log likelihood by z
+    grad_w = np.bincount(bucket, slope[row] * value, minlength=len(w)) / n - RIDGE * w
+    by_theta = np.array([(at_upper[y == k].sum() - at_lower[y == k + 1].sum()) / n for k in range(len(theta))])
+    grad_t = np.array([by_theta.sum(), *(by_theta[k:].sum() * math.exp(free[k]) for k in range(1, len(free)))])
+    return float((log(upper) + log(-lower) + np.log(gap)).mean() - RIDGE / 2 * (w @ w)), grad_w, grad_t
+
+
 class Model:
     """Fitted on (text, grade) rows; grades are whole numbers, their distinct values in order are the classes."""
 
@@ -77,28 +112,16 @@ class Model:
         y = np.searchsorted(self.grades, [grade for _, grade in rows])
         shares = np.cumsum(np.bincount(y, minlength=len(self.grades)))[:-1] / len(y)
         base = np.log(shares / (1 - shares))
-        # Thresholds stay ordered: the first is free, the others add the exponential of a parameter.
         free = np.concatenate([base[:1], np.log(np.maximum(np.diff(base), 1e-3))])
         w, speed_w, speed_t = np.zeros(BUCKETS), np.zeros(BUCKETS), np.zeros(len(free))
         for _ in range(STEPS):
-            theta = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
-            z = np.bincount(row, w[bucket] * value, minlength=len(rows))
-            edges = np.concatenate([np.full((len(rows), 1), -np.inf), theta - z[:, None], np.full((len(rows), 1), np.inf)], axis=1)
-            upper, lower = edges[np.arange(len(y)), y + 1], edges[np.arange(len(y)), y]
-            # Ratios of logistic functions by their logarithms, which don't saturate.
-            log = lambda x: -np.logaddexp(0, -x)
-            gap = -np.expm1(lower - upper)
-            at_upper, at_lower = np.exp(log(-upper) - log(-lower)) / gap, np.exp(log(lower) - log(upper)) / gap
-            slope = np.exp(log(upper)) + np.exp(log(lower)) - 1  # of the log likelihood by z
-            grad_w = np.bincount(bucket, slope[row] * value, minlength=BUCKETS) / len(y) - RIDGE * w
-            by_theta = np.array([(at_upper[y == k].sum() - at_lower[y == k + 1].sum()) / len(y) for k in range(len(theta))])
-            grad_t = np.concatenate([[by_theta.sum()], [by_theta[k:].sum() * math.exp(free[k]) for k in range(1, len(free))]])
+            _, grad_w, grad_t = ascent(w, free, row, bucket, value, y)
             speed_w += grad_w**2
             speed_t += grad_t**2
             w += RATE * grad_w / (np.sqrt(speed_w) + 1e-8)
             free += RATE * grad_t / (np.sqrt(speed_t) + 1e-8)
         self.weights = w
-        self.thresholds = np.concatenate([free[:1], free[0] + np.cumsum(np.exp(free[1:]))])
+        self.thresholds = thresholds_of(free)
 
     def value(self, text: str | None) -> float:
         found, cache = (text or "").split(), self.cache
@@ -120,6 +143,22 @@ class Model:
         return expected, reached[0] if reached else 0.0
 
 
+def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, wanted: int | None = None, chars: int = CHARS) -> Model:
+    """From docs(doc_id, text) and labels(doc_id, quality): null ratings, texts and identifiers teach nothing, nor do
+    held-out documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier the least text and the least
+    rating count. The sample has most documents and chars characters at most."""
+    return Model([(text, int(rating)) for _, text, rating in examples(docs, labels, "quality", most, chars, F.min)], wanted)
+
+
+def grade(self, text: str | None) -> tuple[float, float]:
+        """Expected grade, and the probability of the wanted grade or a better one."""
+        z = self.value(text)
+        at_least = [1.0, *(1 / (1 + math.exp(min(700.0, t - z))) for t in self.thresholds)]
+        expected = self.grades[0] + sum(p * (b - a) for p, a, b in zip(at_least[1:], self.grades, self.grades[1:]))
+        reached = [p for p, g in zip(at_least, self.grades) if g >= self.wanted]
+        return expected, reached[0] if reached else 0.0
+
+
 def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, wanted: int | None = None) -> Model:
     """From docs(doc_id, text) and labels(doc_id, quality): null ratings, texts and identifiers teach nothing, nor do
     held-out documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier one row counts."""
@@ -154,10 +193,20 @@ def grade(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs whose probability of the best grade is at least least; the columns stay as they are."""
-    rows = located(docs)
-    gone = materialise(grade(rows, fit(docs, labels), least).where("NOT selected").select(FILE, ROW), "poor")
-    return without_rows(rows, gone).select(*docs.columns)
+    """docs whose probability of the best grade is at least least; the columns stay as they are.
+
+    A row is graded and kept or dropped in one pass; only its text goes to Python. Null and empty texts have the grade of
+    a text without known words, repeated rows are judged alike; an empty table gives an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    @F.arrow_udf("boolean")
+    def good(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        for texts in batches:
+            yield pa.array([model.grade(text.as_py())[1] >= least for text in texts], pa.bool_())
+
+    return docs.where(good("text"))
 
 
 def op3_quality(spark, sf_dir):

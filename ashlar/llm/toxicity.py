@@ -1,19 +1,19 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning looks at a bounded sample of labelled documents (EXAMPLES, those with the least hashes) in the driver. Its words
-are runs of letters, lowered, and beginnings of words, which catch a stem in all its forms. Those whose presence goes
-with the label are the terms, at most TERMS of them: in FEWEST examples or more, and either chi-square is at least CHI, or
-as many toxic ones come by chance with a probability of at most CHANCE. Chi-square can't exceed the number of examples and
-is small for rare words, so CHI alone would miss them. An example's
-vector weighs them by (1 + log tf) * idf, beside REST for the root of the number of other words, and is normalised: one
-term by chance in a long text weighs little. Examples without any term are only counted: they say how likely the label
-is for a document in which no term occurs.
-
-The index keeps, for blocks of BLOCK examples, the largest weight of each term in the block. A document's bound for every
-block is one small product; blocks are searched exactly in falling order of bounds until the next bound is below the
-NEIGHBOURS-th best cosine, so the neighbours are exact. Neighbours vote with weight cosine ** POWER beside the prior of
-documents without terms, which counts as PRIOR votes; the votes are calibrated by a logistic curve fitted to the examples,
-each scored without itself. The index is bounded by EXAMPLES * TERMS, so that it may be sent to every task.
+Learning looks at a bounded sample of labelled documents (EXAMPLES, those with the least hashes) in the driver. The terms
+are all words, runs of letters, lowered, that at least LEAST_DF examples and at most a share of MOST_SHARE have; more
+frequent ones are the languages' stop words. An example's vector weighs them by (1 + log tf) * idf, times QUIET for terms
+that don't go with the label, and is normalised. Terms that do, in FEWEST examples or more, always count and weigh fully:
+either chi-square is at least CHI, or as many toxic ones come by chance with a probability
+of at most CHANCE (chi-square can't exceed the number of examples and is small for rare words). Beginnings of words are
+terms only there; they catch a stem in all its forms. QUIET is 1 for a plain TF-IDF; README has what that loses.
+
+The index keeps postings by term, and for blocks of BLOCK examples the largest weight of each term in the block. A
+document's bound for every block is a sum over its terms; blocks are searched exactly in falling order of bounds until the
+next bound is below the NEIGHBOURS-th best cosine, so the neighbours are exact. Neighbours vote with weight
+cosine ** POWER beside the prior, which counts as PRIOR votes; the votes are calibrated by a logistic curve fitted to
+CALIBRATED of the examples, evenly spread, each scored without itself. The index is bounded by the sample, EXAMPLES and CHARS, so that it may be sent to
+every task.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import FILE, ROW, located, materialise, table, without_rows
+from ashlar.llm.common import FILE, ROW, examples, located, table
 
-EXAMPLES, TERMS, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 4000, 4, 40.0, 64, 15, 0.25
-BEGINNINGS, REST, POWER, CACHE_WORDS = (3, 4, 5, 6, 7), 0.6, 4, 200_000
+EXAMPLES, CHARS, CALIBRATED, LEAST_DF, MOST_SHARE, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 64_000_000, 3000, 2, 0.1, 4, 40.0, 256, 15, 0.25
+BEGINNINGS, QUIET, POWER, CACHE_WORDS, FIRST_BLOCKS = (3, 4, 5, 6, 7), 0.05, 4, 200_000, 2
 CHANCE = 3e-4
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -56,52 +56,79 @@ def by_chance(hits: int, df: int, positive: int, n: int) -> float:
     return total
 
 
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start up to its end, one after the other."""
+    sizes = ends - starts
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+
+
 class Index:
-    """Examples as sparse rows in blocks, with the block maxima of each term."""
+    """Postings of examples by term; a cell is a term's run of postings in one block, and knows its largest weight."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, ids: np.ndarray, n_terms: int):
-        order = sorted(range(len(vectors)), key=lambda i: (tuple(vectors[i][0].tolist()), i))  # alike examples share a block
+        loudest = [int(terms[np.argmax(weights)]) if len(terms) else -1 for terms, weights in vectors]
+        order = sorted(range(len(vectors)), key=lambda i: (loudest[i], i))  # alike examples share a block
         self.labels, self.ids = labels[order].astype(float), ids[order]
-        n_blocks = -(-len(order) // BLOCK)
-        self.maxima = np.zeros((n_terms, max(n_blocks, 1)), np.float64)
-        self.blocks = []  # of each block a map from term to (places, weights)
-        for b in range(n_blocks):
-            postings: dict[int, tuple[list[int], list[float]]] = {}
-            for place, i in enumerate(order[b * BLOCK : (b + 1) * BLOCK]):
-                for term, weight in zip(*vectors[i]):
-                    at = postings.setdefault(int(term), ([], []))
-                    at[0].append(place)
-                    at[1].append(float(weight))
-                    self.maxima[term, b] = max(self.maxima[term, b], weight)
-            self.blocks.append({t: (np.array(p), np.array(w)) for t, (p, w) in postings.items()})
+        self.n_blocks = max(1, -(-len(order) // BLOCK))
+        sizes = [len(vectors[i][0]) for i in order]
+        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
+        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
+        place = np.repeat(np.arange(len(order)), sizes)
+        by_term = np.lexsort((place, term))
+        term, self.place, self.weight = term[by_term], place[by_term], weight[by_term]
+        cell = term * self.n_blocks + self.place // BLOCK
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
+        self.cell_starts = np.append(first, len(cell))
+        self.cell_block = cell[first] % self.n_blocks
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.cells = np.searchsorted(cell[first] // self.n_blocks, np.arange(n_terms + 1))
+
+    def __getstate__(self) -> dict:
+        """Whole numbers travel in 32 bits; those of 64 are faster to look up by."""
+        return {k: v.astype(np.int32) if getattr(v, "dtype", None) == np.int64 and k != "ids" else v for k, v in self.__dict__.items()}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ = {k: v.astype(np.int64) if getattr(v, "dtype", None) == np.int32 else v for k, v in state.items()}
+
+    @property
+    def blocks(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
+        """Of each block a map from term to (places in the block, weights)."""
+        out: list[dict] = [{} for _ in range(self.n_blocks)]
+        for term in range(len(self.cells) - 1):
+            for c in range(self.cells[term], self.cells[term + 1]):
+                own = slice(self.cell_starts[c], self.cell_starts[c + 1])
+                out[self.cell_block[c]][term] = self.place[own] - self.cell_block[c] * BLOCK, self.weight[own]
+        return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k examples with the largest cosines above zero; equal ones by place. Exact."""
-        bounds = weights @ self.maxima[terms]
-        places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bounds, kind="stable"):
-            if bounds[b] <= 0 or len(places) == k and bounds[b] < worst - 1e-9:
-                break
-            found = np.zeros(min(BLOCK, len(self.ids) - b * BLOCK))
-            for term, weight in zip(terms.tolist(), weights.tolist()):
-                if term in self.blocks[b]:
-                    at, own = self.blocks[b][term]
-                    found[at] += weight * own
-            hit = np.flatnonzero(found > 0)
-            places, cosines = np.concatenate([places, hit + b * BLOCK]), np.concatenate([cosines, found[hit]])
-            if without is not None:
-                keep = places != without
-                places, cosines = places[keep], cosines[keep]
-            best = np.lexsort((places, -np.round(cosines, 9)))[:k]
-            places, cosines = places[best], cosines[best]
-            worst = cosines[-1] if len(places) == k else 0.0
-        return places, cosines
+        cells = spans(self.cells[terms], self.cells[terms + 1])
+        weight = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
+        block = self.cell_block[cells]
+        bounds = np.bincount(block, weight * self.cell_most[cells], self.n_blocks)
+        cosines, worst = np.zeros(len(self.ids)), 0.0
+        best_first = np.argsort(-bounds, kind="stable")
+        for some in (best_first[:FIRST_BLOCKS], best_first[FIRST_BLOCKS:]):
+            wanted = np.zeros(self.n_blocks, bool)
+            wanted[some] = (bounds[some] > 0) & (bounds[some] >= worst - 1e-6)
+            if wanted.any():
+                own = np.flatnonzero(wanted[block])
+                starts, ends = self.cell_starts[cells[own]], self.cell_starts[cells[own] + 1]
+                found = spans(starts, ends)
+                cosines += np.bincount(self.place[found], np.repeat(weight[own], ends - starts) * self.weight[found], len(cosines))
+            if without is not None and len(cosines):
+                cosines[without] = 0
+            if len(cosines) > k:
+                worst = max(0.0, np.partition(cosines, len(cosines) - k)[len(cosines) - k])
+        hit = np.flatnonzero((cosines > 0) & (cosines >= worst - 2e-6))
+        best = hit[np.lexsort((hit, -np.round(cosines[hit], 6)))[:k]]
+        return best, cosines[best]
 
 
 class Model:
-    """Fitted on (doc_id, text, label) rows."""
+    """Fitted on (doc_id, text, label) rows, each doc_id once."""
 
-    def __init__(self, rows: list[tuple[int, str | None, int]]):
+    def __init__(self, rows: list[tuple[int, str | None, int]], quiet: float = QUIET):
         labels = np.array([y for *_, y in rows], float)
         n, positive = len(rows), labels.sum()
         seen, with_label = Counter(), Counter()
@@ -110,29 +137,29 @@ class Model:
             seen.update(found)
             if y:
                 with_label.update(found)
-        chi = {}
+        loud = set()
         for form, df in seen.items():
             if df >= FEWEST and 0 < positive < n:
                 a, b, c, d = with_label[form], df - with_label[form], positive - with_label[form], n - positive - df + with_label[form]
                 value = n * (a * d - b * c) ** 2 / max(1.0, (a + b) * (c + d) * (a + c) * (b + d))
                 if value >= CHI or a * d > b * c and by_chance(int(a), df, int(positive), n) <= CHANCE:
-                    chi[form] = value
-        chosen = sorted(chi, key=lambda w: (-chi[w], w))[:TERMS]
+                    loud.add(form)
+        chosen = sorted(form for form, df in seen.items() if form in loud or LEAST_DF <= df <= MOST_SHARE * n and not form.endswith("*"))
         self.terms, self.cache = {w: i for i, w in enumerate(chosen)}, {}
-        self.idf = np.array([math.log((1 + n) / (1 + seen[w])) + 1 for w in chosen])
+        self.weights = np.array([(math.log((1 + n) / (1 + seen[w])) + 1) * (1.0 if w in loud else quiet) for w in chosen])
         vectors = [self.vector(text) for _, text, _ in rows]
         have = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
-        bare = [i for i, (terms, _) in enumerate(vectors) if not len(terms)]
-        self.prior = (labels[bare].sum() + 0.5) / (len(bare) + 2.0)
-        self.index = Index([vectors[i] for i in have], labels[have], np.array([rows[i][0] for i in have], np.int64), len(chosen) + 1)
+        plain = [i for i, (terms, _) in enumerate(vectors) if not any(chosen[t] in loud for t in terms.tolist())]
+        self.prior = (labels[plain].sum() + 0.5) / (len(plain) + 2.0)
+        self.index = Index([vectors[i] for i in have], labels[have], np.array([rows[i][0] for i in have], np.int64), len(chosen))
         back = {int(doc_id): at for at, doc_id in enumerate(self.index.ids)}
-        votes = np.full(n, self.prior)
-        for i in have:
-            votes[i] = self.vote(*self.index.nearest(*vectors[i], NEIGHBOURS, back[rows[i][0]]))
-        self.curve, self.cache = _logistic(votes, labels), {}
+        some = np.unique(np.linspace(0, max(0, n - 1), min(n, CALIBRATED)).astype(int))
+        votes = [self.vote(*self.index.nearest(*vectors[i], NEIGHBOURS, back[rows[i][0]])) if len(vectors[i][0]) else self.prior for i in some]
+        self.curve, self.cache = _logistic(np.array(votes), labels[some]), {}
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        found, other = Counter(), 0
+        """(terms in order, weights) of a text, of length one; nothing for a text without terms."""
+        found: dict[int, int] = {}
         for word, n in Counter(words(text)).items():
             own = self.cache.get(word)
             if own is None:
@@ -140,13 +167,13 @@ class Model:
                     self.cache.clear()
                 own = self.cache[word] = [self.terms[form] for form in forms(word) if form in self.terms]
             for term in own:
-                found[term] += n
-            other += not own
+                found[term] = found.get(term, 0) + n
         if not found:
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.array(sorted(found), np.int64)
-        weights = (1 + np.log(np.array([found[t] for t in terms.tolist()], float))) * self.idf[terms]
-        terms, weights = np.append(terms, len(self.terms)), np.append(weights, REST * math.sqrt(other))
+        terms = np.fromiter(found.keys(), np.int64, len(found))
+        order = np.argsort(terms)
+        terms = terms[order]
+        weights = (1 + np.log(np.fromiter(found.values(), float, len(found))[order])) * self.weights[terms]
         return terms, weights / np.sqrt(weights @ weights)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -180,22 +207,20 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, float(w[1]) - a / 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, chars: int = CHARS) -> Model:
     """From docs(doc_id, text) and labels(doc_id, toxic): null labels, texts and identifiers teach nothing, nor do held-out
-    documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier one row counts."""
-    teach = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
-    chosen = teach.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    ids = {r[0]: int(r[1] > 0) for r in chosen.collect()}  # at most examples rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id")), "doc_id")
-    rows = {}
-    for doc_id, text in texts.collect():  # of the chosen identifiers only
-        rows[doc_id] = min(rows.get(doc_id, text), text)
-    return Model([(doc_id, rows[doc_id], ids[doc_id]) for doc_id in sorted(rows)])
+    documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier the least text counts, and it's toxic if
+    any of its labels says so. The sample has most documents and chars characters at most."""
+    return Model([(doc_id, text, int(toxic > 0)) for doc_id, text, toxic in examples(docs, labels, "toxic", most, chars)])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """docs(doc_id, text) and the row's key to FILE, ROW, doc_id, held_out, score, predicted, evidence (identifiers and
-    cosines of the nearest examples). Null and empty texts get the score of documents without terms."""
+    cosines of the nearest examples).
+
+    Texts without terms, null and empty ones too, get the prior's score. Repeated rows are scored one by one, a null
+    doc_id stays null and isn't held out. An empty table gives an empty result; other columns are not looked at.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,10 +238,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those that are predicted to be toxic; the columns stay as they are."""
-    rows = located(docs)
-    gone = materialise(score(rows, fit(docs, labels)).where("predicted = 1").select(FILE, ROW), "toxic")
-    return without_rows(rows, gone).select(*docs.columns)
+    """docs without those that are predicted to be toxic; the columns stay as they are.
+
+    A row is scored and kept or dropped in one pass; only its text goes to Python. Null and empty texts are judged by the
+    prior, repeated rows alike; an empty table gives an empty one.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+
+    @F.arrow_udf("boolean")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = shared.value
+        for texts in batches:
+            yield pa.array([model.score(text.as_py())[0] < 0.5 for text in texts], pa.bool_())
+
+    return docs.where(clean("text"))
 
 
 def op4_toxicity(spark, sf_dir):
