@@ -15,6 +15,8 @@ digits, _ and - stands in a placeholder as hex. and its UTF-8 bytes.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -47,17 +49,25 @@ def _placeholder(kind: Column, place: Column) -> Column:
     return F.concat(F.lit("<|"), safe, F.lit(":"), place.cast("string"), F.lit("|>"))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body's own lambdas look at it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _visit(turn: Column) -> Column:
     """The strings of a turn's parts: each run of texts before, between and after the attachments, and their placeholders."""
-    parts, at = turn["parts"], turn["at"]
-    said = F.transform(parts, lambda p: F.coalesce(p["text"], F.lit("")))
 
-    def run(j: Column) -> Column:
-        start = F.coalesce(F.get(at, j - 1) + 1, F.lit(0))
-        text = escaped(F.array_join(F.slice(said, start + 1, F.coalesce(F.get(at, j), F.size(parts)) - start), ""))
-        return F.when(j < F.size(at), F.concat(text, _placeholder(F.get(parts, F.get(at, j))["type"], turn["before"] + j))).otherwise(text)
+    def walk(said: Column) -> Column:
+        at = turn["at"]
+
+        def run(j: Column) -> Column:
+            start = F.coalesce(F.get(at, j - 1) + 1, F.lit(0))
+            text = escaped(F.array_join(F.slice(said, start + 1, F.coalesce(F.get(at, j), F.size(said)) - start), ""))
+            return F.when(j < F.size(at), F.concat(text, _placeholder(F.get(turn["parts"], F.get(at, j))["type"], turn["before"] + j))).otherwise(text)
+
+        return F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), run), "")
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.size(at)), run), "")
+    return let(F.transform(turn["parts"], lambda p: F.coalesce(p["text"], F.lit(""))), walk)
 
 
 def _is_text(part: Column) -> Column:
@@ -114,19 +124,22 @@ def read_back(formatted: DataFrame) -> DataFrame:
     mark = r"<\|([A-Za-z0-9_.-]+):([0-9]+)\|>"
 
     def typed(body: Column) -> Column:
-        texts = F.split(body, mark)
-        kinds, places = (F.regexp_extract_all(body, F.lit(mark), F.lit(group)) for group in (1, 2))
         text = lambda x: F.struct(F.lit("text").alias("type"), unescaped(x).alias("text"), F.lit(None).cast("long").alias("place"))
         plain = lambda kind: F.when(kind.startswith("hex."), F.decode(F.unhex(F.substring(kind, 5, 1 << 30)), "UTF-8")).otherwise(kind)
-        other = lambda j: F.struct(plain(F.get(kinds, j)).alias("type"), F.lit(None).cast("string").alias("text"), F.get(places, j).cast("long").alias("place"))
-        pairs = F.transform(texts, lambda x, j: F.when(j < F.size(kinds), F.array(text(x), other(j))).otherwise(F.array(text(x))))
-        return F.filter(F.flatten(pairs), lambda p: (p["type"] != "text") | (p["text"] != ""))
+
+        def walk(marks: Column) -> Column:
+            other = lambda j: F.struct(plain(F.get(marks["kind"], j)).alias("type"), F.lit(None).cast("string").alias("text"), F.get(marks["place"], j).cast("long").alias("place"))
+            pairs = F.transform(F.split(body, mark), lambda x, j: F.when(j < F.size(marks["kind"]), F.array(text(x), other(j))).otherwise(F.array(text(x))))
+            return F.filter(F.flatten(pairs), lambda p: (p["type"] != "text") | (p["text"] != ""))
+
+        kinds, places = (F.regexp_extract_all(body, F.lit(mark), F.lit(group)) for group in (1, 2))
+        return let(F.struct(kinds.alias("kind"), places.alias("place")), walk)
 
     def parse(piece: Column) -> Column:
+        body = lambda text: F.substring(text, F.lit(1), F.length(text) - len(DONE))
+        whole = lambda role, body: F.struct(unescaped(role).alias("role"), unescaped(body).alias("text"), typed(body).alias("parts"))
         said = F.split(piece, r"<\|says\|>")
-        text = F.element_at(said, 2)
-        body = F.substring(text, F.lit(1), F.length(text) - len(DONE))
-        return F.struct(unescaped(F.element_at(said, 1)).alias("role"), unescaped(body).alias("text"), typed(body).alias("parts"))
+        return let(F.struct(F.element_at(said, 1).alias("role"), body(F.element_at(said, 2)).alias("body")), lambda t: whole(t["role"], t["body"]))
 
     masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
     return formatted.select("conv_id", "formatted", F.transform(pieces, parse).alias("turns"), masked.alias("loss"))

@@ -74,7 +74,11 @@ def test_random_parts_round_trip(spark, turns):
 
 def test_many_parts_of_a_turn(spark):
     parts = [part for i in range(20_000) for part in (text("<"), other("image"))]
-    formatted = chat.format_conversations(conversation(spark, [(1, 0, "user", parts)])).first()
+    began = time.time()
+    made = chat.format_conversations(conversation(spark, [(1, 0, "user", parts)]))
+    formatted = made.first()
+    back = chat.read_back(made).first().turns[0].parts
+    assert len(back) == 40_000 and tuple(back[-1]) == ("image", None, 19_999) and time.time() - began < 30
     assert len(formatted.attachments) == 20_000 and formatted.formatted.endswith("<<|image:19999|><|done|>")
 
 

@@ -80,9 +80,10 @@ def test_scores_from_texts(spark):
 
 
 def lettered(spark, n):
-    """rated's rows, in words of letters alone."""
+    """rated's rows, with words of letters beside: each of 400, so most are in fewer examples than stop words are."""
     docs, labels, truth = rated(spark, n)
-    return docs.withColumn("text", F.translate("text", "0123456789", "abcdefghij")), labels, truth
+    more = [F.concat(F.lit("q"), F.translate(F.pmod(F.xxhash64("doc_id", F.lit(k)), F.lit(400)).cast("string"), "0123456789", "abcdefghij")) for k in range(12)]
+    return docs.withColumn("text", F.when(F.col("doc_id") < 1000, F.concat_ws(" ", "text", *more)).otherwise(F.col("text"))), labels, truth
 
 
 def forms(text):
