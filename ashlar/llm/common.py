@@ -89,7 +89,9 @@ def numbered(docs: DataFrame, numbers: DataFrame, then: Callable[[DataFrame], Da
     block = F.shiftright(F.col(ROW), 15).alias(BLOCK)
     bit = lambda plane: F.when(F.shiftright(NUMBER, plane).bitwiseAND(1) == 1, F.col(ROW) % BLOCK_ROWS)
     keyed = numbers.select(FILE, ROW, block, F.col(NUMBER).cast("long").alias(NUMBER)).repartition(FILE, BLOCK)
-    maps = materialise(keyed.groupBy(FILE, BLOCK).agg(*[F.bitmap_construct_agg(bit(p)).alias(f"__lode_map{p}") for p in range(planes)]), "bitmaps")
+    maps = keyed.groupBy(FILE, BLOCK).agg(*[F.bitmap_construct_agg(bit(p)).alias(f"__lode_map{p}") for p in range(planes)])
+    # Some hundred thousandth of the texts' size, so in few files.
+    maps = materialise(maps.repartition(max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)), "bitmaps")
     waves, of_wave = 1, lambda n: F.pmod(F.col(FILE), F.lit(n))
     files, largest = maps.agg(F.count_distinct(FILE), F.count(F.lit(1))).first()
     while largest > max(1, keys // BLOCK_ROWS) and waves < 2 * files:

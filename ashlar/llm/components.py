@@ -29,7 +29,6 @@ def _star(links: DataFrame, n: int) -> DataFrame:
     both = links.unionByName(links.select(F.col("high").alias("low"), F.col("low").alias("high")))
     least = both.groupBy("low").agg(F.least(F.min("high"), F.first("low")).alias("least"), F.count(F.lit(1)).alias("n"))
     large = _with_least(links, "low", least, n).select(F.col("least").alias("low"), "high").where("low < high").distinct()
-    large = materialise(large, "large")
     least = large.groupBy("high").agg(F.min("low").alias("least"), F.count(F.lit(1)).alias("n"))
     small = _with_least(large, "high", least, n).where("low > least").select(F.col("least").alias("low"), F.col("low").alias("high"))
     return small.unionByName(least.select(F.col("least").alias("low"), "high")).distinct()

@@ -54,9 +54,11 @@ def stream_groups(rows: DataFrame, out: str, checkpoint: str, files_per_batch: i
     state = _STATE | {"spark.sql.shuffle.partitions": str(partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")) // 4))}
     folders = {f.rpartition("/")[0] for f in rows.inputFiles()}
     own = spark.newSession()  # the state's settings hold for this query alone
-    for key, value in (dict(spark.conf.getAll) | state).items():
+    for key, value in dict(spark.conf.getAll).items():
         if own.conf.isModifiable(key):
             own.conf.set(key, value)
+    for key, value in state.items():
+        own.conf.set(key, value)
     reader = own.readStream.schema(rows.schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
@@ -109,7 +111,7 @@ def exact_dedup(docs: DataFrame, digest: Callable[[Column], Column] = sha256) ->
     empty table gives an empty one.
     """
     rows = located(docs)
-    gone = materialise(groups_of(rows, digest).where("NOT kept").select(FILE, ROW), "copies")
+    gone = groups_of(rows, digest).where("NOT kept").select(FILE, ROW)
     return without_rows(rows, gone, keys=BROADCAST_KEYS).select(*docs.columns)
 
 

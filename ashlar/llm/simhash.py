@@ -224,7 +224,7 @@ def near_dedup(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     group and leave one; null doc_ids come last. An empty table gives an empty one.
     """
     rows = located(docs)
-    gone = materialise(near_groups(rows, shingle).where("NOT first").select(FILE, ROW), "copies")
+    gone = near_groups(rows, shingle).where("NOT first").select(FILE, ROW)
     return without_rows(rows, gone).select(*docs.columns)
 
 
