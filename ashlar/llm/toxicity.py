@@ -19,7 +19,10 @@ every task.
 from __future__ import annotations
 
 import math
+import pickle
 import re
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -75,20 +78,26 @@ class Index:
         weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
         place = np.repeat(np.arange(len(order)), sizes)
         by_term = np.lexsort((place, term))
-        term, self.place, self.weight = term[by_term], place[by_term], weight[by_term]
+        self.place, self.weight = place[by_term].astype(np.int32), weight[by_term].astype(np.float32)
+        self.starts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
+        self._cells()
+
+    def _cells(self) -> None:
+        term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
         cell = term * self.n_blocks + self.place // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.cell_starts = np.append(first, len(cell))
-        self.cell_block = cell[first] % self.n_blocks
-        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
-        self.cells = np.searchsorted(cell[first] // self.n_blocks, np.arange(n_terms + 1))
+        self.cell_starts = np.append(first, len(cell)).astype(np.int32)
+        self.cell_block = (cell[first] % self.n_blocks).astype(np.int32)
+        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(cell[first] // self.n_blocks, np.arange(len(self.starts)))
 
     def __getstate__(self) -> dict:
-        """Whole numbers travel in 32 bits; those of 64 are faster to look up by."""
-        return {k: v.astype(np.int32) if getattr(v, "dtype", None) == np.int64 and k != "ids" else v for k, v in self.__dict__.items()}
+        """Postings travel; cells follow from them."""
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("cell")} | {"starts": self.starts.astype(np.int32)}
 
     def __setstate__(self, state: dict) -> None:
-        self.__dict__ = {k: v.astype(np.int64) if getattr(v, "dtype", None) == np.int32 else v for k, v in state.items()}
+        self.__dict__ = state | {"starts": state["starts"].astype(np.int64)}
+        self._cells()
 
     @property
     def blocks(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
@@ -111,15 +120,19 @@ class Index:
         for some in (best_first[:FIRST_BLOCKS], best_first[FIRST_BLOCKS:]):
             wanted = np.zeros(self.n_blocks, bool)
             wanted[some] = (bounds[some] > 0) & (bounds[some] >= worst - 1e-6)
-            if wanted.any():
+            if 2 * wanted.sum() > self.n_blocks:  # whole postings lists are quicker to add than most of their runs
+                lists = list(zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()))
+                place, own = (np.concatenate([array[a:b] for a, b in lists]) for array in (self.place, self.weight))
+                cosines = np.bincount(place, np.repeat(weights, [b - a for a, b in lists]) * own, len(cosines))
+            elif wanted.any():
                 own = np.flatnonzero(wanted[block])
                 starts, ends = self.cell_starts[cells[own]], self.cell_starts[cells[own] + 1]
                 found = spans(starts, ends)
                 cosines += np.bincount(self.place[found], np.repeat(weight[own], ends - starts) * self.weight[found], len(cosines))
             if without is not None and len(cosines):
                 cosines[without] = 0
-            if len(cosines) > k:
-                worst = max(0.0, np.partition(cosines, len(cosines) - k)[len(cosines) - k])
+            some = cosines[cosines > 0]
+            worst = np.partition(some, len(some) - k)[len(some) - k] if len(some) >= k else 0.0
         hit = np.flatnonzero((cosines > 0) & (cosines >= worst - 2e-6))
         best = hit[np.lexsort((hit, -np.round(cosines[hit], 6)))[:k]]
         return best, cosines[best]
@@ -145,7 +158,11 @@ class Model:
                 if value >= CHI or a * d > b * c and by_chance(int(a), df, int(positive), n) <= CHANCE:
                     loud.add(form)
         chosen = sorted(form for form, df in seen.items() if form in loud or LEAST_DF <= df <= MOST_SHARE * n and not form.endswith("*"))
-        self.terms, self.cache = {w: i for i, w in enumerate(chosen)}, {}
+        self.terms = {w: i for i, w in enumerate(chosen)}
+        # Of a word its term, -1 for none, or beyond all terms the place of its several terms.
+        self.cache: dict[str, int] = {}
+        self.several: list[list[int]] = []
+        self.begun = {form[: BEGINNINGS[0]] for form in chosen if form.endswith("*")}
         self.weights = np.array([(math.log((1 + n) / (1 + seen[w])) + 1) * (1.0 if w in loud else quiet) for w in chosen])
         vectors = [self.vector(text) for _, text, _ in rows]
         have = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
@@ -155,25 +172,36 @@ class Model:
         back = {int(doc_id): at for at, doc_id in enumerate(self.index.ids)}
         some = np.unique(np.linspace(0, max(0, n - 1), min(n, CALIBRATED)).astype(int))
         votes = [self.vote(*self.index.nearest(*vectors[i], NEIGHBOURS, back[rows[i][0]])) if len(vectors[i][0]) else self.prior for i in some]
-        self.curve, self.cache = _logistic(np.array(votes), labels[some]), {}
+        self.curve, self.cache, self.several = _logistic(np.array(votes), labels[some]), {}, []
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms in order, weights) of a text, of length one; nothing for a text without terms."""
-        found: dict[int, int] = {}
-        for word, n in Counter(words(text)).items():
-            own = self.cache.get(word)
-            if own is None:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                own = self.cache[word] = [self.terms[form] for form in forms(word) if form in self.terms]
-            for term in own:
-                found[term] = found.get(term, 0) + n
-        if not found:
+        found, cache = words(text), self.cache
+        new = set(found).difference(cache)
+        if len(cache) + len(new) > CACHE_WORDS:
+            cache.clear()
+            self.several.clear()
+            new = set(found)
+        for word in new:
+            some = forms(word) if word[: BEGINNINGS[0]] in self.begun else (word,)
+            own = [self.terms[form] for form in some if form in self.terms]
+            if len(own) > 1:
+                self.several.append(own)
+            cache[word] = -1 if not own else own[0] if len(own) == 1 else len(self.terms) + len(self.several) - 1
+        terms, times = np.unique(np.fromiter(map(cache.__getitem__, found), np.int64, len(found)), return_counts=True)
+        if len(terms) and terms[0] < 0:
+            terms, times = terms[1:], times[1:]
+        single = int(np.searchsorted(terms, len(self.terms)))
+        if single < len(terms):
+            counted = Counter(dict(zip(terms[:single].tolist(), times[:single].tolist())))
+            for several, n in zip(terms[single:].tolist(), times[single:].tolist()):
+                for term in self.several[several - len(self.terms)]:
+                    counted[term] += n
+            terms = np.array(sorted(counted), np.int64)
+            times = np.array([counted[t] for t in terms.tolist()], np.int64)
+        if not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        terms = np.fromiter(found.keys(), np.int64, len(found))
-        order = np.argsort(terms)
-        terms = terms[order]
-        weights = (1 + np.log(np.fromiter(found.values(), float, len(found))[order])) * self.weights[terms]
+        weights = (1 + np.log(times)) * self.weights[terms]
         return terms, weights / np.sqrt(weights @ weights)
 
     def vote(self, places: np.ndarray, cosines: np.ndarray) -> float:
@@ -207,6 +235,21 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a, float(w[1]) - a / 2
 
 
+class Sent:
+    """A model on its way to the tasks, compressed; a Python worker opens it once for all its tasks."""
+
+    opened: dict[str, Model] = {}
+
+    def __init__(self, model: Model):
+        self.content, self.name = zlib.compress(pickle.dumps(model), 1), uuid.uuid4().hex
+
+    def model(self) -> Model:
+        if self.name not in Sent.opened:
+            Sent.opened.clear()
+            Sent.opened[self.name] = pickle.loads(zlib.decompress(self.content))
+        return Sent.opened[self.name]
+
+
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, chars: int = CHARS) -> Model:
     """From docs(doc_id, text) and labels(doc_id, toxic): null labels, texts and identifiers teach nothing, nor do held-out
     documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier the least text counts, and it's toxic if
@@ -221,15 +264,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     Texts without terms, null and empty ones too, get the prior's score. Repeated rows are scored one by one, a null
     doc_id stays null and isn't held out. An empty table gives an empty result; other columns are not looked at.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(Sent(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
+        model = shared.value.model()
         for batch in batches:
-            found = [model.score(text.as_py()) for text in batch.column(3)]
-            evidence = [[{"doc_id": i, "cosine": c} for i, c in near] for _, near in found]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], names=[FILE, ROW, "doc_id", "score", "evidence"])
+            found = [model.score(text) for text in batch.column(3).to_pylist()]
+            near = [pair for _, pairs in found for pair in pairs]
+            pairs = pa.StructArray.from_arrays([pa.array([i for i, _ in near], pa.int64()), pa.array([c for _, c in near], pa.float64())], ["doc_id", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(pairs) for _, pairs in found)]), pa.int32()), pairs)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([s for s, _ in found], pa.float64()), evidence], names=[FILE, ROW, "doc_id", "score", "evidence"])
 
     texts = docs.select(FILE, ROW, F.col("doc_id").cast("long").alias("doc_id"), "text")
     scored = texts.mapInArrow(run, f"{FILE} long, {ROW} long, doc_id long, score double, evidence array<struct<doc_id long, cosine double>>")
@@ -243,11 +287,11 @@ def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     A row is scored and kept or dropped in one pass; only its text goes to Python. Null and empty texts are judged by the
     prior, repeated rows alike; an empty table gives an empty one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    shared = docs.sparkSession.sparkContext.broadcast(Sent(fit(docs, labels)))
 
     @F.arrow_udf("boolean")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        model = shared.value
+        model = shared.value.model()
         for texts in batches:
             yield pa.array([model.score(text.as_py())[0] < 0.5 for text in texts], pa.bool_())
 
