@@ -21,3 +21,12 @@ _WIDTHS = {
 for _kind, _columns in _WIDTHS.items():
     for _name, _own in _columns.items():
         ORACLES[_name] = f"SELECT * REPLACE ({', '.join(f'CAST({c} AS {_kind}) AS {c}' for c in _own)}) FROM ({ORACLES[_name]})"
+
+#: Queries that read no table, with typed answers: programs gives their like over the tables, tests keep these.
+FIXED: dict = {}
+_programs = import_module("ashlar.catalog.programs")
+for _name in _programs.QUERIES:
+    if _name in QUERIES:
+        FIXED[_name] = QUERIES[_name], ORACLES[_name]
+QUERIES |= _programs.QUERIES
+ORACLES |= _programs.ORACLES

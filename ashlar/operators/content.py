@@ -26,11 +26,19 @@ JAVA_TAGS = {
     "send": "network", "connect": "network", "openStream": "network", "read": "file_io", "write": "file_io", "readAllBytes": "file_io", "lines": "file_io",
     "println": "io_op", "print": "io_op", "readLine": "io_op",
 }
-SHELL_BUILTINS = (
-    "alias bg bind break builtin caller cd command compgen complete compopt continue declare dirs disown enable eval exec exit export fc fg getopts hash help "
-    "history jobs kill let local logout mapfile popd printf pushd pwd read readarray readonly return set shift shopt source suspend test times trap type typeset "
-    "ulimit umask unalias unset wait . : if then else elif fi case esac for select while until do done in function time [[ ]] [ ] ( ) { }"
-).split()  # echo stays: it is a program too
+#: Commands that a shell runs itself, and its keywords. Fixed values. echo isn't among them: it is a program too.
+SHELL_COMMANDS = [
+    "alias", "bg", "bind", "break", "builtin", "caller", "cd", "command", "compgen", "complete", "compopt", "continue", "declare", "dirs",
+    "disown", "enable", "eval", "exec", "exit", "export", "fc", "fg", "getopts", "hash", "help", "history", "jobs", "kill",
+    "let", "local", "logout", "mapfile", "popd", "printf", "pushd", "pwd", "read", "readarray", "readonly", "return", "set", "shift",
+    "shopt", "source", "suspend", "test", "times", "trap", "type", "typeset", "ulimit", "umask", "unalias", "unset", "wait", ".",
+    ":",
+]
+SHELL_KEYWORDS = [
+    "if", "then", "else", "elif", "fi", "case", "esac", "for", "select", "while", "until", "do", "done", "in",
+    "function", "time", "[[", "]]", "[", "]", "(", ")", "{", "}",
+]
+SHELL_BUILTINS = SHELL_COMMANDS + SHELL_KEYWORDS
 EXTENSIONS = {
     "py": "python", "go": "go", "java": "java", "js": "javascript", "jsx": "javascript", "ts": "typescript", "tsx": "typescript",
     "c": "c", "h": "c", "cpp": "cpp", "cc": "cpp", "cxx": "cpp", "hpp": "cpp", "hh": "cpp", "hxx": "cpp", "sh": "shell", "bash": "shell", "zsh": "shell", "rs": "rust",
@@ -150,6 +158,24 @@ def extract(files: DataFrame) -> DataFrame:
     return files.where("language = 'python'").select("path", "content").mapInPandas(run, FACTS)
 
 
+def complexities(files: DataFrame) -> DataFrame:
+    """A file's cyclomatic complexity by each definition: path, digest, risk, cst; 0 where it isn't Python."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, content in zip(batch["path"], batch["content"]):
+                try:
+                    tree = [ast.parse(content or "")]
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    rows.append((path, 0, 0, 0))
+                    continue
+                rows.append((path, *(complexity(tree, kind) for kind in ("digest", "risk", "cst"))))
+            yield pd.DataFrame(rows, columns=["path", "digest", "risk", "cst"])
+
+    return files.select("path", "content").mapInPandas(run, "path string, digest int, risk int, cst int")
+
+
 def exploded(facts: DataFrame, what: str) -> DataFrame:
     """functions, classes, imports, variables, handlers or constants as rows."""
     return facts.select("path", F.explode(what).alias("x")).select("path", "x.*")
