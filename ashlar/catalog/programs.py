@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ashlar.operators import content as c
 from ashlar.operators import rules as u
+from ashlar.operators import tasks as t
+from ashlar.plans.common import scratch
+from ashlar.sources import writers
 from ashlar.views import oracle
 
 QUERIES: dict = {}
@@ -246,3 +249,42 @@ def u01(spark, d):
     own = programs(spark, d, PYTHON, "python")
     issues, _ = u.run_rules(u.source_rules(own, c.extract(own)))
     return issues.groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p14_patterns", "SELECT path, 'long_function' AS kind, name, 1.0::DOUBLE AS confidence FROM fn WHERE line_end - line_start > 50")
+def p14(spark, d):
+    return c.patterns(facts(spark, d, "functions").select("path", "name", "line_start", "line_end"), facts(spark, d, "classes"))
+
+
+@query("u17_severity", "SELECT n, CASE size % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'info' ELSE 'warning' END AS severity FROM p")
+def u17(spark, d):
+    given = F.element_at(F.array(*map(F.lit, ("HIGH", "low", "Warning", "odd"))), (F.col("p_size") % 4 + 1).cast("int"))
+    return spark.read.parquet(f"{d}/part.parquet").select(F.col("p_partkey").alias("n"), u.plugin_severity(given).alias("severity"))
+
+
+@query("u18_recomputed_summary", "SELECT kind, key, n::BIGINT AS n FROM (SELECT 'total' AS kind, NULL::VARCHAR AS key, count(*) + sum(h) AS n FROM p UNION ALL SELECT 'severity', 'error', sum(h) FROM p UNION ALL SELECT 'severity', 'info', count(*) FROM p UNION ALL SELECT 'rule', '001', sum(h) FROM p UNION ALL SELECT 'rule', '007', count(*) FROM p)")
+def u18(spark, d):
+    own = facts(spark, d)
+    return u.run_rules([u.empty_handler(own), u.prints(own)])[1]
+
+
+@query("k16_export", "SELECT event_type, count(*) AS n, sum(event_id)::BIGINT AS ids, count(props) AS props FROM {events} GROUP BY event_type")
+def k16(spark, d):
+    path = scratch(spark, "export")
+    writers.export(spark.read.parquet(f"{d}/events.parquet"), path, "event_type")
+    back = spark.read.schema("event_id long, ts timestamp, user_id long, event_type string, value double, props string").json(path)
+    return back.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("ids"), F.count("props").alias("props"))
+
+
+def r15_tokens(spark, d):
+    """The context window by real token counts; a tokenizer is beyond SQL, so a test counts by hand."""
+    import public_tokenizers
+
+    from ashlar.functions.tokens import token_count
+
+    turns = spark.read.parquet(f"{d}/conversations.parquet").where("text IS NOT NULL")
+    cost = token_count(public_tokenizers.path("byte_bpe_50k.json"))
+    return t.context_window(turns.select(F.concat(F.lit("c"), "conv_id").alias("project"), F.col("turn").alias("ord"), "text", cost("text").alias("cost")), 300)
+
+
+QUERIES["r15_token_window"] = r15_tokens

@@ -1 +1 @@
-"""Column expressions shared by the operators."""
+"""Functions over columns that Spark lacks."""

@@ -82,17 +82,15 @@ def resolve_imports(imports: DataFrame, files: DataFrame, symbols: DataFrame) ->
     """imports(file, path) to (file, path, defined_in, symbol).
 
     a.b.c is first the file that ends in a/b/c.py (the first of several, by path); else c is a symbol of the file that ends
-    in a/b.py. Suffixes are matched on the last name by equality, then checked: no all-pairs comparison.
+    in a/b.py. Each file is keyed by all its paths from some folder on, and joined by equality of the whole: a name that many
+    files share (__init__.py) makes no pairs.
     """
-    def ending(wanted: Column) -> tuple[DataFrame, Column]:
-        keyed = files.select(F.col("path").alias("found"), F.substring_index("path", "/", -1).alias("leaf"))
-        return keyed, (F.col("found") == wanted) | F.endswith("found", F.concat(F.lit("/"), wanted))
+    names = F.split("path", "/")
+    from_name = F.transform(names, lambda _, i: F.array_join(F.slice(names, i + 1, F.size(names)), "/"))
+    keyed = files.select(F.col("path").alias("found"), F.explode(from_name).alias("wanted"))
 
     def match(rows: DataFrame, module: Column) -> DataFrame:
-        wanted = F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))
-        rows = rows.withColumn("wanted", wanted).withColumn("leaf", F.substring_index("wanted", "/", -1))
-        keyed, suffix = ending(F.col("wanted"))
-        return rows.join(keyed, "leaf").where(suffix)
+        return rows.withColumn("wanted", F.concat(F.replace(module, F.lit("."), F.lit("/")), F.lit(".py"))).join(keyed, "wanted")
 
     asked = imports.select("file", "path").distinct()
     whole = match(asked, F.col("path")).groupBy("file", "path").agg(F.min("found").alias("defined_in")).withColumn("symbol", F.lit(None).cast("string"))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ashlar.plans.common import checkpointed
+
 PER_FILE, PER_RULE = 10, 50
 RANKS = {"low": 1, "medium": 2, "high": 3, "unknown": 0}
 
@@ -97,21 +99,36 @@ def budget_allocation(files: DataFrame, budget: int) -> DataFrame:
     """files(project, path, score, ord, signature_cost, skeleton_cost, full_cost) with a strategy each, by the score.
 
     All begin as signatures. A first pass lifts files to skeletons where the rest of the budget allows, a second one
-    skeletons to full; a file that doesn't fit is passed over. Each project is one sequence: three numbers a file.
+    skeletons to full; a file that doesn't fit is passed over. What is left depends on all files before, so a project is
+    one sequence, by task; it streams in order, and only what is left is kept.
     """
+    spent = files.groupBy("project").agg((F.lit(budget) - F.sum("signature_cost")).cast("long").alias("left"))
+    start = files.select("project", "path", "score", "ord", *[F.col(f"{k}_cost").cast("long").alias(k) for k in ("signature", "skeleton", "full")])
+    first = _lifted(start.withColumn("strategy", F.lit("signature")).join(spent, "project"), "signature", "skeleton")
+    first = checkpointed(first)
+    rest = first.groupBy("project").agg(F.min("left").alias("left"))  # it never grows
+    return _lifted(first.drop("left").join(rest, "project"), "skeleton", "full").select("project", "path", "strategy")
+
+
+def _lifted(files: DataFrame, before: str, better: str) -> DataFrame:
+    """files whose strategy is before get the better one, in order, as far as left allows; left is what remains then."""
+    schema = files.schema
 
-    def run(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["score", "ord"], ascending=[False, True], kind="stable")
-        left = budget - int(own["signature_cost"].sum())
-        chosen = ["signature"] * len(own)
-        for better, before in (("skeleton", "signature"), ("full", "skeleton")):
-            extra = (own[f"{better}_cost"] - own[f"{before}_cost"]).tolist()
-            for i, cost in enumerate(extra):
-                if chosen[i] == before and cost <= left:
-                    chosen[i], left = better, left - int(cost)
-        return pd.DataFrame({"project": own["project"], "path": own["path"], "strategy": chosen})
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        project, left = object(), 0
+        for batch in batches:
+            batch = batch.reset_index(drop=True)
+            kinds, rest = batch["strategy"].tolist(), []
+            for i, (own, at_first, cost) in enumerate(zip(batch["project"], batch["left"], batch[better] - batch[before])):
+                if own != project:
+                    project, left = own, int(at_first)
+                if kinds[i] == before and cost <= left:
+                    kinds[i], left = better, left - int(cost)
+                rest.append(left)
+            yield batch.assign(strategy=kinds, left=rest)
 
-    return files.groupBy("project").applyInPandas(run, "project string, path string, strategy string")
+    ordered = files.repartition("project").sortWithinPartitions("project", F.col("score").desc(), "ord")
+    return ordered.mapInPandas(run, schema)
 
 
 def context_window(parts: DataFrame, budget: int, header: int = 0) -> DataFrame:
@@ -125,5 +142,5 @@ def context_window(parts: DataFrame, budget: int, header: int = 0) -> DataFrame:
 
 
 def token_cost(text: Column) -> Column:
-    """A token for four characters, rounded up; stands in for a tokenizer, which callers may use instead."""
+    """A token for four characters, rounded up; functions.tokens.token_count counts real ones."""
     return F.ceil(F.length(text) / 4).cast("long")

@@ -21,19 +21,36 @@ SNAPSHOT = (
 )
 
 
+SNIFFED = 65_536
+
+
 def glob_pattern(glob: str) -> str:
     """A glob as a pattern over whole paths."""
     return fnmatch.translate(glob).replace("(?s:", "(?s)(?:").replace("\\z", "\\Z").removesuffix("\\Z") + "$"
 
 
-def ignore_patterns(text: str) -> list[str]:
-    """Lines of a .gitignore as patterns over relative paths; comments and negations are left out."""
+def _ignore_lines(text: str) -> list[tuple[str, bool]]:
+    """(pattern over relative paths, whether it ignores) for each line of a .gitignore but comments, in order."""
     out = []
     for line in text.splitlines():
         line = line.strip()
-        if line and line[0] not in "#!":
-            body = glob_pattern(line.strip("/").replace("**/", "")).removesuffix("$").removeprefix("(?s)")
-            out.append(("^" if line.startswith("/") else "(^|/)") + body + "(/|$)")
+        if line and line[0] != "#":
+            glob = line.removeprefix("!")
+            body = glob_pattern(glob.strip("/").replace("**/", "")).removesuffix("$").removeprefix("(?s)")
+            out.append((("^" if glob.startswith("/") else "(^|/)") + body + "(/|$)", glob == line))
+    return out
+
+
+def ignore_patterns(text: str) -> list[str]:
+    """The lines of a .gitignore that ignore, as patterns over relative paths."""
+    return [pattern for pattern, ignores in _ignore_lines(text) if ignores]
+
+
+def ignored(path: Column, gitignore: str) -> Column:
+    """Whether the last line that matches path ignores it; lines with ! bring paths back."""
+    out = F.lit(False)
+    for pattern, ignores in _ignore_lines(gitignore):
+        out = F.when(F.rlike(path, F.lit(pattern)), F.lit(ignores)).otherwise(out)
     return out
 
 
@@ -43,8 +60,10 @@ def read_tree(spark: SparkSession, root: str, excludes: list[str] = (), gitignor
     base = "/" + root.split("://")[-1].strip("/") + "/"
     path = F.substring_index("path", base, -1)
     files = raw.select(path.alias("path"), F.col("content").cast("string").alias("content"), F.col("length").alias("size"))
-    for pattern in [*(glob_pattern(g) for g in excludes), *ignore_patterns(gitignore)]:
-        files = files.where(~F.rlike("path", F.lit(pattern)))
+    for glob in excludes:
+        files = files.where(~F.rlike("path", F.lit(glob_pattern(glob))))
+    if gitignore:
+        files = files.where(~ignored(F.col("path"), gitignore))
     return files.select("path", language_of(F.col("path")).alias("language"), "content", "size")
 
 
@@ -88,8 +107,9 @@ def go_profile(spark: SparkSession, path: str) -> DataFrame:
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
-    """By the report's first lines: a Go profile, JaCoCo or Cobertura."""
-    head = "\n".join(r[0] for r in spark.read.text(path).limit(10).collect())
+    """By the report's first SNIFFED bytes: a Go profile, JaCoCo or Cobertura. The executors cut them off."""
+    first = spark.read.format("binaryFile").load(path).orderBy("path").select(F.expr(f"substring(content, 1, {SNIFFED})")).first()
+    head = bytes(first[0]).decode("utf-8", "replace") if first else ""
     if head.startswith("mode:"):
         return go_profile(spark, path)
     return jacoco(spark, path) if "<report" in head else cobertura(spark, path)

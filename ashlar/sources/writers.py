@@ -147,3 +147,16 @@ def write_json(df: DataFrame, path: str, schema: str | None = None) -> None:
 
 def append_log(events: DataFrame, path: str, rows_per_file: int = 100_000) -> None:
     events.write.mode("append").option("maxRecordsPerFile", rows_per_file).json(path)
+
+
+def export(rows: DataFrame, path: str, kind: str) -> None:
+    """Decisions or events as JSON lines below path, a folder for each value of kind; earlier exports stay.
+
+    A row's other columns are in its line as they are, nulls left out. For a stream, stream_export does this by batch.
+    """
+    rows.write.mode("append").partitionBy(kind).json(path)
+
+
+def stream_export(rows: DataFrame, path: str, kind: str, checkpoint: str):
+    """A running query that exports each row of a stream once: the file sink commits what a batch has written."""
+    return rows.writeStream.format("json").partitionBy(kind).option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
