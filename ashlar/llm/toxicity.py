@@ -74,17 +74,19 @@ class Index:
         self.labels, self.ids = labels[order].astype(float), ids[order]
         self.n_blocks = max(1, -(-len(order) // BLOCK))
         sizes = [len(vectors[i][0]) for i in order]
-        term = np.concatenate([vectors[i][0] for i in order]) if order else np.zeros(0, np.int64)
-        weight = np.concatenate([vectors[i][1] for i in order]) if order else np.zeros(0)
-        place = np.repeat(np.arange(len(order)), sizes)
-        by_term = np.lexsort((place, term))
-        self.place, self.weight = place[by_term].astype(np.int32), weight[by_term].astype(np.float32)
-        self.starts = np.searchsorted(term[by_term], np.arange(n_terms + 1))
+        term = np.concatenate([vectors[i][0] for i in order]).astype(np.int32) if order else np.zeros(0, np.int32)
+        by_term = np.argsort(term, kind="stable")  # so places stay in order
+        self.starts = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=n_terms))])
+        del term
+        self.place = np.repeat(np.arange(len(order), dtype=np.int32), sizes)[by_term]
+        weight = np.concatenate([vectors[i][1] for i in order]).astype(np.float32) if order else np.zeros(0, np.float32)
+        self.weight = weight[by_term]
+        del weight, by_term
         self._cells()
 
     def _cells(self) -> None:
-        term = np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
-        cell = term * self.n_blocks + self.place // BLOCK
+        cell = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int64 if len(self.starts) * self.n_blocks >> 31 else np.int32) * self.n_blocks, np.diff(self.starts))
+        cell += self.place // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
         self.cell_starts = np.append(first, len(cell)).astype(np.int32)
         self.cell_block = (cell[first] % self.n_blocks).astype(np.int32)
@@ -138,6 +140,29 @@ class Index:
         return best, cosines[best]
 
 
+class Known(dict):
+    """Of a word that was looked up its term, -1 for none, or beyond all terms the place of its several terms."""
+
+    def __init__(self, terms: dict[str, int], begun: set[str]):
+        self.terms, self.begun = terms, begun
+        self.several: list[list[int]] = []
+
+    def __missing__(self, word: str) -> int:
+        some = forms(word) if word[: BEGINNINGS[0]] in self.begun else (word,)
+        own = [self.terms[form] for form in some if form in self.terms]
+        if len(own) > 1:
+            self.several.append(own)
+        found = self[word] = -1 if not own else own[0] if len(own) == 1 else len(self.terms) + len(self.several) - 1
+        return found
+
+    def clear(self) -> None:
+        super().clear()
+        self.several.clear()
+
+    def __reduce__(self):
+        return Known, (self.terms, self.begun)
+
+
 class Model:
     """Fitted on (doc_id, text, label) rows, each doc_id once."""
 
@@ -159,43 +184,33 @@ class Model:
                     loud.add(form)
         chosen = sorted(form for form, df in seen.items() if form in loud or LEAST_DF <= df <= MOST_SHARE * n and not form.endswith("*"))
         self.terms = {w: i for i, w in enumerate(chosen)}
-        # Of a word its term, -1 for none, or beyond all terms the place of its several terms.
-        self.cache: dict[str, int] = {}
-        self.several: list[list[int]] = []
-        self.begun = {form[: BEGINNINGS[0]] for form in chosen if form.endswith("*")}
+        self.known = Known(self.terms, {form[: BEGINNINGS[0]] for form in chosen if form.endswith("*")})
         self.weights = np.array([(math.log((1 + n) / (1 + seen[w])) + 1) * (1.0 if w in loud else quiet) for w in chosen])
-        vectors = [self.vector(text) for _, text, _ in rows]
+        del seen, with_label
+        vectors = [(terms.astype(np.int32), weights.astype(np.float32)) for terms, weights in (self.vector(text) for _, text, _ in rows)]
         have = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
         plain = [i for i, (terms, _) in enumerate(vectors) if not any(chosen[t] in loud for t in terms.tolist())]
         self.prior = (labels[plain].sum() + 0.5) / (len(plain) + 2.0)
         self.index = Index([vectors[i] for i in have], labels[have], np.array([rows[i][0] for i in have], np.int64), len(chosen))
         back = {int(doc_id): at for at, doc_id in enumerate(self.index.ids)}
         some = np.unique(np.linspace(0, max(0, n - 1), min(n, CALIBRATED)).astype(int))
-        votes = [self.vote(*self.index.nearest(*vectors[i], NEIGHBOURS, back[rows[i][0]])) if len(vectors[i][0]) else self.prior for i in some]
-        self.curve, self.cache, self.several = _logistic(np.array(votes), labels[some]), {}, []
+        votes = [self.vote(*self.index.nearest(vectors[i][0].astype(np.int64), vectors[i][1].astype(float), NEIGHBOURS, back[rows[i][0]])) if len(vectors[i][0]) else self.prior for i in some]
+        self.curve = _logistic(np.array(votes), labels[some])
+        self.known.clear()
 
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(terms in order, weights) of a text, of length one; nothing for a text without terms."""
-        found, cache = words(text), self.cache
-        new = set(found).difference(cache)
-        if len(cache) + len(new) > CACHE_WORDS:
-            cache.clear()
-            self.several.clear()
-            new = set(found)
-        for word in new:
-            some = forms(word) if word[: BEGINNINGS[0]] in self.begun else (word,)
-            own = [self.terms[form] for form in some if form in self.terms]
-            if len(own) > 1:
-                self.several.append(own)
-            cache[word] = -1 if not own else own[0] if len(own) == 1 else len(self.terms) + len(self.several) - 1
-        terms, times = np.unique(np.fromiter(map(cache.__getitem__, found), np.int64, len(found)), return_counts=True)
+        found, known = words(text), self.known
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        terms, times = np.unique(np.fromiter(map(known.__getitem__, found), np.int64, len(found)), return_counts=True)
         if len(terms) and terms[0] < 0:
             terms, times = terms[1:], times[1:]
         single = int(np.searchsorted(terms, len(self.terms)))
         if single < len(terms):
             counted = Counter(dict(zip(terms[:single].tolist(), times[:single].tolist())))
             for several, n in zip(terms[single:].tolist(), times[single:].tolist()):
-                for term in self.several[several - len(self.terms)]:
+                for term in known.several[several - len(self.terms)]:
                     counted[term] += n
             terms = np.array(sorted(counted), np.int64)
             times = np.array([counted[t] for t in terms.tolist()], np.int64)
