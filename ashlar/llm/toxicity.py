@@ -85,13 +85,20 @@ class Index:
         self._cells()
 
     def _cells(self) -> None:
-        cell = np.repeat(np.arange(len(self.starts) - 1, dtype=np.int64 if len(self.starts) * self.n_blocks >> 31 else np.int32) * self.n_blocks, np.diff(self.starts))
+        """Of each term and block the largest weight, and where in the term's run the block's postings begin and end."""
+        n_terms = len(self.starts) - 1
+        cell = np.repeat(np.arange(n_terms, dtype=np.int64) * self.n_blocks, np.diff(self.starts))
         cell += self.place // BLOCK
         first = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])) if len(cell) else np.zeros(0, np.int64)
-        self.cell_starts = np.append(first, len(cell)).astype(np.int32)
-        self.cell_block = (cell[first] % self.n_blocks).astype(np.int32)
-        self.cell_most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
-        self.cells = np.searchsorted(cell[first] // self.n_blocks, np.arange(len(self.starts)))
+        own = cell[first]
+        del cell
+        sizes = np.zeros(n_terms * self.n_blocks, np.uint16 if len(self.ids) < 1 << 16 else np.int32)
+        sizes[own] = np.diff(np.append(first, len(self.place)))
+        self.cell_ends = np.zeros((n_terms, self.n_blocks + 1), sizes.dtype)
+        np.cumsum(sizes.reshape(n_terms, self.n_blocks), axis=1, out=self.cell_ends[:, 1:])
+        self.cell_most = np.zeros((n_terms, self.n_blocks), np.float32)
+        if len(first):
+            self.cell_most.ravel()[own] = np.maximum.reduceat(self.weight, first)
 
     def __getstate__(self) -> dict:
         """Postings travel; cells follow from them."""
@@ -105,32 +112,29 @@ class Index:
     def blocks(self) -> list[dict[int, tuple[np.ndarray, np.ndarray]]]:
         """Of each block a map from term to (places in the block, weights)."""
         out: list[dict] = [{} for _ in range(self.n_blocks)]
-        for term in range(len(self.cells) - 1):
-            for c in range(self.cells[term], self.cells[term + 1]):
-                own = slice(self.cell_starts[c], self.cell_starts[c + 1])
-                out[self.cell_block[c]][term] = self.place[own] - self.cell_block[c] * BLOCK, self.weight[own]
+        for term, block in np.argwhere(np.diff(self.cell_ends.astype(np.int64), axis=1) > 0).tolist():
+            own = slice(*(self.starts[term] + self.cell_ends[term, block : block + 2].astype(np.int64)).tolist())
+            out[block][term] = self.place[own] - block * BLOCK, self.weight[own]
         return out
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k examples with the largest cosines above zero; equal ones by place. Exact."""
-        cells = spans(self.cells[terms], self.cells[terms + 1])
-        weight = np.repeat(weights, self.cells[terms + 1] - self.cells[terms])
-        block = self.cell_block[cells]
-        bounds = np.bincount(block, weight * self.cell_most[cells], self.n_blocks)
+        bounds = np.einsum("i,ij->j", weights, self.cell_most[terms])  # not BLAS, whose threads cost more than they save here
+        starts, within = self.starts[terms], self.cell_ends[terms]
         cosines, worst = np.zeros(len(self.ids)), 0.0
         best_first = np.argsort(-bounds, kind="stable")
         for some in (best_first[:FIRST_BLOCKS], best_first[FIRST_BLOCKS:]):
             wanted = np.zeros(self.n_blocks, bool)
             wanted[some] = (bounds[some] > 0) & (bounds[some] >= worst - 1e-6)
             if 2 * wanted.sum() > self.n_blocks:  # whole postings lists are quicker to add than most of their runs
-                lists = list(zip(self.starts[terms].tolist(), self.starts[terms + 1].tolist()))
-                place, own = (np.concatenate([array[a:b] for a, b in lists]) for array in (self.place, self.weight))
-                cosines = np.bincount(place, np.repeat(weights, [b - a for a, b in lists]) * own, len(cosines))
-            elif wanted.any():
-                own = np.flatnonzero(wanted[block])
-                starts, ends = self.cell_starts[cells[own]], self.cell_starts[cells[own] + 1]
+                ends = self.starts[terms + 1]
                 found = spans(starts, ends)
-                cosines += np.bincount(self.place[found], np.repeat(weight[own], ends - starts) * self.weight[found], len(cosines))
+                cosines = np.bincount(self.place[found], np.repeat(weights, ends - starts) * self.weight[found], len(cosines))
+            elif wanted.any():
+                blocks = np.flatnonzero(wanted)
+                begin, end = ((starts[:, None] + within[:, at]).ravel() for at in (blocks, blocks + 1))
+                found = spans(begin, end)
+                cosines += np.bincount(self.place[found], np.repeat(np.repeat(weights, len(blocks)), end - begin) * self.weight[found], len(cosines))
             if without is not None and len(cosines):
                 cosines[without] = 0
             some = cosines[cosines > 0]
@@ -141,15 +145,19 @@ class Index:
 
 
 class Known(dict):
-    """Of a word that was looked up its term, -1 for none, or beyond all terms the place of its several terms."""
+    """Of a word that was looked up its term, -1 for none, or beyond all terms the place of its several terms.
+
+    begun has the lengths of the beginnings among terms, by their first letters."""
 
-    def __init__(self, terms: dict[str, int], begun: set[str]):
+    def __init__(self, terms: dict[str, int], begun: dict[str, list[int]]):
         self.terms, self.begun = terms, begun
         self.several: list[list[int]] = []
 
     def __missing__(self, word: str) -> int:
-        some = forms(word) if word[: BEGINNINGS[0]] in self.begun else (word,)
-        own = [self.terms[form] for form in some if form in self.terms]
+        own = [self.terms[word]] if word in self.terms else []
+        for k in self.begun.get(word[: BEGINNINGS[0]], ()):
+            if len(word) >= k and (form := f"{word[:k]}*") in self.terms:
+                own.append(self.terms[form])
         if len(own) > 1:
             self.several.append(own)
         found = self[word] = -1 if not own else own[0] if len(own) == 1 else len(self.terms) + len(self.several) - 1
@@ -184,7 +192,11 @@ class Model:
                     loud.add(form)
         chosen = sorted(form for form, df in seen.items() if form in loud or LEAST_DF <= df <= MOST_SHARE * n and not form.endswith("*"))
         self.terms = {w: i for i, w in enumerate(chosen)}
-        self.known = Known(self.terms, {form[: BEGINNINGS[0]] for form in chosen if form.endswith("*")})
+        begun: dict[str, list[int]] = {}
+        for form in sorted((form for form in chosen if form.endswith("*")), key=len):
+            if len(form) - 1 not in begun.setdefault(form[: BEGINNINGS[0]], []):
+                begun[form[: BEGINNINGS[0]]].append(len(form) - 1)
+        self.known = Known(self.terms, begun)
         self.weights = np.array([(math.log((1 + n) / (1 + seen[w])) + 1) * (1.0 if w in loud else quiet) for w in chosen])
         del seen, with_label
         vectors = [(terms.astype(np.int32), weights.astype(np.float32)) for terms, weights in (self.vector(text) for _, text, _ in rows)]
