@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_MODULES = ("mixing", "chat", "exact_dedup", "packing", "simhash", "toxicity", "topk", "langid", "quality", "lmscore", "whitening", "ranked")
+_MODULES = ("mixing", "chat", "exact_dedup", "packing", "simhash", "toxicity", "topk", "langid", "quality", "lmscore", "whitening", "ranked", "edits")
 QUERIES: dict = {}
 ORACLES: dict = {}
 for _name in _MODULES:
