@@ -150,28 +150,6 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, wanted: int |
     return Model([(text, int(rating)) for _, text, rating in examples(docs, labels, "quality", most, chars, F.min)], wanted)
 
 
-def grade(self, text: str | None) -> tuple[float, float]:
-        """Expected grade, and the probability of the wanted grade or a better one."""
-        z = self.value(text)
-        at_least = [1.0, *(1 / (1 + math.exp(min(700.0, t - z))) for t in self.thresholds)]
-        expected = self.grades[0] + sum(p * (b - a) for p, a, b in zip(at_least[1:], self.grades, self.grades[1:]))
-        reached = [p for p, g in zip(at_least, self.grades) if g >= self.wanted]
-        return expected, reached[0] if reached else 0.0
-
-
-def fit(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES, wanted: int | None = None) -> Model:
-    """From docs(doc_id, text) and labels(doc_id, quality): null ratings, texts and identifiers teach nothing, nor do
-    held-out documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier one row counts."""
-    teach = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
-    chosen = teach.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples)
-    grades = {r[0]: int(r[1]) for r in chosen.collect()}  # at most examples rows
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text IS NOT NULL").join(F.broadcast(chosen.select("doc_id")), "doc_id")
-    rows: dict[int, str] = {}
-    for doc_id, text in texts.collect():  # of the chosen identifiers only
-        rows[doc_id] = min(rows.get(doc_id, text), text)
-    return Model([(rows[doc_id], grades[doc_id]) for doc_id in sorted(rows)], wanted)
-
-
 def grade(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """docs(FILE, ROW, doc_id, text) to FILE, ROW, doc_id, held_out, expected_grade, tail_probability, selected.
 
