@@ -2,13 +2,14 @@
 
 Vectors are first turned by an orthogonal transform, fitted to a bounded sample, that moves their energy to the front; it
 changes no inner product, and only bounds are taken from turned vectors. A level cuts the coordinates into segments, coarse
-to fine: 1, 4 and 16 segments, then ever more single coordinates in front of 16 segments. A segment keeps its mean and deviation,
-times the root of its length. The distance of two vectors is at least that of such statistics, so their inner product is
-at most the product of the statistics; single coordinates have no deviation and are exact.
+to fine: one segment of all, then an eighth of the coordinates one by one with two segments of the rest, and on by eighths
+with one segment of the rest, up to three quarters. A segment keeps its mean and deviation, times the root of its length. The distance of two vectors
+is at least that of such statistics, so their inner product is at most what they agree on in single coordinates and the
+product of the statistics.
 
 A task holds a bounded block of queries and reads its vectors in batches. A pair goes from coarse to fine only while its
-bound reaches the query's k-th best score so far; survivors are multiplied exactly, in integers, in falling order of their
-bounds. The k-th best score in the sample is where every task starts. Queries go to the tasks in waves of at most WAVE
+bound reaches the query's k-th best score so far, and a level is computed for the pairs that are left, from what the level
+before knows. Survivors are multiplied exactly, in integers, in falling order of their bounds. The k-th best score in the sample is where every task starts. Queries go to the tasks in waves of at most WAVE
 rows, each of which reads the vectors once; a wave writes what each task found, k rows for each query and task at most, to
 the shared folder, and those are ranked at the end.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import FILE, ROW, located, materialise, shared_path, table
 
-WAVE, BATCH, QUERIES_AT_ONCE, FIRST, SAMPLE, NARROW = 4096, 2048, 512, 32, 2048, 2.0**31
+WAVE, WAVE_BYTES, BATCH, FIRST, SAMPLE, NARROW = 4096, 64_000_000, 2048, 32, 2048, 2.0**31
 _RESULT = "query_id long, vec_id long, score long, vector long"
 _LEAST, _GREATEST = -(1 << 63), (1 << 63) - 1
 
@@ -69,25 +70,29 @@ def usable(batch: pa.RecordBatch) -> dict[int, Vectors]:
     return out
 
 
-def cuts(n: int) -> list[list[int]]:
-    """For each level, coarse to fine, where its segments start, and n."""
-    out = []
-    for single, segments in ((0, 1), (0, 4), (0, 16), (n // 2, 16), (5 * n // 8, 16), (3 * n // 4, 16), (7 * n // 8, 16)):
-        starts = sorted({*range(single), *np.linspace(single, n, min(segments, n - single) + 1).astype(int).tolist()} - {n})
-        if starts and (not out or len(starts) + 1 > len(out[-1])):
-            out.append([*starts, n])
+def levels(n: int) -> list[tuple[int, list[int]]]:
+    """For each level, coarse to fine: how many coordinates in front are taken one by one, and where the segments of the
+    others start, and n. A level adds to the one before; none takes more than three quarters of the coordinates."""
+    out: list[tuple[int, list[int]]] = []
+    for single, segments in ((0, 1), (n // 8, 2), *((eighths * n // 8, 1) for eighths in range(2, 7))):
+        cut = single, [*dict.fromkeys(np.linspace(single, n, min(segments, n - single) + 1).astype(int).tolist())] if n > single else [n]
+        if len(cut[1]) > 1 and cut not in out and (not out or 2 * (len(cut[1]) - 1) + single < n):
+            out.append(cut)
     return out
 
 
 def statistics(turned: np.ndarray) -> list[np.ndarray]:
-    """Of each level the rows whose products bound inner products from above."""
+    """Of each level the segments' means and deviations, times the roots of their lengths (deviations as sums of squares).
+
+    Inner products over the segments' coordinates are at most the products of these."""
     out = []
-    for starts in cuts(turned.shape[1]):
-        sizes = np.diff(starts)
-        mean = np.add.reduceat(turned, starts[:-1], axis=1) / sizes
-        spread = turned - np.repeat(mean, sizes, axis=1)
+    for _, starts in levels(turned.shape[1]):
+        part = turned[:, starts[0] :]
+        sizes, at = np.diff(starts), np.array(starts[:-1]) - starts[0]
+        mean = np.add.reduceat(part, at, axis=1) / sizes
+        spread = part - np.repeat(mean, sizes, axis=1)
         several = sizes > 1
-        deviation = np.sqrt(np.add.reduceat(spread**2, starts[:-1], axis=1)[:, several])
+        deviation = np.sqrt(np.add.reduceat(spread**2, at, axis=1)[:, several])
         out.append(np.concatenate([mean * np.sqrt(sizes), deviation], axis=1))
     return out
 
@@ -101,71 +106,71 @@ def turn(sample: Vectors) -> np.ndarray:
 class Search:
     """The best k of what has been offered, for each of a block of queries of one length.
 
-    looked counts pairs: all, those left after each level, those multiplied.
+    looked counts pairs: all, those left after each level, those multiplied. work counts multiplications of two numbers.
     """
 
     def __init__(self, queries: Vectors, k: int, by: np.ndarray, least: np.ndarray | None = None):
         self.queries, self.k, self.by = queries, k, by
-        turned = queries.whole.astype(np.float64) @ by
-        self.levels, self.norms = statistics(turned), np.sqrt((turned**2).sum(axis=1))
+        self.turned = queries.whole.astype(np.float64) @ by
+        self.levels, self.norms = statistics(self.turned), np.sqrt((self.turned**2).sum(axis=1))
         nothing = np.zeros(0, np.int64)
         self.best: list[tuple[np.ndarray, list[int], np.ndarray]] = [(nothing, [], nothing) for _ in range(len(queries))]  # ids, scores, keys
         self.worst = np.full(len(queries), -np.inf) if least is None else least.copy()
         self.worst[list(queries.wide)] = -np.inf
-        self.looked = np.zeros(len(self.levels) + 2, np.int64)
+        self.looked, self.work = np.zeros(len(self.levels) + 2, np.int64), 0
 
     def offer(self, vectors: Vectors) -> None:
         turned = vectors.whole.astype(np.float64) @ self.by
-        levels, norms = statistics(turned), np.sqrt((turned**2).sum(axis=1))
-        wide = np.array(sorted(vectors.wide), np.int64)
-        for at in range(0, len(self.queries), QUERIES_AT_ONCE):
-            some = slice(at, at + QUERIES_AT_ONCE)
-            alive = self.queries.ids[some, None] != vectors.ids[None, :]
-            self.looked[0] += alive.sum()
-            slack = 1e-9 * self.norms[some].max(initial=0) * norms.max(initial=0) + 1e-6
-            free = np.isneginf(self.worst[some])
-            bound = np.full(alive.shape, np.inf)
-            for level, (own, other) in enumerate(zip(self.levels, levels)):
-                bound = own[some] @ other.T
-                bound[free] = np.inf
-                bound[:, wide] = np.inf
-                alive &= bound >= (self.worst[some] - slack)[:, None]
-                self.looked[level + 1] += alive.sum()
-            q, x = np.nonzero(alive)
-            order = np.lexsort((-bound[q, x], q))
-            q, x = q[order], x[order]
-            place = np.arange(len(q)) - np.searchsorted(q, q)
-            self._multiply(q[place < FIRST] + at, x[place < FIRST], vectors)
-            again = (place >= FIRST) & (bound[q, x] >= self.worst[q + at] - slack)
-            self._multiply(q[again] + at, x[again], vectors)
-
-    def _multiply(self, q: np.ndarray, x: np.ndarray, vectors: Vectors) -> None:
-        self.looked[-1] += len(q)
-        n = vectors.whole.shape[1]
-        for start, end in _runs(q):
-            mine, some = int(q[start]), x[start:end]
-            ids, scores, keys = self.best[mine]
-            small = mine not in self.queries.wide and n * self.queries.most[mine] * vectors.most[some].max(initial=0) < 2.0**62
-            if small and not (vectors.wide and any(int(i) in vectors.wide for i in some)):
-                found = (vectors.whole[some] @ self.queries.whole[mine]).tolist()
+        others, norms = statistics(turned), np.sqrt((turned**2).sum(axis=1))
+        wide = np.zeros(len(vectors), bool)
+        wide[sorted(vectors.wide)] = True
+        singles = [single for single, _ in levels(turned.shape[1])]
+        for mine in range(len(self.queries)):
+            left = np.flatnonzero(vectors.ids != self.queries.ids[mine])
+            self.looked[0] += len(left)
+            slack = 1e-9 * self.norms[mine] * norms.max(initial=0) + 1e-6
+            known, bound = np.zeros(len(left)), np.full(len(left), np.inf)
+            if np.isneginf(self.worst[mine]):
+                self.looked[1:-1] += len(left)
             else:
-                own = self.queries.integers(mine)
-                found = [sum(a * b for a, b in zip(own, vectors.integers(int(i)))) for i in some]
-            rows = zip([*scores, *found], np.concatenate([ids, vectors.ids[some]]).tolist(), np.concatenate([keys, vectors.keys[some]]).tolist())
-            top = sorted({(-s, i, key) for s, i, key in rows})[: self.k]  # a repeated row counts once
-            self.best[mine] = np.array([i for _, i, _ in top], np.int64), [-s for s, _, _ in top], np.array([key for *_, key in top], np.int64)
-            if len(top) == self.k and mine not in self.queries.wide:
-                self.worst[mine] = max(self.worst[mine], float(-top[-1][0]))
+                before = 0
+                for level, (single, other) in enumerate(zip(singles, others)):
+                    if single > before:
+                        known = known + turned[left, before:single] @ self.turned[mine, before:single]
+                    bound = known + other[left] @ self.levels[level][mine]
+                    self.work += len(left) * (single - before + other.shape[1])
+                    bound[wide[left]] = np.inf
+                    keep = bound >= self.worst[mine] - slack
+                    left, known, bound, before = left[keep], known[keep], bound[keep], single
+                    self.looked[level + 1] += len(left)
+            order = np.argsort(-bound, kind="stable")
+            first, rest = order[:FIRST], order[FIRST:]
+            self._multiply(mine, left[first], vectors)
+            self._multiply(mine, left[rest[bound[rest] >= self.worst[mine] - slack]], vectors)
+
+    def _multiply(self, mine: int, some: np.ndarray, vectors: Vectors) -> None:
+        if not len(some):
+            return
+        self.looked[-1] += len(some)
+        n = vectors.whole.shape[1]
+        self.work += len(some) * n
+        ids, scores, keys = self.best[mine]
+        small = mine not in self.queries.wide and n * self.queries.most[mine] * vectors.most[some].max(initial=0) < 2.0**62
+        if small and not (vectors.wide and any(int(i) in vectors.wide for i in some)):
+            found = (vectors.whole[some] @ self.queries.whole[mine]).tolist()
+        else:
+            own = self.queries.integers(mine)
+            found = [sum(a * b for a, b in zip(own, vectors.integers(int(i)))) for i in some]
+        rows = zip([*scores, *found], np.concatenate([ids, vectors.ids[some]]).tolist(), np.concatenate([keys, vectors.keys[some]]).tolist())
+        top = sorted({(-s, i, key) for s, i, key in rows})[: self.k]  # a repeated row counts once
+        self.best[mine] = np.array([i for _, i, _ in top], np.int64), [-s for s, _, _ in top], np.array([key for *_, key in top], np.int64)
+        if len(top) == self.k and mine not in self.queries.wide:
+            self.worst[mine] = max(self.worst[mine], float(-top[-1][0]))
 
     def rows(self) -> list[tuple[int, int, int, int]]:
         return [(int(q), i, max(_LEAST, min(_GREATEST, s)), key) for q, (ids, scores, keys) in zip(self.queries.ids, self.best) for i, s, key in zip(ids.tolist(), scores, keys.tolist())]
 
 
-def _runs(sorted_values: np.ndarray) -> Iterator[tuple[int, int]]:
-    starts = np.flatnonzero(np.concatenate([[True], sorted_values[1:] != sorted_values[:-1]])) if len(sorted_values) else np.zeros(0, np.int64)
-    return zip(starts.tolist(), np.append(starts[1:], len(sorted_values)).tolist())
-
-
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave: int = WAVE) -> DataFrame:
     """vectors(vec_id, embedding) and queries alike, to (query_id, rank, vec_id, score): each query's k highest scores.
 
@@ -179,6 +184,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, wave: int = WAVE)
     pick = lambda df: df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id IS NOT NULL AND embedding IS NOT NULL")
     vectors = pick(vectors)
     asked = located(materialise(pick(queries).dropDuplicates(), "queries"))
+    longest = asked.agg(F.max(F.size("embedding"))).first()[0] or 1
+    wave = max(1, min(wave, WAVE_BYTES // (32 * longest)))  # integers, turned coordinates and statistics of each
     sample = {n: (v, turn(v)) for n, v in usable(_one_batch(vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE))).items()}
     out, last = shared_path(spark, "nearest"), None
     while True:  # pages by the place of a row, which is its own
