@@ -33,7 +33,7 @@ from ashlar.llm.common import FILE, ROW, located, materialise, table
 from ashlar.llm.components import components
 
 CLASSES, PERIOD, BANDS, SYMBOLS, LEAST, IN_MEMORY = 64, 1 << 16, 32, 8, 0.8, 10_000
-BUCKET_ROWS, MOST_BUCKETS, HORIZON = 500, 131_072, 1 << 18
+BUCKET_ROWS, MOST_BUCKETS, HORIZON = 2000, 16_384, 1 << 18
 FEW, AT_ONCE = 24, 8_000_000
 _DIGITS, _VALUES = bytes.maketrans(bytes(range(16)), b"0123456789abcdef"), bytes.maketrans(b"0123456789abcdef", bytes(range(16)))
 _ABSENT, _BUCKET, _LATER = "__lode_absent", "__lode_bucket", "__lode_later"
