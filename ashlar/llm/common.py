@@ -127,12 +127,12 @@ def only_rows(docs: DataFrame, wanted: DataFrame, keys: int = BROADCAST_KEYS) ->
     return numbered(docs, wanted.select(FILE, ROW, F.lit(1).alias(NUMBER)), lambda found: found.where(F.col(NUMBER) == 1).drop(NUMBER), keys=keys)
 
 
-def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int, settle: Callable = F.max) -> list[tuple[int, str, int]]:
-    """A bounded sample to learn from: (doc_id, text, label) of at most most documents and most_chars characters in all.
+def sample(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int, settle: Callable = F.max) -> DataFrame:
+    """A bounded sample to learn from: a table (doc_id, text, label) of at most most documents and most_chars characters.
 
     Null labels, texts and identifiers teach nothing, nor do held-out documents (CRC-32 of the identifier divisible by 5).
     The rest are taken in order of a hash. Of an identifier's rows the least text counts, of its labels what settle takes.
-    Executors reduce both before anything comes to the driver.
+    Nothing comes to the driver.
     """
     teach = labels.where(f"{label} IS NOT NULL AND doc_id IS NOT NULL AND crc32(CAST(doc_id AS STRING)) % 5 <> 0")
     chosen = teach.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(settle(label).cast("long").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -141,5 +141,9 @@ def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, most_cha
     texts = materialise(texts.groupBy("doc_id", "label").agg(F.min("text").alias("text")), "learned")
     before = F.sum(F.length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most most numbers
     fits = texts.select("doc_id", F.length("text").alias("n"), before.alias("chars")).where(F.col("chars") <= most_chars)
-    rows = texts.join(F.broadcast(fits.select("doc_id")), "doc_id").collect()
-    return sorted((r.doc_id, r.text, r.label) for r in rows)
+    return materialise(texts.join(F.broadcast(fits.select("doc_id")), "doc_id").select("doc_id", "text", "label"), "sample")
+
+
+def examples(docs: DataFrame, labels: DataFrame, label: str, most: int, most_chars: int, settle: Callable = F.max) -> list[tuple[int, str, int]]:
+    """The rows of sample, in order, in the driver."""
+    return sorted((r.doc_id, r.text, r.label) for r in sample(docs, labels, label, most, most_chars, settle).collect())

@@ -24,14 +24,14 @@ import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import FILE, ROW, examples, located, table
+from ashlar.llm.common import FILE, ROW, located, sample, table
 
 EXAMPLES, CHARS, CALIBRATED, LEAST_DF, MOST_SHARE, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 64_000_000, 3000, 2, 0.1, 4, 40.0, 256, 15, 0.25
 BEGINNINGS, QUIET, POWER, CACHE_WORDS, FIRST_BLOCKS = (3, 4, 5, 6, 7), 0.05, 4, 200_000, 2
@@ -171,42 +171,66 @@ class Known(dict):
         return Known, (self.terms, self.begun)
 
 
+def tally(rows: Iterable[tuple[str | None, int]]) -> dict[str, list[int]]:
+    """Of (text, label) rows for each form how many have it, and how many of those are labelled."""
+    out: dict[str, list[int]] = {}
+    for text, y in rows:
+        for form in {form for word in set(words(text)) for form in forms(word)}:
+            counts = out.setdefault(form, [0, 0])
+            counts[0] += 1
+            counts[1] += y
+    return out
+
+
+def standing(form: str, df: int, hits: int, n: int, positive: int) -> bool | None:
+    """True for a form that goes with the label, False for any other term, None for what is no term."""
+    if df >= FEWEST and 0 < positive < n:
+        a, b, c, d = hits, df - hits, positive - hits, n - positive - df + hits
+        value = n * (a * d - b * c) ** 2 / max(1.0, (a + b) * (c + d) * (a + c) * (b + d))
+        if value >= CHI or a * d > b * c and by_chance(a, df, positive, n) <= CHANCE:
+            return True
+    return False if LEAST_DF <= df <= MOST_SHARE * n and not form.endswith("*") else None
+
+
 class Model:
-    """Fitted on (doc_id, text, label) rows, each doc_id once."""
+    """Fitted on (doc_id, text, label) rows, each doc_id once; fit does the same over a table."""
 
     def __init__(self, rows: list[tuple[int, str | None, int]], quiet: float = QUIET):
-        labels = np.array([y for *_, y in rows], float)
-        n, positive = len(rows), labels.sum()
-        seen, with_label = Counter(), Counter()
-        for (_, text, _), y in zip(rows, labels):
-            found = {form for word in set(words(text)) for form in forms(word)}
-            seen.update(found)
-            if y:
-                with_label.update(found)
-        loud = set()
-        for form, df in seen.items():
-            if df >= FEWEST and 0 < positive < n:
-                a, b, c, d = with_label[form], df - with_label[form], positive - with_label[form], n - positive - df + with_label[form]
-                value = n * (a * d - b * c) ** 2 / max(1.0, (a + b) * (c + d) * (a + c) * (b + d))
-                if value >= CHI or a * d > b * c and by_chance(int(a), df, int(positive), n) <= CHANCE:
-                    loud.add(form)
-        chosen = sorted(form for form, df in seen.items() if form in loud or LEAST_DF <= df <= MOST_SHARE * n and not form.endswith("*"))
+        n, positive = len(rows), sum(int(y) for *_, y in rows)
+        found = {form: (df, standing(form, df, hits, n, positive)) for form, (df, hits) in tally((text, int(y)) for _, text, y in rows).items()}
+        self.choose({form: x for form, x in found.items() if x[1] is not None}, n, quiet)
+        self.learn(np.array([i for i, *_ in rows], np.int64), np.array([y for *_, y in rows], float), [self.vector(text) for _, text, _ in rows])
+
+    @classmethod
+    def of_terms(cls, found: dict[str, tuple[int, bool]], n: int, quiet: float = QUIET) -> Model:
+        """A model that knows its terms and can turn texts to vectors, but hasn't learned yet."""
+        self = cls.__new__(cls)
+        self.choose(found, n, quiet)
+        return self
+
+    def choose(self, found: dict[str, tuple[int, bool]], n: int, quiet: float) -> None:
+        """found: terms to their df and whether they go with the label; n: how many examples there are."""
+        chosen = sorted(found)
         self.terms = {w: i for i, w in enumerate(chosen)}
         begun: dict[str, list[int]] = {}
         for form in sorted((form for form in chosen if form.endswith("*")), key=len):
             if len(form) - 1 not in begun.setdefault(form[: BEGINNINGS[0]], []):
                 begun[form[: BEGINNINGS[0]]].append(len(form) - 1)
         self.known = Known(self.terms, begun)
-        self.weights = np.array([(math.log((1 + n) / (1 + seen[w])) + 1) * (1.0 if w in loud else quiet) for w in chosen])
-        del seen, with_label
-        vectors = [(terms.astype(np.int32), weights.astype(np.float32)) for terms, weights in (self.vector(text) for _, text, _ in rows)]
+        self.loud = np.array([found[w][1] for w in chosen], bool)
+        self.weights = np.array([(math.log((1 + n) / (1 + found[w][0])) + 1) * (1.0 if found[w][1] else quiet) for w in chosen])
+
+    def learn(self, ids: np.ndarray, labels: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """From examples' identifiers, labels and vectors, in any order; calibrated on some of them."""
+        n = len(ids)
         have = [i for i, (terms, _) in enumerate(vectors) if len(terms)]
-        plain = [i for i, (terms, _) in enumerate(vectors) if not any(chosen[t] in loud for t in terms.tolist())]
+        plain = [i for i, (terms, _) in enumerate(vectors) if not self.loud[terms].any()]
         self.prior = (labels[plain].sum() + 0.5) / (len(plain) + 2.0)
-        self.index = Index([vectors[i] for i in have], labels[have], np.array([rows[i][0] for i in have], np.int64), len(chosen))
+        vectors = [(terms.astype(np.int32), weights.astype(np.float32)) for terms, weights in vectors]
+        self.index = Index([vectors[i] for i in have], labels[have], ids[have], len(self.terms))
         back = {int(doc_id): at for at, doc_id in enumerate(self.index.ids)}
         some = np.unique(np.linspace(0, max(0, n - 1), min(n, CALIBRATED)).astype(int))
-        votes = [self.vote(*self.index.nearest(vectors[i][0].astype(np.int64), vectors[i][1].astype(float), NEIGHBOURS, back[rows[i][0]])) if len(vectors[i][0]) else self.prior for i in some]
+        votes = [self.vote(*self.index.nearest(vectors[i][0].astype(np.int64), vectors[i][1].astype(float), NEIGHBOURS, back[int(ids[i])])) if len(vectors[i][0]) else self.prior for i in some]
         self.curve = _logistic(np.array(votes), labels[some])
         self.known.clear()
 
@@ -280,8 +304,44 @@ class Sent:
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, chars: int = CHARS) -> Model:
     """From docs(doc_id, text) and labels(doc_id, toxic): null labels, texts and identifiers teach nothing, nor do held-out
     documents (CRC-32 of the identifier divisible by 5). Of a repeated identifier the least text counts, and it's toxic if
-    any of its labels says so. The sample has most documents and chars characters at most."""
-    return Model([(doc_id, text, int(toxic > 0)) for doc_id, text, toxic in examples(docs, labels, "toxic", most, chars)])
+    any of its labels says so. The sample has most documents and chars characters at most.
+
+    Executors count forms and make vectors; the terms with their counts and the vectors come to the driver, no texts.
+    """
+    spark = docs.sparkSession
+    rows = sample(docs, labels, "toxic", most, chars)
+    n, positive = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") > 0).cast("int")), F.lit(0))).first()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, marks = batch.column(0), batch.column(1).to_pylist()
+            for at in range(0, len(texts), 200):
+                found = tally((texts[i].as_py(), int(marks[i] > 0)) for i in range(at, min(len(texts), at + 200)))
+                counts = list(zip(*found.values())) or [(), ()]
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["form", "df", "hits"])
+
+    @F.arrow_udf("boolean")
+    def stands(form: pa.Array, df: pa.Array, hits: pa.Array) -> pa.Array:
+        return pa.array([standing(*one, n, positive) for one in zip(form.to_pylist(), df.to_pylist(), hits.to_pylist())], pa.bool_())
+
+    sums = rows.select("text", "label").mapInArrow(counted, "form string, df long, hits long").groupBy("form").agg(F.sum("df").alias("df"), F.sum("hits").alias("hits"))
+    # Most forms are in one example only and no terms.
+    terms = sums.where(F.col("df") >= LEAST_DF).select("form", "df", stands("form", "df", "hits").alias("loud")).where("loud IS NOT NULL").toArrow()
+    found = dict(zip(terms.column("form").to_pylist(), zip(terms.column("df").to_pylist(), terms.column("loud").to_pylist())))
+    model = Model.of_terms(found, n)
+    shared = spark.sparkContext.broadcast(Sent(model))  # the terms of the sample
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value.model()
+        for batch in batches:
+            vectors = [own.vector(text.as_py()) for text in batch.column(1)]
+            columns = [pa.array([x.tobytes() for x, _ in vectors], pa.binary()), pa.array([w.astype(np.float32).tobytes() for _, w in vectors], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=["doc_id", "label", "terms", "weights"])
+
+    learned = rows.select("doc_id", "text", "label").mapInArrow(made, "doc_id long, label long, terms binary, weights binary").orderBy("doc_id").toArrow()
+    vectors = [(np.frombuffer(t.as_buffer(), np.int64), np.frombuffer(w.as_buffer(), np.float32)) for t, w in zip(learned.column("terms"), learned.column("weights"))]
+    model.learn(learned.column("doc_id").to_numpy(), (learned.column("label").to_numpy() > 0).astype(float), vectors)
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ashlar.llm import toxicity as tox
-from ashlar.llm.common import located
+from ashlar.llm.common import examples, located
 from tests.llm.test_operators import hard, rated, table
 
 
@@ -55,7 +55,7 @@ class Plain:
 
 def test_scores_from_texts(spark):
     docs, labels, truth = lettered(spark, 250)
-    rows = tox.examples(docs, labels, "toxic", tox.EXAMPLES, tox.CHARS)
+    rows = examples(docs, labels, "toxic", tox.EXAMPLES, tox.CHARS)
     texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id is not None}
     assert [i for i, *_ in rows] == sorted(i for i, (_, t) in truth.items() if i is not None and t is not None and texts.get(i) is not None and not tox_held(i))
     assert all(text == texts[i] and y == truth[i][1] for i, text, y in rows)
@@ -106,12 +106,12 @@ def test_given_documents_reach_the_index(spark):
 
 def test_examples_are_bounded(spark):
     docs, labels, _ = rated(spark, 100)
-    assert len(tox.examples(docs, labels, "toxic", 10, tox.CHARS)) == 10
-    some = tox.examples(docs, labels, "toxic", 1000, 2000)
+    assert len(examples(docs, labels, "toxic", 10, tox.CHARS)) == 10
+    some = examples(docs, labels, "toxic", 1000, 2000)
     assert some and sum(len(text) for _, text, _ in some) <= 2000
     many = table(spark, [(1, f"text {i}") for i in range(50)])
     teach = spark.createDataFrame([(1, 1, 0), (1, 0, 1)], "doc_id long, quality int, toxic int")
-    assert tox.examples(many, teach, "toxic", 10, 1000) == ([] if tox_held(1) else [(1, "text 0", 1)])
+    assert examples(many, teach, "toxic", 10, 1000) == ([] if tox_held(1) else [(1, "text 0", 1)])
 
 
 def test_kept_rows_are_those_scored(spark):
