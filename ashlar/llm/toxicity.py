@@ -35,7 +35,7 @@ from ashlar.llm.common import FILE, ROW, located, sample, table
 
 EXAMPLES, CHARS, CALIBRATED, LEAST_DF, MOST_SHARE, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 64_000_000, 3000, 2, 0.1, 4, 40.0, 256, 15, 0.25
 BEGINNINGS, QUIET, POWER, CACHE_WORDS, FIRST_BLOCKS = (3, 4, 5, 6, 7), 0.05, 4, 200_000, 2
-CHANCE = 3e-4
+CHANCE, TALLIED = 3e-4, 20
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 
@@ -315,8 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, chars: int = C
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, marks = batch.column(0), batch.column(1).to_pylist()
-            for at in range(0, len(texts), 200):
-                found = tally((texts[i].as_py(), int(marks[i] > 0)) for i in range(at, min(len(texts), at + 200)))
+            for at in range(0, len(texts), TALLIED):
+                found = tally((texts[i].as_py(), int(marks[i] > 0)) for i in range(at, min(len(texts), at + TALLIED)))
                 counts = list(zip(*found.values())) or [(), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=["form", "df", "hits"])
 
