@@ -9,6 +9,8 @@ from ashlar.operators import policy as y
 from ashlar.operators import report as r
 from ashlar.operators import risk as k
 from ashlar.operators import tasks as t
+from ashlar.plans.common import scratch
+from ashlar.sources import writers
 from ashlar.views import oracle, view
 
 QUERIES: dict = {}
@@ -103,9 +105,9 @@ def w12(spark, d):
     return view(spark, d, "v_function").orderBy(F.col("complexity").desc(), "id").limit(10).select("id", "complexity")
 
 
-@query("w13_dashboard", "SELECT regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g') AS src, regexp_replace(target, '[^A-Za-z0-9_]', '_', 'g') AS dst FROM v_calls_sparse ORDER BY source, target LIMIT 20")
+@query("w13_dashboard", "SELECT regexp_replace(source, '[^A-Za-z0-9_]', '_', 'g') AS src, regexp_replace(target, '[^A-Za-z0-9_]', '_', 'g') AS dst FROM v_calls ORDER BY source, target LIMIT 20")
 def w13(spark, d):
-    edges = view(spark, d, "v_calls_sparse").select(F.col("source").alias("src"), F.col("target").alias("dst"))
+    edges = view(spark, d, "v_calls").select(F.col("source").alias("src"), F.col("target").alias("dst"))
     return r.dashboard_slice(edges, view(spark, d, "v_files"))
 
 
@@ -241,6 +243,51 @@ def healthy(spark, d):
     return k.health(projects.withColumn("regressed", F.col("high_risk_files") % 2 == 1).withColumn("completion", F.lit(0.5)))
 
 
+@query("k13_org_report", HEALTH + "SELECT project, risk_level, errors, regressed, health FROM x")
+def k13(spark, d):
+    """All projects, from the report as it was written."""
+    path = scratch(spark, "org")
+    writers.org_report(healthy(spark, d).select("project", "risk_level", "errors", "regressed", "health"), path)
+    lines = spark.read.text(f"{path}/what=projects")
+    return lines.select(F.from_json("value", "project string, risk_level string, errors long, regressed boolean, health double").alias("x")).select("x.*")
+
+
+@query("k13_org_summary", HEALTH + "SELECT count(*) AS total_projects, count(*) FILTER (risk_level = 'high') AS high, count(*) FILTER (risk_level = 'medium') AS medium, count(*) FILTER (risk_level = 'low') AS low, count(*) FILTER (regressed) AS regressions FROM x")
+def k13_summary(spark, d):
+    path = scratch(spark, "org")
+    writers.org_report(healthy(spark, d).select("project", "risk_level", "errors", "regressed", "health"), path)
+    form = "total_projects long, projects_by_risk_level struct<high: long, medium: long, low: long>, projects_with_regressions long"
+    found = spark.read.text(f"{path}/what=summary").select(F.from_json("value", form).alias("x"))
+    return found.select("x.total_projects", "x.projects_by_risk_level.*", F.col("x.projects_with_regressions").alias("regressions"))
+
+
+@query("k13_org_markdown", HEALTH + "SELECT project, concat('| ', project, ' | ', printf('%.2f', health), ' | ', upper(risk_level[1]), risk_level[2:], ' | ', errors, ' | 0 | ', CASE WHEN regressed THEN '⚠️' ELSE '✅' END, ' |') AS value FROM x")
+def k13_markdown(spark, d):
+    return writers.org_markdown(healthy(spark, d).withColumn("open_tasks", F.lit(0)))
+
+
+@query("k12_report_files", PER_FILE + "SELECT f.path, score, level, coalesce(total, 0) AS total FROM v_files f LEFT JOIN s ON s.path = f.path")
+def k12_files(spark, d):
+    """All files, from the report as it was written."""
+    path = scratch(spark, "report")
+    own, issues = both(spark, d)
+    writers.write_report(r.project_report(own, issues), r.file_rows(own, issues), path)
+    return spark.read.text(f"{path}/what=files").select(F.from_json("value", "path string, score double, level string, total long").alias("x")).select("x.*")
+
+
+@query("k11_markdown_rows", PER_FILE + "SELECT f.path, concat('| ', f.path, ' | ', round(CAST(score AS DECIMAL(18, 9)), 2)::DECIMAL(18, 2), ' | ', level, ' | ', coalesce(total, 0), ' |') AS value FROM v_files f LEFT JOIN s ON s.path = f.path")
+def k11_rows(spark, d):
+    return writers.markdown_rows(r.file_rows(*both(spark, d)))
+
+
+@query("k14_review", """WITH e AS (SELECT * FROM v_issues WHERE severity = 'error'), n AS (SELECT count(*) AS n FROM e)
+SELECT 0::INTEGER AS place, concat('Found ', n, ' high severity issues.') AS value FROM n
+UNION ALL SELECT * FROM (SELECT row_number() OVER (ORDER BY ord)::INTEGER AS place, concat('- **', path, '**: ', rule_id) FROM e) WHERE place <= 10
+UNION ALL SELECT 11, concat('...and ', n - 10, ' more.') FROM n""")
+def k14_review(spark, d):
+    return writers.review_lines(view(spark, d, "v_issues"))
+
+
 @query("r10_health", HEALTH + "SELECT project, health, errors FROM x")
 def r10(spark, d):
     return healthy(spark, d).select("project", "health", "errors")

@@ -296,10 +296,10 @@ def g22(spark, d):
     return deps.file_dependencies(resolved(spark))
 
 
-@query("m01_node_id", "SELECT concat('function:', CASE WHEN length(b) > 200 THEN concat(substr(b, 1, 180), '...', substr(md5(b), 1, 8)) ELSE b END) AS id FROM (SELECT concat('f.py:', substr(text, 1, 150 + (doc_id % 100)::INT)) AS b FROM {documents})")
+@query("m01_node_id", "SELECT concat('function:', CASE WHEN length(b) > 200 THEN concat(substr(b, 1, 180), '...', substr(md5(b), 1, 8)) ELSE b END) AS id FROM (SELECT concat('f.py:', text) AS b FROM {documents})")
 def m01(spark, d):
     docs = spark.read.parquet(f"{d}/documents.parquet")
-    return docs.select(node_id(F.lit("function"), F.expr("substring(text, 1, 150 + CAST(doc_id % 100 AS INT))"), F.lit("f.py")).alias("id"))
+    return docs.select(node_id(F.lit("function"), F.col("text"), F.lit("f.py")).alias("id"))
 
 
 def rule_query(name: str, make, *rows: str) -> None:

@@ -149,14 +149,14 @@ REACH = """WITH RECURSIVE r(id, depth) AS (SELECT {0} AS id, 0 AS depth UNION SE
 SELECT id, min(depth) AS depth FROM r GROUP BY id"""
 
 
-@query("g06_bfs", REACH.format("'function:1'", "v_calls_sparse", 6))
+@query("g06_bfs", REACH.format("'function:1'", "v_calls", 6))
 def g06(spark, d):
-    return g.reach(view(spark, d, "v_calls_sparse"), spark.range(1).select(F.lit("function:1").alias("id")), 6)
+    return g.reach(view(spark, d, "v_calls"), spark.range(1).select(F.lit("function:1").alias("id")), 6)
 
 
-@query("g07_reachable", "WITH RECURSIVE r(id) AS (SELECT 'function:1' UNION SELECT e.target FROM r JOIN v_calls_sparse e ON e.source = r.id) SELECT id FROM r")
+@query("g07_reachable", "WITH RECURSIVE r(id) AS (SELECT 'function:1' UNION SELECT e.target FROM r JOIN v_calls e ON e.source = r.id) SELECT id FROM r")
 def g07(spark, d):
-    return g.reach(view(spark, d, "v_calls_sparse"), spark.range(1).select(F.lit("function:1").alias("id"))).select("id")
+    return g.reach(view(spark, d, "v_calls"), spark.range(1).select(F.lit("function:1").alias("id"))).select("id")
 
 
 @query("g08_neighbours", "SELECT target AS id FROM v_edges WHERE source = 'function:17' UNION SELECT source FROM v_edges WHERE target = 'function:17'")
@@ -186,17 +186,17 @@ def _parts(own: g.Graph):
     return own.nodes, own.edges
 
 
-SUBGRAPH = f"WITH RECURSIVE r(id, depth) AS (SELECT 'function:1', 0 UNION SELECT e.target, depth + 1 FROM r JOIN v_calls_sparse e ON e.source = r.id WHERE depth < 4) "
+SUBGRAPH = f"WITH RECURSIVE r(id, depth) AS (SELECT 'function:1', 0 UNION SELECT e.target, depth + 1 FROM r JOIN v_calls e ON e.source = r.id WHERE depth < 4) "
 
 
 @query("g12_subgraph_nodes", SUBGRAPH + f"SELECT {NODE} FROM v_nodes WHERE id IN (SELECT id FROM r)")
 def g12(spark, d):
-    return g.subgraph(graph(spark, d, "v_calls_sparse"), "function:1", 4).nodes.select(*COLUMNS)
+    return g.subgraph(graph(spark, d, "v_calls"), "function:1", 4).nodes.select(*COLUMNS)
 
 
-@query("g13_subgraph_edges", SUBGRAPH + "SELECT source, target, type FROM v_calls_sparse WHERE source IN (SELECT id FROM r) AND target IN (SELECT id FROM r)")
+@query("g13_subgraph_edges", SUBGRAPH + "SELECT source, target, type FROM v_calls WHERE source IN (SELECT id FROM r) AND target IN (SELECT id FROM r)")
 def g13(spark, d):
-    return g.subgraph(graph(spark, d, "v_calls_sparse"), "function:1", 4).edges.select("source", "target", "type")
+    return g.subgraph(graph(spark, d, "v_calls"), "function:1", 4).edges.select("source", "target", "type")
 
 
 @query("g23_raw_imports", "SELECT concat('page', page_id) AS src, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS import FROM {pages}")
@@ -205,12 +205,37 @@ def g23(spark, d):
     return deps.raw_imports(pages.select(F.concat(F.lit("page"), "page_id").alias("path"), F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1).alias("imports")))
 
 
-@query("g24_cycles", """WITH p AS (SELECT DISTINCT s, t FROM v_pairs WHERE line = 6),
+@query("g24_cycles", """WITH p AS (SELECT DISTINCT s, t FROM v_pairs),
 two AS (SELECT [a.s, a.t] AS cycle FROM p a JOIN p b ON a.t = b.s AND b.t = a.s WHERE a.s < a.t),
 three AS (SELECT [a.s, a.t, b.t] AS cycle FROM p a JOIN p b ON a.t = b.s JOIN p c ON b.t = c.s AND c.t = a.s WHERE a.s < a.t AND a.s < b.t AND a.t <> b.t)
 SELECT [s] AS cycle FROM p WHERE s = t UNION ALL SELECT * FROM two UNION ALL SELECT * FROM three""")
 def g24(spark, d):
-    return deps.cycles(view(spark, d, "v_pairs").where("line = 6").select(F.col("s").alias("source"), F.col("t").alias("target")), 3)
+    return deps.cycles(view(spark, d, "v_pairs").select(F.col("s").alias("source"), F.col("t").alias("target")), 3)
+
+
+@query("g24_components", """WITH RECURSIVE p AS (SELECT DISTINCT s, t FROM v_pairs), r(a, b) AS (SELECT s, t FROM p UNION SELECT r.a, p.t FROM r JOIN p ON p.s = r.b),
+nodes AS (SELECT s AS node FROM p UNION SELECT t FROM p)
+SELECT node, least(node, min(y.b)) AS component FROM nodes LEFT JOIN (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a) y ON y.a = node GROUP BY node""")
+def g24_components(spark, d):
+    return deps.strong_components(view(spark, d, "v_pairs").select(F.col("s").alias("source"), F.col("t").alias("target")))
+
+
+@query("g24_file_components", """WITH RECURSIVE p AS (SELECT DISTINCT s, t FROM v_pairs WHERE s % 100 = t % 100), r(a, b) AS (SELECT s, t FROM p UNION SELECT r.a, p.t FROM r JOIN p ON p.s = r.b),
+nodes AS (SELECT s AS node FROM p UNION SELECT t FROM p)
+SELECT node, least(node, min(y.b)) AS component FROM nodes LEFT JOIN (SELECT x.a, x.b FROM r x JOIN r y ON y.a = x.b AND y.b = x.a) y ON y.a = node GROUP BY node""")
+def g24_file(spark, d):
+    """Recursion inside a file: calls whose ends are functions of one file."""
+    inside = view(spark, d, "v_pairs").where("s % 100 = t % 100")
+    return deps.strong_components(inside.select(F.col("s").alias("source"), F.col("t").alias("target")))
+
+
+@query("g24_file_cycles", """WITH RECURSIVE p AS (SELECT DISTINCT s, t FROM v_pairs WHERE s % 100 = t % 100),
+w(path, e) AS (SELECT [s], s FROM p UNION SELECT w.path || [p.t], p.t FROM w JOIN p ON p.s = w.e WHERE p.t > w.path[1] AND NOT list_contains(w.path, p.t))
+SELECT DISTINCT path AS cycle FROM w JOIN p ON p.s = w.e AND p.t = w.path[1]""")
+def g24_file_cycles(spark, d):
+    """Every simple cycle of them, of any length."""
+    inside = view(spark, d, "v_pairs").where("s % 100 = t % 100")
+    return deps.cycles(inside.select(F.col("s").alias("source"), F.col("t").alias("target")))
 
 
 PATHS = "WITH RECURSIVE r(node, n) AS (SELECT DISTINCT {0}, 1 FROM v_calls_dag {1} UNION SELECT e.target, n + 1 FROM r JOIN v_calls_dag e ON e.source = r.node) "

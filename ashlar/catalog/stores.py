@@ -164,25 +164,55 @@ def s27(spark, d):
 # Sinks
 
 def store_of(spark, d) -> GraphStore:
-    store = GraphStore(spark, scratch(spark, "graph"))
-    store.save(g.Graph(view(spark, d, "v_function").select("id", "type", "name", "complexity"), view(spark, d, "v_calls_sparse")))
+    store = GraphStore(spark, scratch(spark, "graph"), 8)
+    store.save(g.Graph(view(spark, d, "v_function").select("id", "type", "name", "complexity"), view(spark, d, "v_calls")))
     return store
 
 
-@query("k03_store", "SELECT source, target, type FROM v_calls_sparse UNION SELECT 'function:1', 'function:new', 'calls'")
+@query("k03_store", "SELECT source, target, type FROM v_calls UNION SELECT 'function:1', 'function:new', 'calls'")
 def k03(spark, d):
     store = store_of(spark, d)
-    store.save(g.Graph(spark.createDataFrame([("function:new", "function", "new", 1)], "id string, type string, name string, complexity int"), spark.createDataFrame([("function:1", "function:new", "calls"), ("function:1", "gone", "calls")], "source string, target string, type string")))
+    more = g.Graph(spark.createDataFrame([("function:new", "function", "new", 1)], "id string, type string, name string, complexity int"), spark.createDataFrame([("function:1", "function:new", "calls"), ("function:1", "gone", "calls")], "source string, target string, type string"))
+    store.save(more, 7)
+    store.save(more, 7)  # a batch that comes again changes nothing
     return store.graph.edges.select("source", "target", "type")
 
 
-@query("k04_store_delete", "SELECT source, target FROM v_calls_sparse WHERE source NOT IN (SELECT id FROM v_function WHERE complexity > 25) AND target NOT IN (SELECT id FROM v_function WHERE complexity > 25)")
+@query("k03_store_nodes", "SELECT id, type, name, complexity + 1 AS complexity FROM v_function WHERE complexity % 5 = 0 UNION ALL SELECT id, type, name, complexity FROM v_function WHERE complexity % 5 <> 0 UNION ALL SELECT 'function:new', 'function', 'new', 1")
+def k03_nodes(spark, d):
+    store = store_of(spark, d)
+    changed = view(spark, d, "v_function").where("complexity % 5 = 0").select("id", "type", "name", (F.col("complexity") + 1).alias("complexity"))
+    store.save_nodes(changed.union(spark.createDataFrame([("function:new", "function", "new", 1)], "id string, type string, name string, complexity int")))
+    return store.graph.nodes.select("id", "type", "name", "complexity")
+
+
+@query("k04_store_delete", "SELECT source, target FROM v_calls WHERE source NOT IN (SELECT id FROM v_function WHERE complexity > 25) AND target NOT IN (SELECT id FROM v_function WHERE complexity > 25)")
 def k04(spark, d):
     store = store_of(spark, d)
     store.delete_nodes(store.query_nodes("function", {"complexity": {"$gt": 25}}).select("id"))
     return store.graph.edges.select("source", "target")
 
 
+@query("x05_batches", "SELECT id FROM v_function WHERE NOT (complexity % 7 = 3 AND id LIKE '%1') UNION SELECT concat('file:', p_partkey % 100 + 1) FROM {part} WHERE p_size % 7 <> 3 OR NOT p_partkey % 10 = 1")
+def x05(spark, d):
+    """Changes by file, applied in two batches of which one comes twice: files are replaced or go with what they contain."""
+    own, store = view(spark, d, "v_function"), GraphStore(spark, scratch(spark, "graph"), 8)
+    contains = view(spark, d, "v_contains")
+    files = contains.select(F.col("source").alias("id")).distinct().select("id", F.lit("file").alias("type"))
+    store.save(g.Graph(files.unionByName(own.select("id", "type"), allowMissingColumns=True), contains))
+    lost = own.where("complexity % 7 = 3 AND id LIKE '%1'").select("id")
+    # Each file comes again without some of its functions, in two halves.
+    kept = contains.join(lost.withColumnRenamed("id", "target"), "target", "left_anti").select("source", "target", "type")
+    for half, names in (("a", ("a", "a")), ("b", ("b",))):
+        mine = kept.where(F.col("source").endswith("1") if half == "a" else ~F.col("source").endswith("1"))
+        paths = contains.where(F.col("source").endswith("1") if half == "a" else ~F.col("source").endswith("1")).select(F.expr("substring(source, 6)").alias("path"), F.lit("modify").alias("change")).distinct()
+        built = g.Graph(mine.select(F.col("source").alias("id"), F.lit("file").alias("type")).union(mine.select("target", F.lit("function"))).distinct(), mine)
+        for name in names:
+            store.change(paths, built, batch=name)
+    found, there = store.graph, contains.join(lost.withColumnRenamed("id", "target"), "target", "left_anti")
+    return found.nodes.where("type = 'function'").select("id").union(found.nodes.where("type = 'file'").join(there.select(F.col("source").alias("id")), "id", "left_semi").select("id"))
+
+
 @query("k07_history_rows", "SELECT path, rule_id, severity FROM v_issues")
 def k07(spark, d):
     root = scratch(spark, "history")
@@ -227,11 +257,6 @@ def k12_cases(spark, d):
     return writers.junit_cases(view(spark, d, "v_issues"))
 
 
-@query("k13_org_report", "SELECT project, total_files FROM v_projects ORDER BY project LIMIT 5")
-def k13(spark, d):
-    return view(spark, d, "v_projects").orderBy("project").limit(5).select("project", "total_files")
-
-
 @query("k14_console", "SELECT path, rule_id FROM v_issues WHERE severity IN ('error', 'warning') ORDER BY ord LIMIT 10")
 def k14(spark, d):
     return r.first_issues(view(spark, d, "v_issues")).select("path", "rule_id")
@@ -314,7 +339,7 @@ def x04(spark, d):
     node, edge = "id string, type string, name string", "source string, target string, type string"
     own = g.Graph(spark.createDataFrame([("file:a.py", "file", "a.py"), ("function:a.py:f", "function", "f"), ("file:b.py", "file", "b.py")], node), spark.createDataFrame([("file:a.py", "function:a.py:f", "contains")], edge))
     store = scratch(spark, "graph")
-    writers.save_graph(own, store)
+    GraphStore(spark, store, 4).save(own)
     times = [("a.py", "modify", "2024-01-01T00:00:00"), ("a.py", "modify", "2024-01-01T00:00:00.500"), ("b.py", "delete", "2024-01-01T00:00:00"), ("late.py", "modify", "2024-01-01T02:00:00")]
     events = written(spark, "events", *(json.dumps(dict(zip(("path", "change_type", "ts"), row))) for row in times))
 
@@ -324,4 +349,4 @@ def x04(spark, d):
         return g.Graph(nodes, mine.select(F.lit("file:a.py").alias("source"), F.lit("function:a.py:h").alias("target"), F.lit("contains").alias("type")))
 
     up.maintain(up.read_events(spark, events), store, build, scratch(spark, "state")).trigger(availableNow=True).start().awaitTermination()
-    return writers.load_graph(spark, store, up.newest(spark, store)).nodes.select("id")
+    return GraphStore(spark, store, 4).graph.nodes.select("id")

@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ashlar.operators.graph import Graph, induced, reach
-from ashlar.plans.common import checkpointed
+from ashlar.plans.common import checkpointed, counted
 from ashlar.schema import node_id, split_lines
 
 #: Names that calls resolve to as builtin. Fixed values.
-BUILTINS = (
-    "print len str int float bool list dict set tuple range enumerate zip map filter sorted reversed open input type isinstance hasattr getattr setattr "
-    "min max sum abs round pow make new append copy delete cap panic recover close toString equals hashCode println"
-).split()
+BUILTINS = [
+    "print", "len", "str", "int", "float", "bool", "list", "dict", "set", "tuple", "range", "enumerate", "zip", "map", "filter",
+    "sorted", "reversed", "open", "input", "type", "isinstance", "hasattr", "getattr", "setattr",
+    "min", "max", "sum", "abs", "round", "pow",
+    "make", "new", "append", "copy", "delete", "cap", "panic", "recover", "close",
+    "toString", "equals", "hashCode", "println",
+]
 CALL = "struct<name:string,line:int,type:string,arguments:string>"
 RECORD = (
     "file_path string, language string, metrics struct<loc:int>, source_code string, "
@@ -117,24 +120,38 @@ def classify(imports: DataFrame) -> DataFrame:
     return named.select("path", F.when(F.col("std"), "stdlib").when(F.contains("path", F.lit("github.com")), "external").otherwise("local").alias("kind"))
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """Simple cycles of at most longest nodes as arrays that begin with their least node, each once.
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """Simple cycles as arrays that begin with their least node, each once; of at most longest nodes, of any length if None.
 
-    Paths start at the cycle's least node and only visit greater ones, so that no rotation comes twice. The number of
-    cycles can grow exponentially with longest, hence the bound; components gives cyclic parts without it.
+    Paths stay inside a strongly connected component, start at the cycle's least node and only visit greater ones, so that
+    no rotation comes twice and the rounds end with the largest component. The number of cycles can grow exponentially with
+    their length: where all of them are too many, strong_components says what lies on cycles, of any length.
     """
     pairs = edges.select("source", "target").distinct()
     found = pairs.where("source = target").select(F.array("source").alias("cycle"))
-    pairs = checkpointed(cyclic_core(pairs.where("source <> target")))
+    pairs = checkpointed(_inside(pairs.where("source <> target")))
     paths = pairs.where("source < target").select(F.array("source", "target").alias("path"), F.col("target").alias("source"))
-    for _ in range(longest - 1):
+    while longest is None or longest > 1:
         step = paths.join(pairs, "source").select("path", "target")
         found = found.union(step.where(F.col("target") == F.col("path")[0]).select(F.col("path").alias("cycle")))
         grown = step.where((F.col("target") > F.col("path")[0]) & ~F.array_contains("path", F.col("target")))
         paths = grown.select(F.concat("path", F.array("target")).alias("path"), F.col("target").alias("source"))
+        if longest is None:
+            paths = checkpointed(paths)
+            if paths.isEmpty():
+                break
+        else:
+            longest -= 1
     return found
 
 
+def _inside(pairs: DataFrame) -> DataFrame:
+    """The pairs whose both ends are in one strongly connected component."""
+    of_node = strong_components(pairs)
+    ends = pairs.join(of_node.select(F.col("node").alias("source"), F.col("component").alias("own")), "source")
+    return ends.join(of_node.select(F.col("node").alias("target"), F.col("component").alias("other")), "target").where("own = other").select("source", "target")
+
+
 def cyclic_core(pairs: DataFrame) -> DataFrame:
     """Edges left after taking away, again and again, those of nodes without a way in or out."""
     n = None
@@ -147,20 +164,67 @@ def cyclic_core(pairs: DataFrame) -> DataFrame:
         n = left
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for each node of edges(source, target): component is the least node of its strongly connected
+    component; a node on no cycle is one of its own. Null ends are no nodes; repeated edges and loops change nothing.
+
+    Rounds of forward and backward colouring over what may still lie on a cycle. Forward, a node's colour is the least node
+    that reaches it; those that keep their own are roots. Backward, a root's component is what reaches it within its colour.
+    Found components and edges between colours go; every round settles a component of each colour, and only nodes whose
+    colour has changed send it on.
+    """
+    pairs = checkpointed(edges.select("source", "target").where("source IS NOT NULL AND target IS NOT NULL").distinct())
+    nodes = pairs.select(F.col("source").alias("node")).union(pairs.select(F.col("target").alias("node"))).distinct()
+    done = None
+    live = cyclic_core(pairs.where("source <> target"))
+    while not live.isEmpty():
+        colours = _colours(live)
+        coloured = live.join(colours.select(F.col("node").alias("source"), F.col("colour").alias("own")), "source").join(colours.select(F.col("node").alias("target"), F.col("colour").alias("other")), "target")
+        within = checkpointed(coloured.where("own = other").select("source", "target", F.col("own").alias("colour")))
+        roots = colours.where("node = colour").select(F.col("node").alias("id"))
+        # Backward within a colour, an edge leads from its target to its source.
+        settled = reach(within.select(F.col("target").alias("source"), F.col("source").alias("target")), roots).select(F.col("id").alias("node"))
+        settled = checkpointed(settled.join(colours, "node").select("node", F.col("colour").alias("component")))
+        done = settled if done is None else done.unionByName(settled)
+        rest = within.join(settled.select(F.col("node").alias("source")), "source", "left_anti").join(settled.select(F.col("node").alias("target")), "target", "left_anti")
+        live = cyclic_core(rest.select("source", "target"))
+    if done is None:
+        return nodes.select("node", F.col("node").alias("component"))
+    return nodes.join(done, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
+def _colours(pairs: DataFrame) -> DataFrame:
+    """(node, colour): the least node from which a node is reached, itself included."""
+    ends = pairs.select(F.col("source").alias("node")).union(pairs.select(F.col("target").alias("node"))).distinct()
+    colours = checkpointed(ends.select("node", F.col("node").alias("colour"), F.lit(True).alias("changed")))
+    while True:
+        sent = pairs.join(colours.where("changed").select(F.col("node").alias("source"), "colour"), "source").groupBy(F.col("target").alias("node")).agg(F.min("colour").alias("least"))
+        better = F.coalesce(F.col("least") < F.col("colour"), F.lit(False))
+        colours, changed = counted(colours.join(sent, "node", "left").select("node", F.when(better, F.col("least")).otherwise(F.col("colour")).alias("colour"), better.alias("changed")), F.col("changed"))
+        if not changed:
+            return colours.select("node", "colour")
+
+
 def levels(edges: DataFrame) -> DataFrame:
-    """(node, level) by longest path from a node without predecessors, level 1 there; nodes in or behind cycles are missing."""
+    """(node, level) by longest path from a node without predecessors, level 1 there; nodes in or behind cycles are missing.
+
+    Nodes are peeled: a table has how many edges into each node are left, and a round takes away those that start at the
+    nodes that became free in the last one. Edges are written once and read by the round's nodes alone.
+    """
     pairs = checkpointed(edges.select("source", "target").distinct())
+    ways = pairs.groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("left"))
     nodes = pairs.select(F.col("source").alias("node")).union(pairs.select(F.col("target").alias("node"))).distinct()
-    done, level = None, 0
-    while True:
+    level = 1
+    free = lambda left: F.when(left == 0, F.lit(level))
+    state = nodes.join(ways, "node", "left").select("node", F.coalesce("left", F.lit(0)).alias("left"))
+    state, n = counted(state.select("node", "left", free(F.col("left")).alias("level")), F.col("level").isNotNull())
+    while n:
+        gone = pairs.join(state.where(F.col("level") == level).select(F.col("node").alias("source")), "source").groupBy(F.col("target").alias("node")).agg(F.count(F.lit(1)).alias("n"))
         level += 1
-        free = nodes.join(pairs.select(F.col("target").alias("node")), "node", "left_anti").withColumn("level", F.lit(level))
-        free = checkpointed(free)
-        if free.isEmpty():
-            return done if done is not None else free
-        done = free if done is None else done.unionByName(free)
-        nodes = checkpointed(nodes.join(free, "node", "left_anti"))
-        pairs = checkpointed(pairs.join(free.select(F.col("node").alias("source")), "source", "left_anti"))
+        left = F.col("left") - F.coalesce("n", F.lit(0))
+        state = state.join(gone, "node", "left").select("node", left.alias("left"), F.coalesce("level", free(left)).alias("level"))
+        state, n = counted(state, F.col("level") == level)
+    return state.where("level IS NOT NULL").select("node", "level")
 
 
 def longest_path(edges: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -23,6 +24,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def counted(df: DataFrame, condition: Column) -> tuple[DataFrame, int]:
+    """df checkpointed, and how many of its rows meet the condition, from the same job."""
+    seen = Observation()
+    df = checkpointed(df.observe(seen, F.count_if(condition).alias("n")))
+    return df, seen.get["n"]
+
+
 def scratch(spark, label: str) -> str:
     """A new path in the folder that driver and executors share."""
     context = spark.sparkContext

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 from xml.sax.saxutils import quoteattr
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ashlar.operators.graph import Graph, add_edges, add_nodes
@@ -85,6 +85,24 @@ def write_report(report: DataFrame, rows: DataFrame, path: str) -> None:
     lines.write.mode("overwrite").partitionBy("what").text(path)
 
 
+def markdown_rows(rows: DataFrame) -> DataFrame:
+    """A line of the report's table for each file, to be written as text by the executors; a score's decimals are rounded
+    half up."""
+    cell = lambda c: F.coalesce(F.replace(F.col(c).cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    parts = [cell("path"), F.format_string("%.2f", F.col("score")), cell("level"), cell("total")]
+    return rows.select("path", F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |")).alias("value"))
+
+
+def review_lines(issues: DataFrame, most: int = 10) -> DataFrame:
+    """(place, value): a review's summary of errors, the first most of them by ord, then how many more there are."""
+    errors = issues.where(F.col("severity").isin("error", "high"))
+    n = errors.agg(F.count(F.lit(1)).alias("n"))
+    first = errors.orderBy("ord").limit(most).select(F.row_number().over(Window.orderBy("ord")).alias("place"), F.concat(F.lit("- **"), "path", F.lit("**: "), "rule_id").alias("value"))  # most rows
+    head = n.select(F.lit(0).alias("place"), F.when(F.col("n") == 0, "No high severity issues.").otherwise(F.concat(F.lit("Found "), "n", F.lit(" high severity issues."))).alias("value"))
+    more = n.where(F.col("n") > most).select(F.lit(most + 1).alias("place"), F.concat(F.lit("...and "), F.col("n") - most, F.lit(" more.")).alias("value"))
+    return head.unionByName(first).unionByName(more)
+
+
 def report_markdown(report: DataFrame, rows: DataFrame, most: int = 20) -> str:
     summary = report.first().asDict()
     out = ["# Project report", "", *(f"- {name}: {value}" for name, value in summary.items()), "", "| file | score | level | issues |", "|-|-|-|-|"]
@@ -92,6 +110,24 @@ def report_markdown(report: DataFrame, rows: DataFrame, most: int = 20) -> str:
     return "\n".join(out) + "\n"
 
 
+def org_report(projects: DataFrame, path: str) -> None:
+    """projects(project, risk_level, health, ...) as JSON lines below what=summary (how many there are, and of each level),
+    and what=projects (all of them)."""
+    level = lambda name: F.count_if(F.col("risk_level") == name).alias(name)
+    summary = projects.agg(F.count(F.lit(1)).alias("total_projects"), F.struct(level("high"), level("medium"), level("low")).alias("projects_by_risk_level"), F.coalesce(F.sum(F.col("regressed").cast("long")), F.lit(0)).alias("projects_with_regressions"))
+    line = F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("value")
+    lines = summary.select(F.lit("summary").alias("what"), line).unionByName(projects.select(F.lit("projects").alias("what"), line))
+    lines.write.mode("overwrite").partitionBy("what").text(path)
+
+
+def org_markdown(projects: DataFrame) -> DataFrame:
+    """The rows of the projects' table, to be written as text by the executors; org_heading goes before them."""
+    cell = lambda c: F.coalesce(F.replace(c.cast("string"), F.lit("|"), F.lit("\\|")), F.lit(""))
+    mark = F.when(F.col("regressed"), "⚠️").otherwise("✅")
+    parts = [cell(F.col("project")), F.format_string("%.2f", F.col("health")), cell(F.initcap("risk_level")), cell(F.col("errors")), cell(F.col("open_tasks")), mark]
+    return projects.select("project", F.concat(F.lit("| "), F.concat_ws(" | ", *parts), F.lit(" |")).alias("value"))
+
+
 def junit_counts(issues: DataFrame) -> DataFrame:
     return issues.agg(F.count(F.lit(1)).alias("tests"), F.count_if(F.col("severity").isin("error", "warning")).alias("failures"))
 

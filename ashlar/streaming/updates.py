@@ -1,12 +1,13 @@
 """Incremental maintenance: file events to coalesced changes to graph deltas, as a streaming query.
 
 Events of a path that follow one another within the interval are one change (a session); a delete among them wins, else
-several are a modification. Each micro-batch is applied to the stored graph as a new generation named by its batch, so
-that a repeated batch writes the same again.
+several are a modification. Each micro-batch is applied to the buckets of the stored graph that it touches, under its
+own name, so that a repeated batch changes nothing.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Callable
 
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ashlar.operators.graph import Graph, add_edges, add_nodes, delete_nodes, reach
 from ashlar.sources.readers import visible
-from ashlar.sources.writers import load_graph, save_graph
+from ashlar.sources.store import GraphStore
 
 EVENT = "path string, change_type string, ts timestamp"
 WATCHED = ("py", "go", "java", "js", "ts", "jsx", "tsx")
@@ -75,12 +76,14 @@ def apply_changes(graph: Graph, changes: DataFrame, built: Graph, keep_shared: b
 
 
 def maintain(events: DataFrame, store: str, build: Callable[[DataFrame], Graph], checkpoint: str, interval_us: int = 1_000_000):
-    """Starts the query: each batch's changes go to store's next generation. build makes a graph of the paths(path) it gets."""
+    """Starts the query: each batch's changes go to the buckets of the GraphStore at store that they touch; a batch that
+    comes again changes nothing. build makes a graph of the paths(path) it gets."""
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def apply(batch: DataFrame, number: int) -> None:
         batch = batch.groupBy("path").agg(F.max_by("change", "last").alias("change")).persist()
-        graph = load_graph(batch.sparkSession, store, number)
-        save_graph(apply_changes(graph, batch, build(batch.where("change <> 'delete'").select("path"))), store, number + 1)
+        built = build(batch.where("change <> 'delete'").select("path"))
+        GraphStore(batch.sparkSession, store).change(batch, built, batch=f"{stream}-{number}")
         batch.unpersist()
 
     return coalesced_stream(events.where(watched(F.col("path"))), interval_us).writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).outputMode("append")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ashlar import plugins
 from ashlar.operators.graph import Graph
+from ashlar.sources.store import GraphStore
 from ashlar.sources import readers as r
 from ashlar.sources import writers as w
 from ashlar.streaming import updates as up
@@ -89,7 +90,7 @@ def test_stream(spark, tmp_path):
     node, edge = "id string, type string, name string", "source string, target string, type string"
     graph = Graph(spark.createDataFrame([("file:a.py", "file", "a.py"), ("function:a.py:f", "function", "f"), ("file:b.py", "file", "b.py"), ("function:b.py:g", "function", "g")], node), spark.createDataFrame([("file:a.py", "function:a.py:f", "contains"), ("file:b.py", "function:b.py:g", "contains")], edge))
     store, events = str(tmp_path / "g"), tmp_path / "e"
-    w.save_graph(graph, store)
+    GraphStore(spark, store).save(graph)
     events.mkdir()
     rows = [("a.py", "modify", "2024-01-01T00:00:00"), ("a.py", "modify", "2024-01-01T00:00:00.500"), ("b.py", "create", "2024-01-01T00:00:00"), ("b.py", "delete", "2024-01-01T00:00:00.200"), ("z.txt", "modify", "2024-01-01T01:00:00"), ("late.py", "modify", "2024-01-01T02:00:00")]
     (events / "1.json").write_text("\n".join(json.dumps(dict(zip(("path", "change_type", "ts"), row))) for row in rows))
@@ -101,7 +102,7 @@ def test_stream(spark, tmp_path):
 
     query = up.maintain(up.read_events(spark, str(events)), store, build, str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
-    found = w.load_graph(spark, store, up.newest(spark, store))
+    found = GraphStore(spark, store).graph
     assert {x.id for x in found.nodes.collect()} == {"file:a.py", "function:a.py:h"}
     assert {x.target for x in found.edges.collect()} == {"function:a.py:h"}
 
