@@ -13,7 +13,9 @@ from ashlar.operators import dependencies as deps
 from ashlar.operators import rules as u
 from ashlar.operators import text as x
 from ashlar.schema import node_id
+from ashlar.streaming import expiry
 from ashlar.streaming import updates as up
+from ashlar.plans.common import scratch
 from ashlar.views import oracle, view
 
 QUERIES: dict = {}
@@ -454,6 +456,17 @@ def x09(spark, d):
     return up.unexpired(spark.read.parquet(f"{d}/events.parquet").withColumnRenamed("ts", "updated_at"), "2024-01-30 00:00:00").select("event_id")
 
 
+@query("x09_state", "SELECT concat('u', user_id) AS key, count(*) AS writes, max(ts) AS ts, TRUE AS fresh FROM {events} WHERE user_id IS NOT NULL GROUP BY user_id")
+def x09_state(spark, d):
+    """All events as a stream in one batch; nothing has expired by its end."""
+    events = spark.read.parquet(f"{d}/events.parquet").select(F.concat(F.lit("u"), "user_id").alias("key"), F.col("event_type").alias("value"), F.col("ts").cast("timestamp").alias("ts"))
+    folder, out = scratch(spark, "events"), scratch(spark, "latest")
+    events.write.parquet(folder)
+    stream = expiry.latest(spark.readStream.schema(events.schema).parquet(folder)).writeStream.option("checkpointLocation", scratch(spark, "state")).option("path", out)
+    stream.format("parquet").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out).select("key", "writes", "ts", "fresh")
+
+
 # Plugins
 
 def prints(path: str, content: str, context: dict) -> list[tuple[str, int, str]]:
