@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from ashlar.llm.common import table
 
-WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 600_000
+WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 300_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Normaliser and splitting of a tokenizer whose ids can be put together from pieces; fixed values, part of its file format.
 BY_PIECES = {

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from ashlar.llm.common import FILE, ROW, located, sample, table
 
 EXAMPLES, CHARS, CALIBRATED, LEAST_DF, MOST_SHARE, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 64_000_000, 3000, 2, 0.1, 4, 40.0, 256, 15, 0.25
-BEGINNINGS, QUIET, POWER, CACHE_WORDS, FIRST_BLOCKS = (3, 4, 5, 6, 7), 0.05, 4, 200_000, 2
+BEGINNINGS, QUIET, POWER, CACHE_WORDS, FIRST_BLOCKS = (3, 4, 5, 6, 7), 0.05, 4, 120_000, 2
 CHANCE, TALLIED = 3e-4, 20
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
