@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashlar.plans.common import checkpointed
+from ashlar.plans.common import checkpointed, counted
 
 PER_FILE, PER_RULE = 10, 50
 RANKS = {"low": 1, "medium": 2, "high": 3, "unknown": 0}
@@ -32,26 +32,34 @@ def within_quotas(tasks: DataFrame, per_file: int = PER_FILE, per_rule: int = PE
     """Of each project's tasks by (priority, ord), those that find both their file and their rule below its quota; a task
     that is turned away uses neither up, so the choice depends on all before it.
 
-    A file's tasks after its per_file-th can only be turned away if those were taken, so nothing can be cut beforehand;
-    each project is one sequence. It is read in order, in batches, and only counts are kept, so it needn't fit in memory.
+    Decided in rounds over all projects at once. Among the tasks that are still open, one is taken if, even should all open
+    ones before it be taken, its file and its rule have room; one is turned away once its file or its rule is full. Both
+    are what reading in order would decide, and the first open task is always taken. Only the first per_file of a file and
+    per_rule of a rule are ranked in a round, each task of Spark cutting its own beforehand, so no file, rule or project
+    has to be sorted in one place. Null files and rules are each one; ties of (priority, ord) are broken in any one way.
     """
-    fields = tasks.schema
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        project, files, rules = object(), Counter(), Counter()
-        for batch in batches:
-            keep = []
-            for own, path, rule in zip(batch["project"], batch["path"], batch["rule_id"]):
-                if own != project:
-                    project, files, rules = own, Counter(), Counter()
-                fits = files[path] < per_file and rules[rule] < per_rule
-                if fits:
-                    files[path] += 1
-                    rules[rule] += 1
-                keep.append(fits)
-            yield batch[keep]
-
-    return tasks.repartition("project").sortWithinPartitions("project", "priority", "ord").mapInPandas(run, fields)
+    fields, key = tasks.columns, "__task"
+    place = F.struct("priority", "ord", key)
+    open_ = checkpointed(tasks.select("*", F.monotonically_increasing_id().alias(key)))
+    taken = None
+    while True:
+        first = open_
+        for column, quota in (("path", per_file), ("rule_id", per_rule)):
+            used = None if taken is None else taken.groupBy("project", column).agg(F.count(F.lit(1)).alias("used"))
+            ranked = open_.select("project", column, key, F.row_number().over(Window.partitionBy("project", column).orderBy(place)).alias("rank")).where(F.col("rank") <= quota)
+            if used is not None:
+                same = [ranked[c].eqNullSafe(used[c]) for c in ("project", column)]
+                ranked = ranked.join(used, same, "left").where(F.col("rank") + F.coalesce("used", F.lit(0)) <= quota).select(key)
+            first = first.join(ranked.select(key), key, "left_semi")
+        fresh, n = counted(first, F.lit(True))
+        if not n:
+            return taken.select(*fields) if taken is not None else fresh.select(*fields)
+        taken = checkpointed(fresh if taken is None else taken.unionByName(fresh))
+        open_ = open_.join(fresh.select(key), key, "left_anti")
+        for column, quota in (("path", per_file), ("rule_id", per_rule)):
+            full = taken.groupBy("project", column).agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= quota)
+            open_ = open_.join(full, [open_[c].eqNullSafe(full[c]) for c in ("project", column)], "left_anti")
+        open_ = checkpointed(open_)
 
 
 def grouped(tasks: DataFrame, by: str = "rule_id") -> DataFrame:
