@@ -21,11 +21,22 @@ FILE, ROW = "__lode_file", "__lode_row"
 BLOCK, NUMBER = "__lode_block", "__lode_number"
 BLOCK_ROWS = 32_768
 BROADCAST_KEYS = 16_384 * BLOCK_ROWS
+#: Arrow batches are this large at most, unless the session has a bound of its own: texts may be long, and Spark and Python
+#: both hold a batch.
+BATCH_BYTES, _BATCH = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 _made: list[str] = []
 
 
+def bounded(spark: SparkSession) -> SparkSession:
+    """The session, with a bound on the bytes of Arrow batches."""
+    if spark.conf.get(_BATCH, None) is None:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return spark
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -54,7 +65,7 @@ def clean(spark: SparkSession) -> None:
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: the lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
+    spark = bounded(df.sparkSession)
     path = shared_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,6 +1,7 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Learning looks at a bounded sample of labelled documents (EXAMPLES, those with the least hashes) in the driver. The terms
+Learning looks at a bounded sample of labelled documents (EXAMPLES, those with the least hashes); executors count its
+forms and make its vectors. The terms
 are all words, runs of letters, lowered, that at least LEAST_DF examples and at most a share of MOST_SHARE have; more
 frequent ones are the languages' stop words. An example's vector weighs them by (1 + log tf) * idf, times QUIET for terms
 that don't go with the label, and is normalised. Terms that do, in FEWEST examples or more, always count and weigh fully:
@@ -9,8 +10,8 @@ of at most CHANCE (chi-square can't exceed the number of examples and is small f
 terms only there; they catch a stem in all its forms. QUIET is 1 for a plain TF-IDF; README has what that loses.
 
 The index keeps postings by term, and for blocks of BLOCK examples the largest weight of each term in the block. A
-document's bound for every block is a sum over its terms; blocks are searched exactly in falling order of bounds until the
-next bound is below the NEIGHBOURS-th best cosine, so the neighbours are exact. Neighbours vote with weight
+document's bound for every block is a sum over its terms. The FIRST_BLOCKS blocks of the greatest bounds are searched
+exactly, then all others whose bound reaches the NEIGHBOURS-th best cosine so far, so the neighbours are exact. Neighbours vote with weight
 cosine ** POWER beside the prior, which counts as PRIOR votes; the votes are calibrated by a logistic curve fitted to
 CALIBRATED of the examples, evenly spread, each scored without itself. The index is bounded by the sample, EXAMPLES and CHARS, so that it may be sent to
 every task.
