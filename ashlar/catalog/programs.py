@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ashlar import plugins
 from ashlar.operators import content as c
 from ashlar.operators import curly
 from ashlar.operators import rules as u
@@ -358,3 +359,42 @@ def r15_tokens(spark, d):
 
 
 QUERIES["r15_token_window"] = r15_tokens
+
+
+class Outline:
+    """What a Python source defines; what => 'functions' names them, 'counts' counts them."""
+
+    def schema(self, what: str = "functions") -> str:
+        return "path string, name string, line int" if what == "functions" else "path string, functions int, classes int"
+
+    def analyze(self, path, rows, what="functions"):
+        for row in rows:
+            facts = c.python_facts(row["content"] or "")
+            if what == "functions":
+                yield from ((path, f["name"], f["line_start"]) for f in facts["functions"])
+            else:
+                yield path, len(facts["functions"]), len(facts["classes"])
+
+
+@query("e06_semantic_analyzer", "SELECT path, name, line_start AS line FROM fn")
+def e06(spark, d):
+    plugins.as_file_function(spark, "outline", Outline())
+    return spark.sql("SELECT * FROM outline(TABLE({files}), what => 'functions')", files=programs(spark, d, PYTHON, "python").select("path", "content"))
+
+
+@query("e06_analyzer_schema", "SELECT path, 3 AS functions, 1 AS classes FROM p")
+def e06_schema(spark, d):
+    plugins.as_file_function(spark, "outline", Outline())
+    return spark.sql("SELECT * FROM outline(TABLE({files}), what => 'counts')", files=programs(spark, d, PYTHON, "python").select("path", "content"))
+
+
+def hubs(rows, least=10):
+    """The most complex function of a file, where its complexity is least or more and over half the file's."""
+    total, (most, name) = sum(r["complexity"] for r in rows), max((r["complexity"], r["name"]) for r in rows)
+    return [(name, most / total)] if most >= least and 2 * most > total else []
+
+
+@query("e07_pattern_rule", "SELECT path, 'hub' AS kind, 'run' AS subject, (1e0 + k) / (3 + k + w + h) AS confidence, 3 AS facts FROM p WHERE 1 + k >= 6 AND 2 * (1 + k) > 3 + k + w + h")
+def e07(spark, d):
+    plugins.as_file_function(spark, "hub", plugins.PatternRule("hub", hubs))
+    return spark.sql("SELECT * FROM hub(TABLE({functions}), explain => true, least => 6)", functions=facts(spark, d, "functions").select("path", "name", "complexity"))

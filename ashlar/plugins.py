@@ -10,6 +10,8 @@ from pathlib import Path
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeResult, PartitioningColumn
 
 from ashlar.operators.rules import plugin_severity
 
@@ -67,5 +69,54 @@ def as_table_function(spark: SparkSession, name: str, check: Check) -> None:
     spark.udtf.register(name, udtf(Rule, returnType="severity string, line int, message string"))
 
 
+def flat_schema(columns: str) -> StructType:
+    """"name type, ..." of plain types; where an analyzer's schema is asked for there is no session to parse it."""
+    kinds = {"string": StringType, "int": IntegerType, "long": LongType, "double": DoubleType, "boolean": BooleanType}
+    pairs = [column.split() for column in columns.split(",")]
+    return StructType([StructField(name, kinds[kind]()) for name, kind in pairs])
+
+
+def as_file_function(spark: SparkSession, name: str, analyzer) -> None:
+    """An analyzer of files as a table function over a table: SELECT * FROM name(TABLE(rows), option => value, ...).
+
+    rows has a path. Spark deals rows out by path and gives the analyzer one file at a time: analyzer.schema(**options)
+    names the columns (of plain types), which so may depend on the options, and analyzer.analyze(path, rows, **options) gives tuples of them
+    for a file's rows. Rows without path are one file; a table without rows gives none.
+    """
+
+    class OfFile:
+        @staticmethod
+        def analyze(rows, **options):
+            return AnalyzeResult(flat_schema(analyzer.schema(**{k: v.value for k, v in options.items()})), partitionBy=[PartitioningColumn("path")])
+
+        def __init__(self):
+            self.rows, self.options = [], {}
+
+        def eval(self, rows, **options):
+            self.rows.append(rows)
+            self.options = options
+
+        def terminate(self):
+            if self.rows:
+                yield from analyzer.analyze(self.rows[0]["path"], self.rows, **self.options)
+
+    spark.udtf.register(name, udtf(OfFile))
+
+
+class PatternRule:
+    """A pattern over the facts of a file, for as_file_function: found(rows, **options) gives (subject, confidence) pairs.
+    explain => true adds a column that says how many facts were looked at."""
+
+    def __init__(self, kind: str, found: Callable[..., list[tuple[str, float]]]):
+        self.kind, self.found = kind, found
+
+    def schema(self, explain: bool = False, **_) -> str:
+        return "path string, kind string, subject string, confidence double" + (", facts int" if explain else "")
+
+    def analyze(self, path: str, rows: list, explain: bool = False, **options) -> Iterator[tuple]:
+        for subject, confidence in self.found(rows, **options):
+            yield (path, self.kind, subject, float(confidence), *([len(rows)] if explain else []))
+
+
 def run_analyzers(files: DataFrame, registry: Registry) -> dict[str, DataFrame]:
     return {name: files.transform(apply) for name, apply in registry.analyzers.items()}
