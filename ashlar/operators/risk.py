@@ -103,13 +103,25 @@ def hotspots(commits: DataFrame, n: int = 10) -> DataFrame:
 
 def match_coverage(files: DataFrame, coverage: DataFrame, strict: bool = False) -> DataFrame:
     """files(path), coverage(path, rate, ord) to (path, rate): equal paths, else the first entry of which one path ends in
-    the other, both keyed by their last names; none gives null, or 0 if strict (and 1 if there is no coverage at all)."""
+    the other and whose last names are equal; none gives null, or 0 if strict (and 1 if there is no coverage at all).
+
+    The longer path is cut to each length that the other side's paths of its last name have, and the cut is joined by
+    equality: a name that very many paths share (__init__.py) gives a row for each path and length, not for each pair.
+    """
+    files = files.select("path")
     leaf = lambda c: F.substring_index(c, "/", -1)
-    entries = coverage.select(F.col("path").alias("entry"), "rate", "ord", leaf("path").alias("leaf"))
+    entries = coverage.select(F.col("path").alias("entry"), "rate", "ord")
     equal = files.join(entries.select(F.col("entry").alias("path"), "rate"), "path").groupBy("path").agg(F.max("rate").alias("exact"))
-    rest = files.select("path", leaf("path").alias("leaf")).join(equal, "path", "left_anti")
-    keyed = rest.join(entries, "leaf").where(F.endswith("path", F.col("entry")) | F.endswith("entry", F.col("path")))
-    close = keyed.groupBy("path").agg(F.min_by("rate", "ord").alias("close"))
+    rest = files.select("path").join(equal, "path", "left_anti").distinct()
+
+    def cut(longer: DataFrame, column: str, shorter: DataFrame, other: str) -> DataFrame:
+        lengths = shorter.groupBy(leaf(F.col(other)).alias("leaf")).agg(F.collect_set(F.length(other)).alias("lengths"))
+        found = longer.withColumn("leaf", leaf(F.col(column))).join(lengths, "leaf").withColumn("n", F.explode("lengths")).where(F.col("n") <= F.length(column))
+        return found.withColumn(other, F.expr(f"right({column}, n)")).drop("leaf", "lengths", "n")
+
+    shorter = cut(rest, "path", entries, "entry").join(entries, "entry").select("path", "rate", "ord")
+    longer = cut(entries, "entry", rest, "path").join(rest, "path").select("path", "rate", "ord")
+    close = shorter.unionByName(longer).groupBy("path").agg(F.min_by("rate", "ord").alias("close"))
     rate = F.coalesce("exact", "close", F.lit((1.0 if coverage.isEmpty() else 0.0)) if strict else F.lit(None).cast("double"))
     return files.select("path").join(equal, "path", "left").join(close, "path", "left").select("path", rate.alias("rate"))
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 import pytest
 
 from ashlar.operators import dependencies as deps
+from ashlar.operators import risk as k
 from ashlar.operators import tasks as t
 
 
@@ -111,3 +112,22 @@ def test_quotas_are_those_of_reading_in_order(spark, quotas):
     table = spark.createDataFrame([(i, p, f, r, n, i) for i, p, f, r, n in rows], "id int, project string, path string, rule_id string, priority int, ord int")
     found = t.within_quotas(table, *quotas)
     assert found.columns == table.columns and sorted(r.id for r in found.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("strict", [True, False])
+def test_coverage_by_either_end(spark, strict):
+    rng = random.Random(7)
+    name = lambda: "/".join(rng.choice(["src", "a", "xsrc", "pkg", "é"]) for _ in range(rng.randint(0, 3)))
+    path = lambda: f"{name()}/{rng.choice(['__init__.py', 'm.py', 'n.py'])}".lstrip("/")
+    files, entries = [path() for _ in range(60)], [(path(), i / 100, i) for i in range(60)]
+    files += ["", "lonely.go"]
+    entries += [("", 0.9, 900), ("deep/down/m.py", 0.5, 901)]
+    rates = {}
+    for own in files:
+        same = [rate for entry, rate, _ in entries if entry == own]
+        ends = [(place, rate) for entry, rate, place in entries if (own.endswith(entry) or entry.endswith(own)) and own.rpartition("/")[2] == entry.rpartition("/")[2]]
+        rates[own] = max(same) if same else min(ends)[1] if ends else 0.0 if strict else None
+    found = k.match_coverage(spark.createDataFrame([(f, 1) for f in files], "path string, rate int"), spark.createDataFrame(entries, "path string, rate double, ord int"), strict)
+    assert sorted(((r.path, r.rate) for r in found.collect()), key=repr) == sorted(((f, rates[f]) for f in files), key=repr)
+    none = spark.createDataFrame([], "path string, rate double, ord int")
+    assert {r.rate for r in k.match_coverage(spark.createDataFrame([("a.py",)], "path string"), none, strict).collect()} == {1.0 if strict else None}
