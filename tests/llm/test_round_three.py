@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from ashlar.llm import edits, ranked, whitening
+from ashlar.llm import edits, quality, ranked, toxicity, whitening
 from ashlar.llm.common import located
 from tests.oracle import DATA, connect, same
 
@@ -19,6 +19,34 @@ def docs_of(spark, rows):
     return spark.createDataFrame([(*r, "x", 1, 2, 3) for r in rows], DOCS)
 
 
+# ---- op3 and op4
+
+
+def test_quality_learns_from_a_bounded_sample(spark, monkeypatch):
+    """Of repeated identifiers one row each reaches the driver, and no more documents or characters than asked for."""
+    seen = []
+    monkeypatch.setattr(quality, "Model", lambda rows, wanted=None: seen.append(rows))
+    docs = docs_of(spark, [(i % 5 + 1, f"text {i}") for i in range(2000)] + [(i, "long " * 100) for i in range(10, 60)] + [(None, "x"), (7, None)])
+    labels = spark.createDataFrame([(i, i % 3, 0) for i in range(60)] + [(1, 0, 0), (None, 1, 0), (61, None, 0)], "doc_id long, quality int, toxic int")
+    for most, chars, check in ((10, 10**6, lambda rows: 5 <= len(rows) <= 10), (1000, 10**6, lambda rows: 35 < len(rows) < 56), (1000, 1200, lambda rows: sum(len(t) for t, _ in rows) <= 1200)):
+        quality.fit(docs, labels, most, None, chars)
+        assert check(seen[-1]) and len({t for t, _ in seen[-1] if t.startswith("text")}) <= 5
+    assert all(t == min(f"text {i}" for i in range(2000) if i % 5 + 1 == int(t.split()[1]) % 5 + 1) for t, _ in seen[1] if t.startswith("text"))
+
+
+def test_toxicity_fitted_on_executors_is_that_of_the_rows(spark):
+    rng = random.Random(2)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(3, 9))) for _ in range(200)]
+    rows = [(i, " ".join(rng.choice(words) for _ in range(30)) + (" vile" + rng.choice("abc") if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(120)]
+    labels = spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+    one = toxicity.fit(docs_of(spark, [r[:2] for r in rows]), labels)
+    held = {r.doc_id for r in labels.selectExpr("doc_id", "crc32(CAST(doc_id AS STRING)) % 5 = 0 AS held").where("held").collect()}
+    two = toxicity.Model([r for r in rows if r[0] not in held])
+    assert one.terms == two.terms and (one.loud == two.loud).all() and np.allclose(one.weights, two.weights) and one.curve == pytest.approx(two.curve, rel=1e-5)
+    for _, text, _ in rows[:20]:
+        assert one.score(text)[0] == pytest.approx(two.score(text)[0], rel=1e-5) and [i for i, _ in one.score(text)[1]] == [i for i, _ in two.score(text)[1]]
+
+
 # ---- op11
 
 
