@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -26,6 +27,7 @@ BROADCAST_KEYS = 16_384 * BLOCK_ROWS
 BATCH_BYTES, _BATCH = 4_000_000, "spark.sql.execution.arrow.maxBytesPerBatch"
 _own: dict[str, str] = {}
 _made: list[str] = []
+_kept: dict = {}
 
 
 def bounded(spark: SparkSession) -> SparkSession:
@@ -35,6 +37,16 @@ def bounded(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def kept(name: str, make: Callable):
+    """What a Python worker keeps for its next tasks: one object at a time, so that an operator's model or tokenizer goes
+    when the next operator's comes."""
+    if name not in _kept:
+        _kept.clear()
+        gc.collect()
+        _kept[name] = make()
+    return _kept[name]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -14,14 +14,13 @@ import os
 import re
 from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import table
+from ashlar.llm.common import kept, table
 
 WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 300_000
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
@@ -86,10 +85,9 @@ class Encoder:
         return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32)
 
 
-@lru_cache(maxsize=1)
 def encoder(path: str) -> Encoder:
     """One for each Python worker, which runs many tasks."""
-    return Encoder(path)
+    return kept(f"encoder of {path}", lambda: Encoder(path))
 
 
 class Room:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ashlar.llm.common import FILE, ROW, located, sample, table
+from ashlar.llm.common import FILE, ROW, kept, located, sample, table
 
 EXAMPLES, CHARS, CALIBRATED, LEAST_DF, MOST_SHARE, FEWEST, CHI, BLOCK, NEIGHBOURS, PRIOR = 8000, 64_000_000, 3000, 2, 0.1, 4, 40.0, 256, 15, 0.25
 BEGINNINGS, QUIET, POWER, CACHE_WORDS, FIRST_BLOCKS = (3, 4, 5, 6, 7), 0.05, 4, 120_000, 2
@@ -290,16 +290,11 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 class Sent:
     """A model on its way to the tasks, compressed; a Python worker opens it once for all its tasks."""
 
-    opened: dict[str, Model] = {}
-
     def __init__(self, model: Model):
         self.content, self.name = zlib.compress(pickle.dumps(model), 1), uuid.uuid4().hex
 
     def model(self) -> Model:
-        if self.name not in Sent.opened:
-            Sent.opened.clear()
-            Sent.opened[self.name] = pickle.loads(zlib.decompress(self.content))
-        return Sent.opened[self.name]
+        return kept(self.name, lambda: pickle.loads(zlib.decompress(self.content)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = EXAMPLES, chars: int = CHARS) -> Model:
