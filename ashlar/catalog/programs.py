@@ -13,7 +13,7 @@ from ashlar.operators import content as c
 from ashlar.operators import curly
 from ashlar.operators import rules as u
 from ashlar.operators import tasks as t
-from ashlar.plans.common import scratch
+from ashlar.plans.common import scratch, spread
 from ashlar.sources import writers
 from ashlar.views import oracle
 
@@ -65,7 +65,7 @@ SHELL = (("#!/bin/bash\nsource lib{b}.sh\nNAME{n}=x\ngreet{n}() {\n  echo hi\n}\
 
 def programs(spark, d, template, language):
     """(path, language, content) for each part."""
-    part = spark.read.parquet(f"{d}/part.parquet").selectExpr(*[x.strip() for x in _split(NUMBERS)])
+    part = spread(spark.read.parquet(f"{d}/part.parquet"), "p_partkey").selectExpr(*[x.strip() for x in _split(NUMBERS)])
 
     def filled(text):
         pieces = F.lit("")
@@ -110,35 +110,38 @@ UNION ALL SELECT path, n, loader, loader, 17 + 2 * k, 18 + 2 * k + 2 * w + 4 * h
 UNION ALL SELECT path, n, 'to_do', 'to_do', 21 + 2 * k + 2 * w + 4 * h, 22 + 2 * k + 2 * w + 4 * h, 1, 0, FALSE, '' FROM p"""
 
 
-def facts(spark, d, what=None):
-    found = c.extract(programs(spark, d, PYTHON, "python"))
-    return c.exploded(found, what) if what else found
+def facts(spark, d, *wanted):
+    return c.extract(programs(spark, d, PYTHON, "python"), *wanted)
+
+
+def facts_of(spark, d, what):
+    return c.exploded(facts(spark, d, what), what)
 
 
 @query("p01_functions", "SELECT path, qualified_name, line_start::INT AS line_start, line_end::INT AS line_end, complexity::INT AS complexity, is_async FROM fn")
 def p01(spark, d):
-    return facts(spark, d, "functions").select("path", "qualified_name", "line_start", "line_end", "complexity", "is_async")
+    return facts_of(spark, d, "functions").select("path", "qualified_name", "line_start", "line_end", "complexity", "is_async")
 
 
 @query("p02_classes", "SELECT path, concat('Item', n) AS name, concat('Base', b) AS bases, 'run' AS methods, 'kind' AS fields, (14 + 2 * k)::INT AS line_end FROM p")
 def p02(spark, d):
     names = F.array_join(F.transform("fields", lambda f: f["name"]), ",")
-    return facts(spark, d, "classes").select("path", "name", F.concat_ws(",", "bases").alias("bases"), F.concat_ws(",", "methods").alias("methods"), names.alias("fields"), "line_end")
+    return facts_of(spark, d, "classes").select("path", "name", F.concat_ws(",", "bases").alias("bases"), F.concat_ws(",", "methods").alias("methods"), names.alias("fields"), "line_end")
 
 
 @query("p03_imports", "SELECT path AS file, 'os' AS path, NULL::VARCHAR AS alias, 2 AS line FROM p UNION ALL SELECT path, concat('lib', b), 'm', 3 FROM p UNION ALL SELECT path, concat('app.m', w, '.helper'), NULL, 4 FROM p")
 def p03(spark, d):
-    return facts(spark, d).select(F.col("path").alias("file"), F.explode("imports").alias("i")).select("file", "i.path", "i.alias", "i.line")
+    return facts(spark, d, "imports").select(F.col("path").alias("file"), F.explode("imports").alias("i")).select("file", "i.path", "i.alias", "i.line")
 
 
 @query("p04_globals", "SELECT path, 'limit' AS name, size::VARCHAR AS value, 5 AS line FROM p UNION ALL SELECT path, 'PATH', concat('''/srv/', brand, ''''), 6 FROM p")
 def p04(spark, d):
-    return facts(spark, d, "variables").select("path", "name", "value", "line")
+    return facts_of(spark, d, "variables").select("path", "name", "value", "line")
 
 
 @query("p05_semantic_tags", "SELECT path, name, tags FROM fn")
 def p05(spark, d):
-    return c.semantic_tags(facts(spark, d, "functions")).select("path", "name", F.concat_ws(",", "tags").alias("tags"))
+    return c.semantic_tags(facts_of(spark, d, "functions")).select("path", "name", F.concat_ws(",", "tags").alias("tags"))
 
 
 @query("p06_complexity", "SELECT path, (1 + k + w + h)::INT AS digest, (1 + k + w + h)::INT AS risk, (2 + k + w + h)::INT AS cst FROM p")
@@ -148,7 +151,7 @@ def p06(spark, d):
 
 @query("p07_cognitive", "SELECT path, name, cognitive::INT AS cognitive FROM fn")
 def p07(spark, d):
-    return facts(spark, d, "functions").select("path", "name", "cognitive")
+    return facts_of(spark, d, "functions").select("path", "name", "cognitive")
 
 
 @query("p08_go", "SELECT path, concat('p', w) AS package, concat('fmt,github.com/x/l', b) AS imports, concat('New', n) AS functions, concat('Item', n) AS structs, 'Source' AS interfaces FROM p")
@@ -236,22 +239,22 @@ def p17(spark, d):
 
 @query("a07_file_complexity", "SELECT path, max(complexity)::INT AS max_complexity, avg(complexity) AS avg_complexity, count(*) FILTER (complexity > 10) AS over FROM fn GROUP BY path")
 def a07(spark, d):
-    return c.file_complexity(facts(spark, d, "functions"))
+    return c.file_complexity(facts_of(spark, d, "functions"))
 
 
 @query("a08_semantic_metrics", "SELECT path, sum(complexity)::BIGINT AS cyclomatic, sum(cognitive)::BIGINT AS cognitive, max(complexity)::INT AS max_complexity, avg(complexity) AS avg_complexity FROM fn GROUP BY path")
 def a08(spark, d):
-    return c.semantic_metrics(facts(spark, d, "functions"))
+    return c.semantic_metrics(facts_of(spark, d, "functions"))
 
 
 @query("a10_module_digest", "SELECT concat('src.m', n % 100, '.part', n) AS module, 1::BIGINT AS classes, 3::BIGINT AS functions, round((3 + k + w + h) / 3::DOUBLE, 1) AS avg_complexity, (1 + k >= 10)::BIGINT AS complex FROM p")
 def a10(spark, d):
-    return c.module_digest(facts(spark, d, "functions"), facts(spark, d, "classes"), programs(spark, d, PYTHON, "python"))
+    return c.module_digests(facts(spark, d, "functions", "classes"))
 
 
 @query("a10_tech_stack", "SELECT DISTINCT concat('lib', b) AS name FROM p UNION SELECT 'app'")
 def a10_stack(spark, d):
-    own = programs(spark, d, PYTHON, "python").select(F.lit("src").alias("module")).distinct()
+    own = programs(spark, d, PYTHON, "python").select(F.substring_index("path", "/", 1).alias("module")).distinct()
     return c.tech_stack(QUERIES["p03_imports"](spark, d).select("path"), own)
 
 
@@ -272,7 +275,7 @@ def a23(spark, d):
 
 @query("a24_ast_summary", "SELECT path, 3 AS function_count, 1 AS class_count, 3 AS import_count, 0 AS comment_lines FROM p")
 def a24(spark, d):
-    return c.ast_summary(facts(spark, d))
+    return c.ast_summary(facts(spark, d, "functions", "classes", "imports", "comment_lines"))
 
 
 @query("a25_go_concurrency", "SELECT path, w::INT AS goroutines, 0 AS channel_ops, h::INT AS error_checks FROM p")
@@ -301,30 +304,30 @@ def rule_query(name, make, sql):
         return make(spark, d).select("path", "rule_id", "severity", "line")
 
 
-rule_query("u02_high_complexity", lambda s, d: u.high_complexity(facts(s, d, "functions")), "SELECT path, 'high-cyclomatic-function' AS rule_id, 'warning' AS severity, line_start AS line FROM fn WHERE complexity > 10")
-rule_query("u05_return_hint", lambda s, d: u.missing_return_hint(facts(s, d, "functions")), "SELECT path, 'missing-return-hint' AS rule_id, 'info' AS severity, line_start AS line FROM fn")
-rule_query("u07_empty_handler", lambda s, d: u.empty_handler(facts(s, d)), "SELECT path, '001' AS rule_id, 'error' AS severity, 21 + 2 * k + 2 * w AS line FROM p WHERE h = 1")
-rule_query("u08_hardcoded_config", lambda s, d: u.hardcoded_config(facts(s, d)), "SELECT path, '002' AS rule_id, 'warning' AS severity, 5 AS line FROM p")
-rule_query("u09_mixed_naming", lambda s, d: u.mixed_naming(facts(s, d, "functions")), "SELECT path, '003' AS rule_id, 'info' AS severity, 1 AS line FROM p WHERE loader <> 'fetch'")
-rule_query("u10_long_function", lambda s, d: u.long_function(facts(s, d, "functions")), "SELECT path, '004' AS rule_id, 'warning' AS severity, line_start AS line FROM fn WHERE line_end - line_start > 50 AND NOT is_async")
-rule_query("u12_hardcoded_path", lambda s, d: u.hardcoded_path(facts(s, d)), "SELECT path, '006' AS rule_id, 'warning' AS severity, 6 AS line FROM p")
-rule_query("u13_print", lambda s, d: u.prints(facts(s, d)), "SELECT path, '007' AS rule_id, 'info' AS severity, 18 + 2 * k + 2 * w AS line FROM p")
-rule_query("u14_broad_except", lambda s, d: u.broad_except(facts(s, d)), "SELECT path, '008' AS rule_id, 'warning' AS severity, 21 + 2 * k + 2 * w AS line FROM p WHERE h = 1")
-rule_query("u15_placeholder", lambda s, d: u.placeholder(facts(s, d, "functions")), "SELECT path, '009' AS rule_id, 'info' AS severity, line_start AS line FROM fn WHERE name = 'to_do'")
-rule_query("u16_docstring", lambda s, d: u.missing_docstring(facts(s, d, "functions")), "SELECT path, '010' AS rule_id, 'info' AS severity, line_start AS line FROM fn WHERE NOT is_async")
+rule_query("u02_high_complexity", lambda s, d: u.high_complexity(facts_of(s, d, "functions")), "SELECT path, 'high-cyclomatic-function' AS rule_id, 'warning' AS severity, line_start AS line FROM fn WHERE complexity > 10")
+rule_query("u05_return_hint", lambda s, d: u.missing_return_hint(facts_of(s, d, "functions")), "SELECT path, 'missing-return-hint' AS rule_id, 'info' AS severity, line_start AS line FROM fn")
+rule_query("u07_empty_handler", lambda s, d: u.empty_handler(facts(s, d, "handlers")), "SELECT path, '001' AS rule_id, 'error' AS severity, 21 + 2 * k + 2 * w AS line FROM p WHERE h = 1")
+rule_query("u08_hardcoded_config", lambda s, d: u.hardcoded_config(facts(s, d, "constants")), "SELECT path, '002' AS rule_id, 'warning' AS severity, 5 AS line FROM p")
+rule_query("u09_mixed_naming", lambda s, d: u.mixed_naming(facts_of(s, d, "functions")), "SELECT path, '003' AS rule_id, 'info' AS severity, 1 AS line FROM p WHERE loader <> 'fetch'")
+rule_query("u10_long_function", lambda s, d: u.long_function(facts_of(s, d, "functions")), "SELECT path, '004' AS rule_id, 'warning' AS severity, line_start AS line FROM fn WHERE line_end - line_start > 50 AND NOT is_async")
+rule_query("u12_hardcoded_path", lambda s, d: u.hardcoded_path(facts(s, d, "constants")), "SELECT path, '006' AS rule_id, 'warning' AS severity, 6 AS line FROM p")
+rule_query("u13_print", lambda s, d: u.prints(facts(s, d, "constants")), "SELECT path, '007' AS rule_id, 'info' AS severity, 18 + 2 * k + 2 * w AS line FROM p")
+rule_query("u14_broad_except", lambda s, d: u.broad_except(facts(s, d, "handlers")), "SELECT path, '008' AS rule_id, 'warning' AS severity, 21 + 2 * k + 2 * w AS line FROM p WHERE h = 1")
+rule_query("u15_placeholder", lambda s, d: u.placeholder(facts_of(s, d, "functions")), "SELECT path, '009' AS rule_id, 'info' AS severity, line_start AS line FROM fn WHERE name = 'to_do'")
+rule_query("u16_docstring", lambda s, d: u.missing_docstring(facts_of(s, d, "functions")), "SELECT path, '010' AS rule_id, 'info' AS severity, line_start AS line FROM fn WHERE NOT is_async")
 
 
 @query("u01_rule_engine", """, found AS (SELECT path, '001' AS rule_id FROM p WHERE h = 1 UNION ALL SELECT path, '002' FROM p UNION ALL SELECT path, '003' FROM p WHERE loader <> 'fetch' UNION ALL SELECT path, '004' FROM fn WHERE line_end - line_start > 50 AND NOT is_async
 UNION ALL SELECT path, '006' FROM p UNION ALL SELECT path, '007' FROM p UNION ALL SELECT path, '008' FROM p WHERE h = 1 UNION ALL SELECT path, '009' FROM p UNION ALL SELECT path, '010' FROM fn WHERE NOT is_async) SELECT path, rule_id, count(*) AS n FROM found GROUP BY path, rule_id""")
 def u01(spark, d):
     own = programs(spark, d, PYTHON, "python")
-    issues, _ = u.run_rules(u.source_rules(own, c.extract(own)))
+    issues = u.source_issues(own, c.extract(own, "functions", "handlers", "constants"))
     return issues.groupBy("path", "rule_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("p14_patterns", "SELECT path, 'long_function' AS kind, name, 1.0::DOUBLE AS confidence FROM fn WHERE line_end - line_start > 50")
 def p14(spark, d):
-    return c.patterns(facts(spark, d, "functions").select("path", "name", "line_start", "line_end"), facts(spark, d, "classes"))
+    return c.file_patterns(facts(spark, d, "functions", "classes"))
 
 
 @query("u17_severity", "SELECT n, CASE size % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'info' ELSE 'warning' END AS severity FROM p")
@@ -335,7 +338,7 @@ def u17(spark, d):
 
 @query("u18_recomputed_summary", "SELECT kind, key, n::BIGINT AS n FROM (SELECT 'total' AS kind, NULL::VARCHAR AS key, count(*) + sum(h) AS n FROM p UNION ALL SELECT 'severity', 'error', sum(h) FROM p UNION ALL SELECT 'severity', 'info', count(*) FROM p UNION ALL SELECT 'rule', '001', sum(h) FROM p UNION ALL SELECT 'rule', '007', count(*) FROM p)")
 def u18(spark, d):
-    own = facts(spark, d)
+    own = facts(spark, d, "handlers", "constants")
     return u.run_rules([u.empty_handler(own), u.prints(own)])[1]
 
 
@@ -369,7 +372,7 @@ class Outline:
 
     def analyze(self, path, rows, what="functions"):
         for row in rows:
-            facts = c.python_facts(row["content"] or "")
+            facts = c.python_facts(row["content"] or "", ("functions",) if what == "functions" else ("functions", "classes"))
             if what == "functions":
                 yield from ((path, f["name"], f["line_start"]) for f in facts["functions"])
             else:
@@ -397,4 +400,4 @@ def hubs(rows, least=10):
 @query("e07_pattern_rule", "SELECT path, 'hub' AS kind, 'run' AS subject, (1e0 + k) / (3 + k + w + h) AS confidence, 3 AS facts FROM p WHERE 1 + k >= 6 AND 2 * (1 + k) > 3 + k + w + h")
 def e07(spark, d):
     plugins.as_file_function(spark, "hub", plugins.PatternRule("hub", hubs))
-    return spark.sql("SELECT * FROM hub(TABLE({functions}), explain => true, least => 6)", functions=facts(spark, d, "functions").select("path", "name", "complexity"))
+    return spark.sql("SELECT * FROM hub(TABLE({functions}), explain => true, least => 6)", functions=facts_of(spark, d, "functions").select("path", "name", "complexity"))

@@ -7,9 +7,11 @@ and shell are read by patterns with built-in functions. Facts come as arrays of
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,73 +91,194 @@ def _name(node: ast.AST | None) -> str:
     return ast.unparse(node) if node is not None else ""
 
 
-def python_facts(content: str) -> dict:
-    """All facts of one Python source; parsed is false, and everything empty, where it isn't Python."""
-    empty: dict = {k: [] for k in ("functions", "classes", "imports", "variables", "handlers", "constants", "tokens")}
+#: What a node adds to complexity besides handlers, operands and filters, and which nodes nest; by exact class, as parsed.
+_BRANCH_SET, _NESTING_SET = frozenset(_BRANCHES), frozenset(_NESTING)
+_CONCRETE = _BRANCH_SET | {ast.ExceptHandler, ast.Return, ast.Match, ast.match_case}
+_HOLDERS = (ast.stmt, ast.excepthandler, ast.match_case)
+#: Nodes below which nothing is counted and no call stands.
+_LEAVES = frozenset(c for c in vars(ast).values() if isinstance(c, type) and issubclass(c, (ast.Name, ast.Constant, ast.expr_context, ast.operator, ast.unaryop, ast.boolop, ast.cmpop, ast.alias)))
+PYTHON_FACTS = ("functions", "classes", "imports", "variables", "handlers", "constants", "tokens", "complexity", "comment_lines")
+
+
+def _spread(tops: list[ast.AST], skipped: frozenset = frozenset()) -> list[ast.AST]:
+    """All nodes in the order of ast.walk, but the skipped classes."""
+    nodes = list(tops)
+    for node in nodes:
+        for value in node.__dict__.values():
+            if value.__class__ is list:
+                nodes += [v for v in value if isinstance(v, ast.AST) and v.__class__ not in skipped]
+            elif isinstance(value, ast.AST) and value.__class__ not in skipped:
+                nodes.append(value)
+    return nodes
+
+
+def _added(node: ast.AST) -> int:
+    """What the node adds to the digest's complexity."""
+    kind = node.__class__
+    if kind in _BRANCH_SET:
+        return 1
+    if kind is ast.Try:
+        return len(node.handlers)
+    if kind is ast.BoolOp:
+        return len(node.values) - 1
+    return len(node.ifs) if kind is ast.comprehension else 0
+
+
+def _measures(function: ast.AST) -> tuple[int, int, list[str]]:
+    """complexity of the body, cognitive, and the last names of the calls, from one walk."""
+    nodes, depths, total, thought, calls = [function], [0], 1, 0, []
+    for node, depth in zip(nodes, depths):
+        kind = node.__class__
+        if kind is ast.Call:
+            if node.func.__class__ is ast.Attribute:
+                calls.append(node.func.attr)
+            elif node.func.__class__ is ast.Name:
+                calls.append(node.func.id)
+        else:
+            total += _added(node)
+            if kind is ast.BoolOp:
+                thought += len(node.values) - 1
+            elif kind in _NESTING_SET:
+                depth += 1
+                thought += depth
+        for value in node.__dict__.values():
+            if value.__class__ is list:
+                for v in value:
+                    if isinstance(v, ast.AST) and v.__class__ not in _LEAVES:
+                        nodes.append(v)
+                        depths.append(depth)
+            elif isinstance(value, ast.AST) and value.__class__ not in _LEAVES:
+                nodes.append(value)
+                depths.append(depth)
+    head = [function.args, *function.decorator_list, *([function.returns] if function.returns else []), *function.type_params]
+    return total - sum(map(_added, _spread(head, _LEAVES))), thought, calls
+
+
+def _function(child: ast.AST, scope: list[str], in_class: bool) -> dict:
+    arguments, body = child.args, child.body
+    total, thought, calls = _measures(child)
+    return {
+        "name": child.name, "qualified_name": ".".join([*scope, child.name]), "parent_scope": ".".join(scope) or None, "line_start": child.lineno, "line_end": child.end_lineno,
+        "complexity": total, "cognitive": thought, "parameters": [a.arg for a in [*arguments.posonlyargs, *arguments.args, *arguments.kwonlyargs]],
+        "return_type": _name(child.returns) or None, "decorators": [_name(d) for d in child.decorator_list], "docstring": ast.get_docstring(child) is not None,
+        "is_async": isinstance(child, ast.AsyncFunctionDef), "is_method": in_class, "calls": calls,
+        "only_pass": len(body) == 1 and isinstance(body[0], ast.Pass), "body_size": len(body),
+    }
+
+
+def _class(child: ast.ClassDef) -> dict:
+    fields = [(t.id, s.value) for s in child.body if isinstance(s, (ast.Assign, ast.AnnAssign)) for t in (s.targets if isinstance(s, ast.Assign) else [s.target]) if isinstance(t, ast.Name)]
+    methods = [s.name for s in child.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
+    return {"name": child.name, "line_start": child.lineno, "line_end": child.end_lineno, "bases": [b.id for b in child.bases if isinstance(b, ast.Name)], "methods": methods, "fields": [{"name": n, "value": _name(v)[:30] or None} for n, v in fields]}
+
+
+def python_facts(content: str, wanted: Collection[str] = PYTHON_FACTS) -> dict:
+    """The wanted facts of one Python source; parsed is false, and everything empty, where it isn't Python."""
+    facts: dict = {k: 0 if k in ("complexity", "comment_lines") else [] for k in wanted}
     try:
         tree = ast.parse(content)
+        _python_facts(tree, content, facts)
     except (SyntaxError, ValueError, RecursionError, MemoryError):
-        return empty | {"complexity": 0, "comment_lines": 0, "parsed": False}
-    facts = empty
+        return {k: 0 if k in ("complexity", "comment_lines") else [] for k in wanted} | {"parsed": False}
+    return facts | {"parsed": True}
+
+
+def _python_facts(tree: ast.Module, content: str, facts: dict) -> None:
+    """Fills in the facts that are asked for by their keys; the others cost nothing."""
+    functions, classes = facts.get("functions"), facts.get("classes")
 
     def walk(node: ast.AST, scope: list[str], in_class: bool) -> None:
-        for child in ast.iter_child_nodes(node):
-            if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
-                calls = [n.func for n in ast.walk(child) if isinstance(n, ast.Call)]
-                arguments = child.args
-                body = child.body
-                facts["functions"].append({
-                    "name": child.name, "qualified_name": ".".join([*scope, child.name]), "parent_scope": ".".join(scope) or None, "line_start": child.lineno, "line_end": child.end_lineno,
-                    "complexity": complexity(body), "cognitive": cognitive(child), "parameters": [a.arg for a in [*arguments.posonlyargs, *arguments.args, *arguments.kwonlyargs]],
-                    "return_type": _name(child.returns) or None, "decorators": [_name(d) for d in child.decorator_list], "docstring": ast.get_docstring(child) is not None,
-                    "is_async": isinstance(child, ast.AsyncFunctionDef), "is_method": in_class, "calls": [f.attr if isinstance(f, ast.Attribute) else f.id for f in calls if isinstance(f, (ast.Attribute, ast.Name))],
-                    "only_pass": len(body) == 1 and isinstance(body[0], ast.Pass), "body_size": len(body),
-                })
-                walk(child, [*scope, child.name], False)
-            elif isinstance(child, ast.ClassDef):
-                fields = [(t.id, s.value) for s in child.body if isinstance(s, (ast.Assign, ast.AnnAssign)) for t in (s.targets if isinstance(s, ast.Assign) else [s.target]) if isinstance(t, ast.Name)]
-                methods = [s.name for s in child.body if isinstance(s, (ast.FunctionDef, ast.AsyncFunctionDef))]
-                facts["classes"].append({"name": child.name, "line_start": child.lineno, "line_end": child.end_lineno, "bases": [b.id for b in child.bases if isinstance(b, ast.Name)], "methods": methods, "fields": [{"name": n, "value": _name(v)[:30] or None} for n, v in fields]})
-                walk(child, [*scope, child.name], True)
-            else:
-                walk(child, scope, in_class)
-
-    walk(tree, [], False)
-    for node in ast.walk(tree):
-        if isinstance(node, ast.Import):
-            facts["imports"] += [{"path": a.name, "alias": a.asname, "line": node.lineno} for a in node.names]
-        elif isinstance(node, ast.ImportFrom):
+        for value in node.__dict__.values():  # definitions are statements, so they stand in lists
+            for child in value if value.__class__ is list else ():
+                if isinstance(child, (ast.FunctionDef, ast.AsyncFunctionDef)):
+                    if functions is not None:
+                        functions.append(_function(child, scope, in_class))
+                    walk(child, [*scope, child.name], False)
+                elif isinstance(child, ast.ClassDef):
+                    if classes is not None:
+                        classes.append(_class(child))
+                    walk(child, [*scope, child.name], True)
+                elif isinstance(child, _HOLDERS):
+                    walk(child, scope, in_class)
+
+    if functions is not None or classes is not None:
+        walk(tree, [], False)
+    imports, handlers, constants, tokens = (facts.get(k) for k in ("imports", "handlers", "constants", "tokens"))
+    if constants is not None or tokens is not None or "complexity" in facts:
+        nodes = _spread([tree])
+    else:
+        nodes = _statements(tree) if imports is not None or handlers is not None else []
+    for node in nodes:
+        kind = node.__class__
+        if imports is not None and kind is ast.Import:
+            imports += [{"path": a.name, "alias": a.asname, "line": node.lineno} for a in node.names]
+        elif imports is not None and kind is ast.ImportFrom:
             module = "." * node.level + (node.module or "")
-            facts["imports"] += [{"path": f"{module}.{a.name}" if module.strip(".") else module + a.name, "alias": a.asname, "line": node.lineno} for a in node.names]
-        elif isinstance(node, ast.ExceptHandler):
-            facts["handlers"].append({"line": node.lineno, "kind": _name(node.type) or None, "raises": any(isinstance(s, ast.Raise) for s in node.body), "only_pass": len(node.body) == 1 and isinstance(node.body[0], ast.Pass)})
-        elif isinstance(node, (ast.Assign, ast.AnnAssign)) and isinstance(node.value, ast.Constant) and isinstance(node.value.value, (int, float)):
-            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            facts["constants"] += [{"kind": "number", "name": t.id, "value": str(node.value.value), "line": node.lineno} for t in targets if isinstance(t, ast.Name)]
-        elif isinstance(node, ast.Constant) and isinstance(node.value, str):
-            facts["constants"].append({"kind": "string", "name": None, "value": node.value, "line": node.lineno})
-        elif isinstance(node, ast.Call) and isinstance(node.func, ast.Name) and node.func.id == "print":
-            facts["constants"].append({"kind": "print", "name": None, "value": None, "line": node.lineno})
-        if isinstance(node, (ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
-            facts["tokens"].append({"kind": "operator", "value": type(node).__name__})
-        elif isinstance(node, (ast.Name, ast.Constant)):
-            facts["tokens"].append({"kind": "operand", "value": node.id if isinstance(node, ast.Name) else repr(node.value)})
-    for node in tree.body:
-        if isinstance(node, (ast.Assign, ast.AnnAssign)):
-            targets = node.targets if isinstance(node, ast.Assign) else [node.target]
-            facts["variables"] += [{"name": t.id, "value": _name(node.value) or None, "line": node.lineno} for t in targets if isinstance(t, ast.Name)]
-    comments = sum(line.lstrip().startswith("#") or " #" in line for line in content.splitlines())
-    return facts | {"complexity": complexity([tree]), "comment_lines": comments, "parsed": True}
-
-
-def extract(files: DataFrame) -> DataFrame:
-    """One row of FACTS for each Python file."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            imports += [{"path": f"{module}.{a.name}" if module.strip(".") else module + a.name, "alias": a.asname, "line": node.lineno} for a in node.names]
+        elif handlers is not None and kind is ast.ExceptHandler:
+            handlers.append({"line": node.lineno, "kind": _name(node.type) or None, "raises": any(isinstance(s, ast.Raise) for s in node.body), "only_pass": len(node.body) == 1 and isinstance(node.body[0], ast.Pass)})
+        elif constants is not None and (kind is ast.Assign or kind is ast.AnnAssign):
+            if isinstance(node.value, ast.Constant) and isinstance(node.value.value, (int, float)):
+                targets = node.targets if kind is ast.Assign else [node.target]
+                constants += [{"kind": "number", "name": t.id, "value": str(node.value.value), "line": node.lineno} for t in targets if isinstance(t, ast.Name)]
+        elif constants is not None and kind is ast.Constant and isinstance(node.value, str):
+            constants.append({"kind": "string", "name": None, "value": node.value, "line": node.lineno})
+        elif constants is not None and kind is ast.Call and isinstance(node.func, ast.Name) and node.func.id == "print":
+            constants.append({"kind": "print", "name": None, "value": None, "line": node.lineno})
+        if tokens is not None:
+            if isinstance(node, (ast.operator, ast.unaryop, ast.boolop, ast.cmpop)):
+                tokens.append({"kind": "operator", "value": kind.__name__})
+            elif kind is ast.Name or kind is ast.Constant:
+                tokens.append({"kind": "operand", "value": node.id if kind is ast.Name else repr(node.value)})
+    if "variables" in facts:
+        for node in tree.body:
+            if isinstance(node, (ast.Assign, ast.AnnAssign)):
+                targets = node.targets if isinstance(node, ast.Assign) else [node.target]
+                facts["variables"] += [{"name": t.id, "value": _name(node.value) or None, "line": node.lineno} for t in targets if isinstance(t, ast.Name)]
+    if "comment_lines" in facts:
+        facts["comment_lines"] = sum(line.lstrip().startswith("#") or " #" in line for line in content.splitlines())
+    if "complexity" in facts:
+        facts["complexity"] = 1 + sum(map(_added, nodes))
+
+
+def _statements(tree: ast.Module) -> list[ast.AST]:
+    """Statements, handlers and cases in the order of ast.walk."""
+    nodes: list[ast.AST] = [tree]
+    for node in nodes:
+        for value in node.__dict__.values():
+            if value.__class__ is list:
+                nodes += [v for v in value if isinstance(v, _HOLDERS)]
+    return nodes
+
+
+def extract(files: DataFrame, *wanted: str) -> DataFrame:
+    """One row for each Python file: path, the wanted columns of FACTS and parsed; all of FACTS if none is named."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    every = StructType.fromDDL(FACTS)
+    names = [f.name for f in every if not wanted or f.name in (*wanted, "path", "parsed")]
+    schema = StructType([every[n] for n in names])
+    arrow, asked = to_arrow_schema(schema), [n for n in names if n not in ("path", "parsed")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame([{"path": path} | python_facts(content or "") for path, content in zip(batch["path"], batch["content"])], columns=["path", "functions", "classes", "imports", "variables", "handlers", "constants", "tokens", "complexity", "comment_lines", "parsed"])
+            paths, contents = (column.to_pylist() for column in batch.columns)
+            for at in range(0, len(paths), 1000):
+                rows = [{"path": path} | python_facts(content or "", asked) for path, content in zip(paths[at : at + 1000], contents[at : at + 1000])]
+                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return files.where("language = 'python'").select("path", "content").mapInPandas(run, FACTS)
+    return files.where("language = 'python'").select("path", "content").mapInArrow(run, schema)
+
+
+def _complexities(tree: ast.Module) -> tuple[int, int, int]:
+    """complexity by digest, risk and cst, from one walk."""
+    digest, withs, cst = 1, 0, 1
+    for node in _spread([tree], _LEAVES):
+        digest += _added(node)
+        withs += node.__class__ is ast.With or node.__class__ is ast.AsyncWith
+        cst += node.__class__ in _CONCRETE
+    return digest, digest - withs, cst
 
 
 def complexities(files: DataFrame) -> DataFrame:
@@ -166,11 +289,11 @@ def complexities(files: DataFrame) -> DataFrame:
             rows = []
             for path, content in zip(batch["path"], batch["content"]):
                 try:
-                    tree = [ast.parse(content or "")]
+                    tree = ast.parse(content or "")
                 except (SyntaxError, ValueError, RecursionError, MemoryError):
                     rows.append((path, 0, 0, 0))
                     continue
-                rows.append((path, *(complexity(tree, kind) for kind in ("digest", "risk", "cst"))))
+                rows.append((path, *_complexities(tree)))
             yield pd.DataFrame(rows, columns=["path", "digest", "risk", "cst"])
 
     return files.select("path", "content").mapInPandas(run, "path string, digest int, risk int, cst int")
@@ -217,6 +340,16 @@ def module_digest(functions: DataFrame, classes: DataFrame, files: DataFrame, hi
     return of.select("module").distinct().join(fn, "module", "left").join(cl, "module", "left").select("module", zero("classes"), zero("functions"), F.coalesce("avg_complexity", F.lit(0.0)).alias("avg_complexity"), zero("complex"))
 
 
+def module_digests(facts: DataFrame, high: int = 10) -> DataFrame:
+    """module_digest from functions and classes as extract gives them, so that each source is parsed once."""
+    module = F.regexp_replace(F.regexp_replace(F.regexp_replace("path", r"\.py$", ""), "/", "."), r"\.__init__$", "")
+    total = F.aggregate("functions", F.lit(0).cast("long"), lambda n, f: n + f["complexity"])
+    found = facts.select(module.alias("module"), F.size("classes").alias("c"), F.size("functions").alias("f"), total.alias("total"), F.size(F.filter("functions", lambda f: f["complexity"] >= high)).alias("high"))
+    sums = found.groupBy("module").agg(*[F.sum(c).alias(name) for c, name in (("c", "classes"), ("f", "functions"), ("total", "total"), ("high", "complex"))])
+    mean = F.when(F.col("functions") > 0, F.round(F.col("total") / F.col("functions"), 1)).otherwise(F.lit(0.0))
+    return sums.select("module", "classes", "functions", mean.alias("avg_complexity"), "complex")
+
+
 def tech_stack(imports: DataFrame, own: DataFrame, most: int = 10) -> DataFrame:
     """First names of imports that are neither in the standard library nor own modules, sorted, the first ones."""
     import sys
@@ -245,6 +378,15 @@ def patterns(functions: DataFrame, classes: DataFrame) -> DataFrame:
     return god.unionByName(long).unionByName(factory)
 
 
+def file_patterns(facts: DataFrame) -> DataFrame:
+    """patterns from functions and classes as extract gives them, in one pass over the files."""
+    row = lambda kind, confidence: lambda x: F.struct(F.lit(kind).alias("kind"), x["name"].alias("name"), F.lit(confidence).alias("confidence"))
+    god = F.transform(F.filter("classes", lambda x: F.size(x["methods"]) > 20), row("god_class", 1.0))
+    long = F.transform(F.filter("functions", lambda f: f["line_end"] - f["line_start"] > 50), row("long_function", 1.0))
+    factory = F.transform(F.filter("functions", lambda f: F.endswith("path", F.lit(".go")) & F.startswith(f["name"], F.lit("New"))), row("factory", 0.8))
+    return facts.select("path", F.explode(F.concat(god, long, factory)).alias("x")).select("path", "x.*")
+
+
 def threshold_issues(metrics: DataFrame, cycles: DataFrame, depth: DataFrame, most: int = 200, deepest: int = 5) -> DataFrame:
     """(rule_id, severity, path, message) from metrics(path, cyclomatic), cycles(cycle) and depth(depth)."""
     row = lambda df, rule, severity, path, message: df.select(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), path.alias("path"), message.alias("message"))
@@ -314,20 +456,24 @@ def line_count(content: Column) -> Column:
 
 # Compression
 
-def compress(content: str, kind: str) -> str:
-    """full is the text itself; skeleton keeps headers and docstrings and prunes bodies; signature keeps top-level headers."""
-    if kind == "full":
-        return content
+def _parsed(content: str) -> ast.Module | None:
     try:
-        tree = ast.parse(content)
+        return ast.parse(content)
     except (SyntaxError, ValueError, RecursionError):
+        return None
+
+
+def compress(content: str, kind: str, parse: Callable[[str], ast.Module | None] = _parsed) -> str:
+    """full is the text itself; skeleton keeps headers and docstrings and prunes bodies; signature keeps top-level headers."""
+    tree = None if kind == "full" else parse(content)
+    if tree is None:
         return content
     lines = content.splitlines()
     functions = (ast.FunctionDef, ast.AsyncFunctionDef)
     if kind == "signature":
         return "\n".join(f"{'class' if isinstance(n, ast.ClassDef) else 'def'} {n.name}" for n in tree.body if isinstance(n, (*functions, ast.ClassDef)))
     spans = []
-    for node in ast.walk(tree):
+    for node in _statements(tree):
         if isinstance(node, functions):
             body = node.body[1:] if ast.get_docstring(node) is not None else node.body
             if body and body[0].lineno > node.lineno:
@@ -355,7 +501,8 @@ def compressed(files: DataFrame) -> DataFrame:
 
     @F.pandas_udf("string")
     def apply(content: pd.Series, kind: pd.Series) -> pd.Series:
-        return pd.Series([compress(c or "", k) for c, k in zip(content, kind)])
+        parse = lru_cache(1)(_parsed)  # the strategies of a file stand one after the other
+        return pd.Series([compress(c or "", k, parse) for c, k in zip(content, kind)])
 
     return files.select("path", "strategy", apply("content", "strategy").alias("text"))
 
@@ -368,7 +515,7 @@ def digest(facts: DataFrame, most_parameters: int = 5) -> DataFrame:
 
 def analysis(files: DataFrame) -> dict[str, DataFrame]:
     """One extraction, then complexity, imports and patterns by file."""
-    facts = extract(files)
+    facts = extract(files, "functions", "classes", "imports")
     functions, classes = exploded(facts, "functions"), exploded(facts, "classes")
     imports = facts.select(F.col("path").alias("file"), F.explode("imports").alias("i")).select("file", "i.path", "i.alias", "i.line")
     return {"complexity": semantic_metrics(functions), "imports": imports, "patterns": patterns(functions.select("path", "name", "line_start", "line_end"), classes)}
