@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ashlar.plans.common import checkpointed, counted
+from ashlar.plans.common import checkpointed, stored
 
 PER_FILE, PER_RULE = 10, 50
 RANKS = {"low": 1, "medium": 2, "high": 3, "unknown": 0}
@@ -40,7 +40,7 @@ def within_quotas(tasks: DataFrame, per_file: int = PER_FILE, per_rule: int = PE
     """
     fields, key = tasks.columns, "__task"
     place = F.struct("priority", "ord", key)
-    open_ = checkpointed(tasks.select("*", F.monotonically_increasing_id().alias(key)))
+    open_, _ = stored(tasks.select("*", F.monotonically_increasing_id().alias(key)), "open")
     taken = None
     while True:
         first = open_
@@ -51,15 +51,15 @@ def within_quotas(tasks: DataFrame, per_file: int = PER_FILE, per_rule: int = PE
                 same = [ranked[c].eqNullSafe(used[c]) for c in ("project", column)]
                 ranked = ranked.join(used, same, "left").where(F.col("rank") + F.coalesce("used", F.lit(0)) <= quota).select(key)
             first = first.join(ranked.select(key), key, "left_semi")
-        fresh, n = counted(first, F.lit(True))
+        fresh, n = stored(first, "taken")
         if not n:
-            return taken.select(*fields) if taken is not None else fresh.select(*fields)
-        taken = checkpointed(fresh if taken is None else taken.unionByName(fresh))
+            return (fresh if taken is None else taken).select(*fields)
+        taken = fresh if taken is None else taken.unionByName(fresh)
         open_ = open_.join(fresh.select(key), key, "left_anti")
         for column, quota in (("path", per_file), ("rule_id", per_rule)):
             full = taken.groupBy("project", column).agg(F.count(F.lit(1)).alias("used")).where(F.col("used") >= quota)
             open_ = open_.join(full, [open_[c].eqNullSafe(full[c]) for c in ("project", column)], "left_anti")
-        open_ = checkpointed(open_)
+        open_, _ = stored(open_, "open")
 
 
 def grouped(tasks: DataFrame, by: str = "rule_id") -> DataFrame:

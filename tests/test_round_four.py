@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from ashlar.catalog import programs
+from ashlar import catalog
+from ashlar.catalog import analytics, programs
 from ashlar.operators import content as c
 from ashlar.operators import rules as u
 from ashlar.plans.common import spread
@@ -90,3 +91,16 @@ def test_digests_and_patterns_of_one_pass(spark, files):
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(c.module_digests(facts, 3)) == rows(c.module_digest(functions, classes, python, 3))
     assert rows(c.file_patterns(facts)) == rows(c.patterns(functions, classes))
+
+
+def test_dual_quota_of_the_tables(spark):
+    """More rounds than one over tables whose columns can't be null: union of two copies of one checkpoint failed before."""
+    folder = "/root/testdata/sf0.01"
+    tasks = analytics.all_tasks(spark, folder).select("id", "project", "path", "rule_id", "priority", "ord").collect()
+    files, rules, expected = {}, {}, set()
+    for r in sorted(tasks, key=lambda r: (r.project, r.priority, r.ord)):
+        if files.get((r.project, r.path), 0) < 3 and rules.get((r.project, r.rule_id), 0) < 20:
+            files[r.project, r.path] = files.get((r.project, r.path), 0) + 1
+            rules[r.project, r.rule_id] = rules.get((r.project, r.rule_id), 0) + 1
+            expected.add(r.id)
+    assert {r.id for r in catalog.QUERIES["w05_dual_quota"](spark, folder).collect()} == expected
