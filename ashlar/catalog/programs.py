@@ -160,8 +160,8 @@ def p08(spark, d):
     return found.select("path", "package", *(F.concat_ws(",", k).alias(k) for k in ("imports", "functions", "structs", "interfaces")))
 
 
-def typed(spark, d, template, language):
-    return curly.declarations(programs(spark, d, template, language))
+def typed(spark, d, template, language, what):
+    return curly.declarations(programs(spark, d, template, language), what)
 
 
 def listed(*names):
@@ -171,46 +171,46 @@ def listed(*names):
 @query("p08_go_functions", """SELECT path, 'Load' AS name, concat('Item', n) AS owner, TRUE AS pointer, TRUE AS exported, '' AS type_parameters, 'key K|more ...int' AS parameters, '(K, error)' AS returns, 15 AS line_start, (17 + 3 * k + 3 * w)::INT AS line_end FROM p
 UNION ALL SELECT path, concat('make', n), NULL, FALSE, FALSE, '', '', NULL, (19 + 3 * k + 3 * w)::INT, (19 + 3 * k + 3 * w)::INT FROM p""")
 def p08_functions(spark, d):
-    found = curly.functions(typed(spark, d, GO_TYPED, "go"))
+    found = curly.functions(typed(spark, d, GO_TYPED, "go", "functions"))
     return found.select("path", "name", "owner", "pointer", "exported", *listed("type_parameters", "parameters"), "returns", "line_start", "line_end")
 
 
 @query("p08_go_types", """SELECT path, concat('Item', n) AS name, 'struct' AS kind, 'K' AS type_parameters, concat('Base', b) AS bases, '' AS methods, TRUE AS exported, 6 AS line_start, 9 AS line_end FROM p
 UNION ALL SELECT path, 'Reader', 'interface', '', '', 'Read', TRUE, 11, 13 FROM p""")
 def p08_types(spark, d):
-    found = curly.types(typed(spark, d, GO_TYPED, "go"))
+    found = curly.types(typed(spark, d, GO_TYPED, "go", "types"))
     return found.select("path", "name", "kind", *listed("type_parameters", "bases", "methods"), "exported", "line_start", "line_end")
 
 
 @query("p08_go_fields", """SELECT path, concat('Base', b) AS field, concat('Base', b) AS type, NULL AS tag, TRUE AS embedded FROM p
 UNION ALL SELECT path, unnest(['A', 'B']), 'int', 'json:"a"', FALSE FROM p""")
 def p08_fields(spark, d):
-    fields = curly.types(typed(spark, d, GO_TYPED, "go")).select("path", F.explode("fields").alias("f"))
+    fields = curly.types(typed(spark, d, GO_TYPED, "go", "types")).select("path", F.explode("fields").alias("f"))
     return fields.select("path", F.col("f.name").alias("field"), "f.type", "f.tag", "f.embedded")
 
 
 @query("p06_go", "SELECT path, 'Load' AS name, (2 + 2 * k + 2 * w)::INT AS complexity FROM p UNION ALL SELECT path, concat('make', n), 1 FROM p")
 def p06_go(spark, d):
-    return curly.functions(typed(spark, d, GO_TYPED, "go")).select("path", "name", "complexity")
+    return curly.functions(typed(spark, d, GO_TYPED, "go", "functions")).select("path", "name", "complexity")
 
 
 @query("p06_java", "SELECT path, concat('load', n) AS name, (2 + 2 * k + 2 * w)::INT AS complexity FROM p UNION ALL SELECT path, unnest(['Point', 'none']), 1 FROM p")
 def p06_java(spark, d):
-    return curly.functions(typed(spark, d, JAVA_TYPED, "java")).select("path", "name", "complexity")
+    return curly.functions(typed(spark, d, JAVA_TYPED, "java", "functions")).select("path", "name", "complexity")
 
 
 @query("p11_java_methods", """SELECT path, concat('load', n) AS name, concat('Main', n) AS owner, 'R' AS type_parameters, 'final Map<String, R> in|int... more' AS parameters, 'List<R>' AS returns, 'protected' AS modifiers, 'GetMapping' AS annotations, 'IOException' AS throws, 'network' AS tags, TRUE AS exported, 7 AS line_start, (10 + k + w)::INT AS line_end FROM p
 UNION ALL SELECT path, 'Point', concat('Main', n, '.Point'), '', '', NULL, '', '', '', '', FALSE, (11 + k + w)::INT, (11 + k + w)::INT FROM p
 UNION ALL SELECT path, 'none', concat('Main', n), '', '', 'void', 'abstract', '', '', '', FALSE, (12 + k + w)::INT, (12 + k + w)::INT FROM p""")
 def p11_methods(spark, d):
-    found = curly.functions(typed(spark, d, JAVA_TYPED, "java"))
+    found = curly.functions(typed(spark, d, JAVA_TYPED, "java", "functions"))
     return found.select("path", "name", "owner", *listed("type_parameters", "parameters"), "returns", *listed("modifiers", "annotations", "throws", "tags"), "exported", "line_start", "line_end")
 
 
 @query("p11_java_types", """SELECT path, concat('Main', n) AS name, 'class' AS kind, 'T' AS type_parameters, concat('Base', b, '<T>|Runnable') AS bases, '' AS components, concat('load', n, '|none') AS methods, 'service' AS tags, TRUE AS exported, 4 AS line_start, (13 + k + w)::INT AS line_end FROM p
 UNION ALL SELECT path, 'Point', 'record', '', '', 'int x|List<T> ys', 'Point', '', FALSE, (11 + k + w)::INT, (11 + k + w)::INT FROM p""")
 def p11_types(spark, d):
-    found = curly.types(typed(spark, d, JAVA_TYPED, "java"))
+    found = curly.types(typed(spark, d, JAVA_TYPED, "java", "types"))
     components = F.concat_ws("|", F.transform("fields", lambda f: F.concat_ws(" ", f["type"], f["name"]))).alias("components")
     return found.select("path", "name", "kind", *listed("type_parameters", "bases"), components, *listed("methods", "tags"), "exported", "line_start", "line_end")
 

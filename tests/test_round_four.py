@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ashlar import catalog
 from ashlar.catalog import analytics, programs
 from ashlar.operators import content as c
+from ashlar.operators import curly
 from ashlar.operators import rules as u
 from ashlar.plans.common import spread
 from tests.oracle import DATA
@@ -104,3 +105,15 @@ def test_dual_quota_of_the_tables(spark):
             rules[r.project, r.rule_id] = rules.get((r.project, r.rule_id), 0) + 1
             expected.add(r.id)
     assert {r.id for r in catalog.QUERIES["w05_dual_quota"](spark, folder).collect()} == expected
+
+
+def test_declarations_of_one_kind(spark):
+    rows = [("a.go", "go", "package p\nfunc F() { x := `\n` }\nfunc (t *T) G(a, b int) error { if a && b { return nil } }\ntype T struct {\n\tB\n}"), ("b.java", "java", "class K {\n  void m() { x = a ? b : c; } }"), ("c.go", "go", None)]
+    files = spark.createDataFrame(rows, "path string, language string, content string")
+    every = {r.path: r.asDict(True) for r in curly.declarations(files).collect()}
+    assert [(f["name"], f["complexity"], f["line_start"], f["line_end"]) for f in every["a.go"]["functions"]] == [("F", 1, 2, 3), ("G", 4, 4, 4)]
+    assert every["b.java"]["functions"][0]["complexity"] == 2
+    for what in ("functions", "types"):
+        found = curly.declarations(files, what)
+        assert found.columns == ["path", "language", what]
+        assert {r.path: r.asDict(True)[what] for r in found.collect()} == {path: row[what] for path, row in every.items()}
