@@ -8,6 +8,7 @@ from ashlar.catalog import analytics, programs
 from ashlar.operators import content as c
 from ashlar.operators import curly
 from ashlar.operators import rules as u
+from ashlar.operators.graph import reach
 from ashlar.plans.common import spread
 from tests.oracle import DATA
 
@@ -117,3 +118,17 @@ def test_declarations_of_one_kind(spark):
         found = curly.declarations(files, what)
         assert found.columns == ["path", "language", what]
         assert {r.path: r.asDict(True)[what] for r in found.collect()} == {path: row[what] for path, row in every.items()}
+
+
+def test_edges_are_made_once_for_all_rounds(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    edges = spark.range(0, 12, 1, 1).selectExpr("id AS source", "id + 1 AS target").mapInArrow(count, "source long, target long")
+    found = reach(edges, spark.range(1))
+    assert {(r.id, r.depth) for r in found.collect()} == {(n, n) for n in range(13)}
+    assert made.value == 12  # 12 a round before
