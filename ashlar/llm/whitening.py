@@ -115,7 +115,7 @@ def scatter(fit: DataFrame) -> DataFrame:
             for (length, _), rows in by_length.items():
                 own = held.setdefault(length, [0, np.zeros(length, object), np.zeros((length, length), object)])
                 for at in range(0, len(rows), ROWS):
-                    x = np.array(rows[at : at + ROWS]).reshape(-1, length)
+                    x = np.array(rows[at : at + ROWS]).reshape(len(rows[at : at + ROWS]), length)  # -1 isn't known where length is 0
                     own[0] += len(x)
                     own[1] += np.array([sum(map(int, column)) for column in x.T], object) if x.dtype == object else x.astype(object).sum(axis=0)
                     own[2] += products(x)
@@ -192,7 +192,7 @@ def identity_errors(listed: DataFrame, models: dict[int, Model]) -> dict[int, fl
                 by_length.setdefault((length, row.dtype == object), []).append(row)
             for (length, _), rows in by_length.items():
                 model = shared.value[length]
-                white = model.whitened(model.deviations(np.array(rows).reshape(-1, length)))
+                white = model.whitened(model.deviations(np.array(rows).reshape(len(rows), length)))
                 held[length] = held.get(length, 0) + white.T @ white
         for length, total in held.items():
             places = np.arange(total.size)
@@ -201,7 +201,7 @@ def identity_errors(listed: DataFrame, models: dict[int, Model]) -> dict[int, fl
     sums: dict[int, list] = {}
     for length, place, value in listed.mapInArrow(run, "length int, place int, value double").groupBy("length", "place").agg(F.sum("value")).collect():
         sums.setdefault(length, []).append((place, value / models[length].n))
-    out = {}
+    out = dict.fromkeys(models, 0.0)  # vectors without components have no covariance
     for length, found in sums.items():
         k = math.isqrt(len(found))
         matrix = np.array([v for _, v in sorted(found)]).reshape(k, k)
