@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from ashlar.llm.common import kept, table
 
 WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 300_000
+#: Ids in a batch of rows that goes out, 1 MB of them: Python and Spark both hold such a batch more than once.
+BATCH_TOKENS = 262_144
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Normaliser and splitting of a tokenizer whose ids can be put together from pieces; fixed values, part of its file format.
 BY_PIECES = {
@@ -171,6 +173,24 @@ def _powers(pieces: list[tuple[int, int, int]], total: int) -> list[list[tuple[i
     return out
 
 
+def batches_of(docs: list[tuple[int | None, np.ndarray]], sequences: list[list[tuple[int, int, int]]], serial: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a group's sequences, numbered from serial on: whole sequences, some BATCH_TOKENS ids at a time."""
+    rows, tokens = [], 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+    for number, pieces in enumerate(sequences, serial):
+        offset = 0
+        for place, start, n in pieces:
+            doc_id, ids = docs[place]
+            rows.append((doc_id, start, n, len(ids), number, offset, ids[start : start + n].tobytes()))
+            offset += n
+        tokens += offset
+        if tokens >= BATCH_TOKENS:
+            yield batch()
+            rows, tokens = [], 0
+    if rows:
+        yield batch()
+
+
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END, group_tokens: int = GROUP_TOKENS) -> DataFrame:
     """A row for each piece of docs(doc_id, text): doc_id, start, length, doc_tokens, sequence_id, offset, ids (binary,
     little-endian unsigned 32-bit). A document's ids are those of its whole text, then end; each lies in one piece.
@@ -185,31 +205,17 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, end: int = END,
         encode, held, tokens = encoder(tokenizer), [], 0
         serial = TaskContext.get().partitionId() << 36
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal serial
-            rows = []
-            for pieces in pack_group(held, window):
-                offset = 0
-                for place, start, n in pieces:
-                    doc_id, ids = held[place]
-                    rows.append((doc_id, start, n, len(ids), serial, offset, ids[start : start + n].tobytes()))
-                    offset += n
-                serial += 1
-                if len(rows) >= 2000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
-                    rows = []
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
-
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = np.append(encode(text.as_py() or b""), np.uint32(end))
                 held.append((doc_id, ids))
                 tokens += len(ids)
                 if tokens >= group_tokens:
-                    yield from flush()
+                    sequences = pack_group(held, window)
+                    yield from batches_of(held, sequences, serial)
+                    serial += len(sequences)
                     held, tokens = [], 0
-        yield from flush()
+        yield from batches_of(held, pack_group(held, window), serial)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.encode("text", "UTF-8").alias("text")).mapInArrow(run, SCHEMA)
 
