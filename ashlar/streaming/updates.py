@@ -48,8 +48,10 @@ def coalesced(events: DataFrame, interval_us: int = 1_000_000) -> DataFrame:
 
 
 def coalesced_stream(events: DataFrame, interval_us: int = 1_000_000, late: str = "10 seconds") -> DataFrame:
-    """The same over a stream: a session comes out once the watermark has passed it. Session windows join gaps that equal
-    the interval, so the window is a microsecond shorter."""
+    """The same over a stream: a session comes out once the watermark has passed it, after the last data in a batch without
+    any; such batches are switched on here, as ashlar.streaming.expiry leaves them off in its session. Session windows join
+    gaps that equal the interval, so the window is a microsecond shorter."""
+    events.sparkSession.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "true")
     window = F.session_window("ts", f"{interval_us - 1} microseconds")
     return _changes(events.withWatermark("ts", late).groupBy("path", window.alias("session")))
 
