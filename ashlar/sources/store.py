@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ashlar.operators import graph as g
 
 BUCKETS = 64
+#: Rows that one task sorts and writes, about; a larger bucket is several files.
+FILE_ROWS = 500_000
 _PARTS = {"nodes": "id", "out": "source", "into": "target"}
 
 
@@ -111,8 +113,8 @@ class GraphStore:
 
     # Writing
 
-    def write(self, nodes: DataFrame | None = None, gone: DataFrame | None = None, edges: DataFrame | None = None, without: DataFrame | None = None, batch: int | str | None = None) -> bool:
-        """One batch: without(source, target, type; type * is any) go, gone(id) go with their edges, nodes come (the new row
+    def write(self, nodes: DataFrame | None = None, gone: DataFrame | None = None, edges: DataFrame | None = None, without: DataFrame | None = None, batch: int | str | None = None, everything: bool = False) -> bool:
+        """One batch: everything, or without(source, target, type; type * is any) go, gone(id) go with their edges, nodes come (the new row
         wins), then edges that are new and whose ends are there. False if a batch of this number is in place already."""
         number = batch if batch is not None else max(self.numbers(), default=0) + 1
         home = f"batches/{number}"
@@ -123,14 +125,14 @@ class GraphStore:
             self._mark("layout", str(self.buckets))
         if not (self._there(home, "staged") and staged):
             held = [None if df is None else df.persist() for df in (nodes, gone, edges, without)]  # each is read for its buckets and its rows
-            staged = self._stage(f"{self.path}/{home}", *held)
+            staged = self._stage_empty(f"{self.path}/{home}") if everything else self._stage(f"{self.path}/{home}", *held)
             self._mark(home, "staged")
             for df in held:
                 if df is not None:
                     df.unpersist()
         for name in staged:
             self.schemas.pop(name, None)
-            rows = self.spark.read.parquet(f"{self.path}/{home}/{name}").repartition("bucket").sortWithinPartitions("bucket", "type", _PARTS[name])
+            rows = self._dealt(self.spark.read.parquet(f"{self.path}/{home}/{name}"), name).sortWithinPartitions("bucket", "type", _PARTS[name])
             writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(f"parquet.bloom.filter.enabled#{_PARTS[name]}", "true")
             writer.partitionBy("bucket").parquet(f"{self.path}/{name}")
         self._mark(home, "done")
@@ -139,6 +141,16 @@ class GraphStore:
             fs.delete(path, True)
         return True
 
+    def _dealt(self, rows: DataFrame, name: str) -> DataFrame:
+        """rows by bucket; where there are many, a bucket's rows by a hash of their whole key too, so that what a task sorts
+        doesn't grow with the store, nor with the edges of one node."""
+        most = max(1, -(-rows.count() // FILE_ROWS))
+        slices = -(-most // self.buckets)
+        if slices == 1 and most == 1:
+            return rows.repartition("bucket")
+        keys = ["id"] if name == "nodes" else g.EDGE_KEY
+        return rows.repartition(slices * self.buckets, "bucket", F.pmod(F.hash(*keys), F.lit(slices)))
+
     def _mark(self, *parts: str) -> None:
         path, fs = self._fs(*parts)
         fs.create(path, True).close()
@@ -157,7 +169,7 @@ class GraphStore:
                 for df in (gone, nodes):
                     kept = kept if df is None else kept.join(df.select("id"), "id", "left_anti")
             new = kept if nodes is None else nodes if kept is None else kept.unionByName(nodes, allowMissingColumns=True)
-            if new is not None:
+            if new is not None and (touched or old is None):  # a batch without nodes leaves all buckets as they are
                 self._put(home, "nodes", new, touched)
                 staged.append("nodes")
         out, into = self.part("out"), self.part("into")
@@ -202,6 +214,13 @@ class GraphStore:
             staged.append(name)
         return staged
 
+    def _stage_empty(self, home: str) -> list[str]:
+        """The buckets of all parts without their rows."""
+        staged = [name for name in _PARTS if self._there(name)]
+        for name in staged:
+            self._put(home, name, self.part(name).drop("bucket").where("false"), list(range(self.buckets)))
+        return staged
+
     def _put(self, home: str, name: str, rows: DataFrame, touched: list[int]) -> None:
         rows = rows.withColumn("bucket", self.bucket_of(F.col(_PARTS[name])))
         empty = self.spark.createDataFrame([(b,) for b in touched] or [(0,)], "bucket int")
@@ -246,6 +265,6 @@ class GraphStore:
         return self.write(nodes=built.nodes.join(fresh, "id", "left_semi"), gone=lost.distinct(), edges=edges, batch=batch)
 
     def clear(self) -> None:
-        nodes = self.part("nodes")
-        if nodes is not None:
-            self.write(gone=nodes.select("id"), without=self.part("out").select(*g.EDGE_KEY))
+        """All nodes and edges go, as one batch: every bucket that is there becomes empty, for which no row is read."""
+        if self._there("nodes"):
+            self.write(everything=True)
