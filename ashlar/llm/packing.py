@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 from collections.abc import Iterator
 
@@ -25,6 +26,8 @@ from ashlar.llm.common import kept, table
 WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 300_000
 #: Ids in a batch of rows that goes out, 1 MB of them: Python and Spark both hold such a batch more than once.
 BATCH_TOKENS = 262_144
+#: ASCII marks that BY_PIECES parts from letters before them; not ', which begins pieces of its own, nor what special tokens have.
+TAIL = b'.,;:!?"#$%&()*+-/=@[]^_`{}~'
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 #: Normaliser and splitting of a tokenizer whose ids can be put together from pieces; fixed values, part of its file format.
 BY_PIECES = {
@@ -51,20 +54,28 @@ class Encoder:
 
     A tokenizer that ignores case, drops white space and never joins what it parts (BY_PIECES) gives a text the ids of its
     pieces between ASCII white space, one after the other; pieces that were met before come from a cache of bounded size.
-    It also parts letters from a full stop or comma behind them: where that can't change a special token's string or
-    how marks combine, A-Z are lowered first, and such a piece's ids are put together, so that fewer pieces are new.
-    Any other tokenizer gets each text whole.
+    It also parts letters from marks behind them (TAIL): where that can't change a special token's string or how marks
+    combine, A-Z are lowered first, and such a piece's ids are put together, so that fewer pieces are new. New pieces of
+    letters alone are one token sequence each, whose last id says that a word ends; so they are encoded side by side in one
+    text. Any other tokenizer gets each text whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         made = json.loads(self.tokenizer.to_str())
         specials = [t for t in made["added_tokens"] if not t["content"].startswith("<|") or t["single_word"] or t["lstrip"] or t["rstrip"]]
         self.by_pieces = not specials and {key: made[key] for key in BY_PIECES} == BY_PIECES
         self.marks = re.compile(rb"\xcc|\xcd[\x80-\xaf]").search
+        vocabulary, suffix = made["model"].get("vocab", {}), made["model"].get("end_of_word_suffix")
+        #: by id, whether a word ends there; None where that isn't told, or a word could lose its end
+        self.ends = None
+        if self.by_pieces and suffix and all(c in vocabulary and c + suffix in vocabulary for c in ByteLevel.alphabet()):
+            self.ends = np.zeros(1 + max(vocabulary.values()), bool)
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
 
     def __call__(self, text: bytes) -> np.ndarray:
         """text is UTF-8; bytes part at ASCII white space only."""
@@ -75,17 +86,44 @@ class Encoder:
         pieces, cache = text.split(), self.cache
         new = set(pieces).difference(cache)
         if new:
-            if len(cache) + 2 * len(new) > CACHE_WORDS:
+            if len(cache) + 3 * len(new) > CACHE_WORDS:
                 cache.clear()
                 new = set(pieces)
-            ended = [w for w in new if w[-1] in b".," and w[:-1].decode().isalpha()]
-            plain = list(new.difference(ended).union(w[:-1] for w in ended).union(w[-1:] for w in ended).difference(cache))
-            for word, found in zip(plain, self.tokenizer.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)):
-                cache[word] = array("I", found.ids).tobytes()
-            for word in ended:
-                cache[word] = cache[word[:-1]] + cache[word[-1:]]
+            ended, letters, others = [], set(), []
+            for word in new:
+                head = word.rstrip(TAIL)
+                if not _letters(head):
+                    others.append(word)
+                    continue
+                letters.add(head)
+                if len(head) < len(word):
+                    ended.append((word, head, word[len(head) :]))
+            self._learn(list(letters.difference(cache)), list({tail for *_, tail in ended}.union(others).difference(cache)))
+            for word, head, tail in ended:
+                cache[word] = cache[head] + cache[tail]
         return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32)
 
+    def _learn(self, letters: list[bytes], others: list[bytes]) -> None:
+        """Ids of words of letters and of other pieces into the cache."""
+        encode, cache = self.tokenizer.encode_batch_fast, self.cache
+        if letters and self.ends is not None:
+            ids = np.array(encode([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, np.uint32)
+            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(ends) == len(letters):  # each word has one end at least
+                joined, begin = ids.tobytes(), 0
+                for word, end in zip(letters, ends.tolist()):
+                    cache[word] = joined[begin:end]
+                    begin = end
+                letters = []
+        others = letters + others
+        for word, found in zip(others, encode([w.decode() for w in others], add_special_tokens=False) if others else ()):
+            cache[word] = array("I", found.ids).tobytes()
+
+
+def _letters(word: bytes) -> bool:
+    """Whether a piece is letters, and stays so when it is normalised."""
+    return word.isalpha() or not word.isascii() and unicodedata.normalize("NFC", word.decode()).lower().isalpha()
+
 
 def encoder(path: str) -> Encoder:
     """One for each Python worker, which runs many tasks."""
