@@ -34,11 +34,20 @@ def _star(links: DataFrame, n: int) -> DataFrame:
     return small.unionByName(least.select(F.col("least").alias("low"), "high")).distinct()
 
 
+def _stars(links: DataFrame) -> tuple[int, bool]:
+    """How many links there are, and whether they are stars already: each node has one smaller neighbour, or only greater
+    ones. A round leaves stars as they are, and anything else changes until it is."""
+    end = lambda name, is_high: links.select(F.col(name).alias("node"), F.lit(is_high).alias("up"), F.lit(1 - is_high).alias("down"))
+    nodes = end("high", 1).unionByName(end("low", 0)).groupBy("node").agg(F.sum("up").alias("up"), F.sum("down").alias("down"))
+    n, other = nodes.agg(F.sum("up"), F.count_if(F.expr("up > 1 OR up = 1 AND down > 0"))).first()
+    return n or 0, not other
+
+
 def components(links: DataFrame) -> DataFrame:
     """links(low long, high long), low < high, to (node, root): a row for each node but the roots, root the least node."""
-    seen, links = None, materialise(links.select("low", "high").distinct(), "links")
-    while True:
-        mark = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("low", "high").cast("decimal(38,0)"))).first()
-        if mark == seen or not mark[0]:
-            return links.select(F.col("high").alias("node"), F.col("low").alias("root"))
-        seen, links = mark, materialise(_star(links, mark[0]), "links")
+    links = materialise(links.select("low", "high").distinct(), "links")
+    n, done = _stars(links)
+    while not done:
+        links = materialise(_star(links, n), "links")
+        n, done = _stars(links)
+    return links.select(F.col("high").alias("node"), F.col("low").alias("root"))

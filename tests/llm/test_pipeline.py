@@ -110,3 +110,32 @@ def test_hard_rows(spark):
     empty = table(spark, [])
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, DATA).count() == 0
+
+
+def test_texts_of_the_same_words_are_not_candidates(spark, monkeypatch):
+    """Only texts with shingles in common are compared: unrelated ones never grow into one component with their number."""
+    rng, rows = random.Random(12), []
+    words = [f"w{k}" for k in range(80)]
+    for i in range(400):
+        rng.shuffle(words)
+        rows.append((i, " ".join(words)))
+    rows += [(1000 + i, rows[i][1] + " more") for i in range(20)]
+    checked, seen = near._checked, []
+    monkeypatch.setattr(near, "_checked", lambda members, *more: seen.append(members.select("id").distinct().count()) or checked(members, *more))
+    found = {r.doc_id: r.component_id for r in near.near_groups(table(spark, rows)).collect()}
+    assert found == {i: i % 1000 for i, _ in rows}
+    assert seen == [40]
+
+
+def test_components_end_at_stars(spark):
+    """Stars are recognised without a round; chains, cycles and shared ends come down to them."""
+    from ashlar.llm.components import _stars, components
+
+    def roots(links):
+        df = spark.createDataFrame(links, "low long, high long")
+        return {r.node: r.root for r in components(df).collect()}, _stars(df)
+
+    assert roots([(1, 2), (1, 3), (5, 9)]) == ({2: 1, 3: 1, 9: 5}, (3, True))
+    assert roots([(1, 2), (2, 3), (3, 4), (4, 5)]) == ({2: 1, 3: 1, 4: 1, 5: 1}, (4, False))
+    assert roots([(1, 9), (2, 9), (2, 8), (3, 8), (10, 11)]) == ({2: 1, 3: 1, 8: 1, 9: 1, 11: 10}, (5, False))
+    assert roots([]) == ({}, (0, True))
