@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ashlar.llm.common import kept, table
 
 WINDOW, END, GROUP_TOKENS, CACHE_WORDS = 4096, 2, 4_000_000, 300_000
+#: New words of letters a-z that are worth a call of their own; fewer are encoded along with other letters.
+PLAIN_WORDS = 16
 #: Ids in a batch of rows that goes out, 1 MB of them: Python and Spark both hold such a batch more than once.
 BATCH_TOKENS = 262_144
 #: ASCII marks that BY_PIECES parts from letters before them; not ', which begins pieces of its own, nor what special tokens have.
@@ -57,13 +59,14 @@ class Encoder:
     It also parts letters from marks behind them (TAIL): where that can't change a special token's string or how marks
     combine, A-Z are lowered first, and such a piece's ids are put together, so that fewer pieces are new. New pieces of
     letters alone are one token sequence each, whose last id says that a word ends; so they are encoded side by side in one
-    text. Any other tokenizer gets each text whole.
+    text. What normalising and splitting leave as it is, letters a-z between spaces, goes to the model without either. Any
+    other tokenizer gets each text whole.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer, self.cache = Tokenizer.from_file(path), {}
         made = json.loads(self.tokenizer.to_str())
@@ -76,6 +79,8 @@ class Encoder:
         if self.by_pieces and suffix and all(c in vocabulary and c + suffix in vocabulary for c in ByteLevel.alphabet()):
             self.ends = np.zeros(1 + max(vocabulary.values()), bool)
             self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.plain = Tokenizer(self.tokenizer.model)
+            self.plain.pre_tokenizer = WhitespaceSplit()
 
     def __call__(self, text: bytes) -> np.ndarray:
         """text is UTF-8; bytes part at ASCII white space only."""
@@ -89,35 +94,48 @@ class Encoder:
             if len(cache) + 3 * len(new) > CACHE_WORDS:
                 cache.clear()
                 new = set(pieces)
-            ended, letters, others = [], set(), []
+            ended, plain, letters, others = [], set(), set(), []
             for word in new:
                 head = word.rstrip(TAIL)
-                if not _letters(head):
+                if head.isalpha() and head.islower():
+                    plain.add(head)
+                elif _letters(head):
+                    letters.add(head)
+                else:
                     others.append(word)
                     continue
-                letters.add(head)
                 if len(head) < len(word):
                     ended.append((word, head, word[len(head) :]))
-            self._learn(list(letters.difference(cache)), list({tail for *_, tail in ended}.union(others).difference(cache)))
+            self._learn(list(plain.difference(cache)), list(letters.difference(cache)), list({tail for *_, tail in ended}.union(others).difference(cache)))
             for word, head, tail in ended:
                 cache[word] = cache[head] + cache[tail]
         return np.frombuffer(b"".join(map(cache.__getitem__, pieces)), np.uint32)
 
-    def _learn(self, letters: list[bytes], others: list[bytes]) -> None:
-        """Ids of words of letters and of other pieces into the cache."""
-        encode, cache = self.tokenizer.encode_batch_fast, self.cache
-        if letters and self.ends is not None:
-            ids = np.array(encode([b" ".join(letters).decode()], add_special_tokens=False)[0].ids, np.uint32)
-            ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            if len(ends) == len(letters):  # each word has one end at least
-                joined, begin = ids.tobytes(), 0
-                for word, end in zip(letters, ends.tolist()):
-                    cache[word] = joined[begin:end]
-                    begin = end
-                letters = []
-        others = letters + others
-        for word, found in zip(others, encode([w.decode() for w in others], add_special_tokens=False) if others else ()):
-            cache[word] = array("I", found.ids).tobytes()
+    def _learn(self, plain: list[bytes], letters: list[bytes], others: list[bytes]) -> None:
+        """Ids of words of letters a-z, of other letters and of other pieces into the cache."""
+        if self.ends is None or len(plain) < PLAIN_WORDS:
+            plain, letters = [], plain + letters
+        if self.ends is None:
+            others = letters + others
+        else:
+            others = self._side_by_side(self.plain, plain) + self._side_by_side(self.tokenizer, letters) + others
+        found = self.tokenizer.encode_batch_fast([w.decode() for w in others], add_special_tokens=False) if others else ()
+        for word, ids in zip(others, found):
+            self.cache[word] = array("I", ids.ids).tobytes()
+
+    def _side_by_side(self, tokenizer, words: list[bytes]) -> list[bytes]:
+        """Ids of words into the cache, from one text of them all; returns the words if their ends aren't told."""
+        if not words:
+            return []
+        ids = np.array(tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.uint32)
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):  # each word has one end at least
+            return words
+        joined, begin = ids.tobytes(), 0
+        for word, end in zip(words, ends.tolist()):
+            self.cache[word] = joined[begin:end]
+            begin = end
+        return []
 
 
 def _letters(word: bytes) -> bool:

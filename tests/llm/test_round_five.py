@@ -32,3 +32,14 @@ def test_words_are_encoded_side_by_side():
     whole, encode.tokenizer = encode.tokenizer, Spy()
     encode(b"one two%% three, four five! x1")
     assert len(asked) == 5 and sorted(asked[0].split()) == ["five", "four", "one", "three", "two"]
+
+
+def test_letters_go_to_the_model_without_normaliser():
+    """New words a-z, capitals lowered, ask the model alone where there are enough of them; ids are those of the whole text."""
+    words = [a + b for a in ("plain", "zqx", "Unheard", "ING") for b in ("", "a", "jk", "tion", "ed")]
+    text = " ".join(words) + ". " + ", ".join(words).upper() + "!"
+    encode = packing.Encoder(PATH)
+    wanted = encode.tokenizer.encode(text, add_special_tokens=False).ids
+    encode(b". , !")  # marks are known from here on
+    encode.tokenizer = None
+    assert encode(text.encode()).tolist() == wanted
